@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import format_paths, read_loss, read_turns
 from tidemark.llm.packing import pack
+from tidemark.llm.quality import judge
 from tidemark.llm.secrets_scan import scan_secrets
 from tidemark.llm.token_counts import count_tokens
 from tidemark.sources.tables import table
@@ -88,3 +89,8 @@ def op9_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     loss = read_loss(F.col("formatted"), F.col("loss_spans"))
     out = out.select("conv_id", "n_turns", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return judge(table(spark, root, "documents")).drop("__text_hash")
