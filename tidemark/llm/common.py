@@ -72,3 +72,28 @@ def by_bytes(items: Iterable, size: Callable, limit: int) -> Iterator[list]:
         total += n
     if held:
         yield held
+
+
+def shingle_hashes(ws: Column, k: int = 5) -> Column:
+    """A 64-bit hash of each run of ``k`` words; of all words for a shorter sequence; none without words."""
+    hashed = F.transform(ws, lambda w: F.xxhash64(w))
+    runs = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(ws) == 0, none).when(F.size(ws) < k, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(runs)
+
+
+def shingles(ws: Column, k: int = 5) -> Column:
+    """The distinct runs of ``k`` words as text, as in ``shingle_hashes``."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.array_join(F.slice(ws, i + 1, F.lit(k)), " "))
+    none = F.array().cast("array<string>")
+    return F.when(F.size(ws) == 0, none).when(F.size(ws) < k, F.array(F.array_join(ws, " "))).otherwise(F.array_distinct(runs))
+
+
+def row_hash(key: str, text: str) -> Column:
+    """With ``key``, what tells rows apart where keys are null or repeated; rows with equal keys and texts are alike."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has at most ``rows`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import format_paths, read_loss, read_turns
+from tidemark.llm.decontamination import find_items
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
 from tidemark.llm.secrets_scan import scan_secrets
@@ -94,3 +96,44 @@ def op9_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judge(table(spark, root, "documents")).drop("__text_hash")
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+         l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM d WHERE text <> ''),
+         h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
+         e AS (SELECT *, i = n - 1 OR (h * 31 + coalesce(lag(h) OVER o, 0)) % 1000003 % 4 = 0 OR w >= 50 OR coalesce(lead(w) OVER o, 0) >= 50 AS stop FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+         g AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+         p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // 16 AS part FROM g),
+         c AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM p GROUP BY doc_id, run, part),
+         s AS (SELECT doc_id, a, b FROM c UNION SELECT doc_id, a, unnest(range(a + 1, b)) FROM c UNION SELECT doc_id, unnest(range(a + 1, b)), b FROM c),
+         t AS (SELECT s.doc_id, s.a, s.b, array_to_string(d.ls[s.a + 1 : s.b + 1], chr(10)) AS bytes FROM s JOIN d USING (doc_id)),
+         q AS (SELECT t.* FROM t JOIN h ON h.doc_id = t.doc_id AND h.i = t.a WHERE t.b > t.a OR h.w >= 50),
+         r AS (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, a) AS k FROM q),
+         x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r WHERE k > 1),
+         k AS (SELECT l.doc_id, count(x.i) AS gone, string_agg(CASE WHEN x.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS left_over FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id)
+    SELECT d.doc_id, CASE WHEN coalesce(k.gone, 0) = 0 THEN d.text ELSE coalesce(k.left_over, '') END AS text, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_lines_removed
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op4_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return dedup_lines(table(spark, root, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op10_decontamination",
+    r"""
+    WITH w AS (SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+               UNION ALL SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+         i AS (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0),
+         s AS (SELECT DISTINCT kind, id, array_to_string(ws[k : k + 4], ' ') AS shingle FROM i),
+         n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 1 GROUP BY id)
+    SELECT d.id AS doc_id, b.id AS item_id, n.n_shingles, count(*) AS n_shared
+    FROM s AS d JOIN s AS b ON d.shingle = b.shingle AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
+    GROUP BY ALL HAVING 100 * count(*) >= 80 * n.n_shingles
+    """,
+)
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return find_items(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("__row")
