@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import format_paths, read_loss, read_turns
 from tidemark.llm.decontamination import find_items
+from tidemark.llm.jaccard_join import link_similar
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
@@ -137,3 +138,8 @@ def op4_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 )
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return find_items(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("__row")
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return link_similar(table(spark, root, "documents"))
