@@ -12,6 +12,7 @@ from tidemark.llm.decontamination import find_items
 from tidemark.llm.jaccard_join import link_similar
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import replace_entities
 from tidemark.llm.quality import judge
 from tidemark.llm.secrets_scan import scan_secrets
 from tidemark.llm.token_counts import count_tokens
@@ -143,3 +144,12 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return link_similar(table(spark, root, "documents"))
+
+
+#: The key of op8's surrogates; a user passes a secret of their own.
+SURROGATE_KEY = "tidemark"
+
+
+@query("op8_pii_surrogates")
+def op8_pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
+    return replace_entities(table(spark, root, "documents").select("doc_id", "text"), SURROGATE_KEY)
