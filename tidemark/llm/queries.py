@@ -11,6 +11,7 @@ from tidemark.llm.chat import format_paths, read_loss, read_turns
 from tidemark.llm.decontamination import find_items
 from tidemark.llm.jaccard_join import link_similar
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.lm_scoring import score_difference
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import replace_entities
 from tidemark.llm.quality import judge
@@ -153,3 +154,9 @@ SURROGATE_KEY = "tidemark"
 @query("op8_pii_surrogates")
 def op8_pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
     return replace_entities(table(spark, root, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    good = table(spark, root, "labels").where("quality = 1").select("doc_id")
+    return score_difference(table(spark, root, "documents"), good)
