@@ -85,10 +85,9 @@ def format_paths(
     leaves = scratch.keep("leaves", leaves.select("__tree", F.col("__node").alias("__leaf"), "__rank", "__mean"))
 
     reached = leaves.select("__tree", "__leaf", F.col("__leaf").alias("__node"))
-    for jump in reversed(jumps):
+    for k, jump in reversed(list(enumerate(jumps))):
         step = reached.join(jump, ["__tree", "__node"]).select("__tree", "__leaf", F.col("__up").alias("__node"))
-        reached = reached.unionByName(step)
-    reached = scratch.keep("paths", reached)
+        reached = scratch.keep(f"reached{k}", reached.unionByName(step))  # it stands twice in the next round's plan
 
     turns = reached.join(rooted.select("__tree", "__node", "__depth"), ["__tree", "__node"]).join(rows.select("__tree", "__node", "__name", "__role", "__text"), ["__tree", "__node"])
     head = F.concat(F.lit(OPEN), F.url_encode("__role"), F.lit("\n"))
