@@ -1,4 +1,8 @@
-"""Operators over intervals and points on a timeline."""
+"""Operators over intervals and points on a timeline.
+
+Times are integers or timestamps; intervals are half-open, [t0, t1). Every operator works inside the groups of ``keys``,
+so a shuffle by those keys is all it needs; windows over the same keys and order share it.
+"""
 
 from __future__ import annotations
 
@@ -17,3 +21,93 @@ def islands(points: DataFrame, keys: list[str], at: str, gap: Column, tie: str |
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = points.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(running))
     return numbered.groupBy(*keys, "island").agg(F.min(at).alias("t0"), F.max(at).alias("t1"), F.count(F.lit(1)).alias("n_events"))
+
+
+def gaps(points: DataFrame, keys: list[str], at: str, least: Column, tie: str | None = None) -> DataFrame:
+    """Silences: the stretches longer than ``least`` between neighbouring points of a key, as keys, ``t0`` and ``t1``."""
+    order = Window.partitionBy(*keys).orderBy(at, *([tie] if tie else []))
+    return points.select(*keys, F.lag(at).over(order).alias("t0"), F.col(at).alias("t1")).where(F.col("t1") - F.col("t0") > least)
+
+
+def merge(spans: DataFrame, keys: list[str], t0: str = "t0", t1: str = "t1") -> DataFrame:
+    """The union of each key's intervals: overlapping and touching ones become one. Empty and null intervals are left out."""
+    order = Window.partitionBy(*keys).orderBy(t0, t1)
+    before = F.max(t1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col(t0) <= before, 0).otherwise(1)
+    numbered = spans.where(F.col(t0) < F.col(t1)).withColumn("__fresh", fresh)
+    numbered = numbered.withColumn("__run", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__run").agg(F.min(t0).alias(t0), F.max(t1).alias(t1)).drop("__run")
+
+
+def complement(spans: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """What of each interval of ``whole`` (one for each key) lies in no interval of ``spans``; a key without spans is whole."""
+    inside = merge(spans, keys).join(whole.select(*keys, F.col("t0").alias("__a"), F.col("t1").alias("__b")), keys)
+    inside = inside.select(*keys, F.greatest("t0", "__a").alias("t0"), F.least("t1", "__b").alias("t1")).where("t0 < t1")
+    first = whole.select(*keys, F.col("t0"), F.col("t0").alias("t1"), F.col("t1").alias("__end"))
+    order = Window.partitionBy(*keys).orderBy("t0", "t1")
+    rows = inside.withColumn("__end", F.lit(None).cast(first.schema["__end"].dataType)).unionByName(first)
+    end = F.max("__end").over(Window.partitionBy(*keys))
+    return rows.select(*keys, F.col("t1").alias("t0"), F.coalesce(F.lead("t0").over(order), end).alias("t1")).where("t0 < t1")
+
+
+def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The common parts of the intervals of ``a`` and ``b`` with equal keys. Each side is merged first, so parts are disjoint."""
+    x, y = merge(a, keys).alias("x"), merge(b, keys).alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    met = x.join(y, [*same, F.col("x.t0") < F.col("y.t1"), F.col("y.t0") < F.col("x.t1")])
+    return met.select(*[F.col(f"x.{k}") for k in keys], F.greatest("x.t0", "y.t0").alias("t0"), F.least("x.t1", "y.t1").alias("t1"))
+
+
+def not_contained(spans: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """The intervals that no single interval of ``kept`` holds whole: what a cut has clipped."""
+    a, k = spans.alias("a"), kept.alias("k")
+    same = [F.col(f"a.{c}") == F.col(f"k.{c}") for c in keys]
+    return a.join(k, [*same, F.col("k.t0") <= F.col("a.t0"), F.col("a.t1") <= F.col("k.t1")], "left_anti")
+
+
+def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, label: str) -> DataFrame:
+    """Each point with ``value`` of the last mark of its key at or before it, as ``label``; null if there is none.
+
+    Points and marks are sorted together, so nothing but rows of one key is ever compared; no range join is needed.
+    """
+    kind = marks.schema[value].dataType
+    both = points.withColumns({"__value": F.lit(None).cast(kind), "__mark": F.lit(0), "__at": F.col(at)})
+    own = marks.select(*[F.col(c) if c in keys else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], F.col(value).alias("__value"), F.lit(1).alias("__mark"), F.col(at).alias("__at"))
+    order = Window.partitionBy(*keys).orderBy("__at", F.desc("__mark")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.unionByName(own).withColumn(label, F.last("__value", ignorenulls=True).over(order))
+    return out.where("__mark = 0").drop("__value", "__mark", "__at")
+
+
+def snap(points: DataFrame, edges: DataFrame, keys: list[str], at: str, edge: str) -> DataFrame:
+    """Each point with ``snapped``, the nearest edge of its key; the earlier of two that are as near, null without edges."""
+    before = as_of(points, edges.select(*keys, F.col(edge).alias(at), F.col(edge).alias("__edge")), keys, at, "__edge", "__before")
+    back = before.withColumn("__neg", -F.col(at))
+    after = as_of(back, edges.select(*keys, (-F.col(edge)).alias("__neg"), F.col(edge).alias("__edge")), keys, "__neg", "__edge", "__after")
+    nearer = F.col("__before").isNotNull() & (F.col("__after").isNull() | (F.col(at) - F.col("__before") <= F.col("__after") - F.col(at)))
+    return after.withColumn("snapped", F.when(nearer, F.col("__before")).otherwise(F.col("__after"))).drop("__before", "__after", "__neg")
+
+
+def content_range(spans: DataFrame, keys: list[str], t0: str = "t0", t1: str = "t1") -> DataFrame:
+    """The first in point and the last out point of each key's content."""
+    return spans.groupBy(*keys).agg(F.min(t0).alias("t_in"), F.max(t1).alias("t_out"))
+
+
+def offsets(a: DataFrame, b: DataFrame, keys: list[str], at: str, reach: int) -> DataFrame:
+    """For each key the shift of ``b`` against ``a`` that most pairs of events agree on, up to ``reach``; ties go to the least.
+
+    Both sides are put into bins of ``reach`` and met in their own and the neighbouring ones, so the join has an equal key.
+    """
+    x = a.select(*keys, F.col(at).alias("__x"), F.floor(F.col(at) / reach).alias("__bin"))
+    y = b.select(*keys, F.col(at).alias("__y"), F.explode(F.array(*[F.floor(F.col(at) / reach) + d for d in (-1, 0, 1)])).alias("__bin"))
+    shifts = x.join(y, [*keys, "__bin"]).withColumn("offset", F.col("__y") - F.col("__x")).where(F.abs("offset") <= reach)
+    votes = shifts.groupBy(*keys, "offset").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("votes", -F.abs("offset"), -F.col("offset"), "offset")).alias("m"))
+    return best.select(*keys, F.col("m.offset").alias("offset"), F.col("m.votes").alias("votes"))
+
+
+def gain_at(points: DataFrame, curves: DataFrame, keys: list[str], at: str, default: float = 1.0) -> DataFrame:
+    """Each point with ``gain``, the least of the gains of the curves' intervals that hold it: how far a bed is ducked."""
+    p, c = points.alias("p"), curves.alias("c")
+    same = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys]
+    met = p.join(c, [*same, F.col("c.t0") <= F.col(f"p.{at}"), F.col(f"p.{at}") < F.col("c.t1")], "left")
+    return met.groupBy(*[F.col(f"p.{x}") for x in points.columns]).agg(F.coalesce(F.min("c.gain"), F.lit(default)).alias("gain"))

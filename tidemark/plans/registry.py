@@ -1,14 +1,10 @@
-"""Queries by name, each beside the SQL it must match."""
+"""Queries by name, each beside the SQL it must match. Modules of queries add theirs with ``query``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.operators import intervals
-from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,15 +22,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query(
-    "islands",
-    """
-    WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh
-               FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-         i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM e)
-    SELECT user_id, CAST(island AS BIGINT) AS island, min(ts) AS t0, max(ts) AS t1, count(*) AS n_events FROM i GROUP BY ALL
-    """,
-)
-def islands(spark: SparkSession, root: str) -> DataFrame:
-    events = table(spark, root, "events")
-    return intervals.islands(events, ["user_id"], "ts", F.expr("INTERVAL 6 HOURS"), tie="event_id")
+from tidemark.plans import relational, timeline  # noqa: E402, F401  they register their queries
