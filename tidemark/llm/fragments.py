@@ -39,7 +39,7 @@ class PieceCounter:
     the library as it had in the text. A model for which this doesn't hold gets whole texts.
     """
 
-    _space = re.compile("(?<=[^ ▁]) ")
+    _space = re.compile(r"(?<=[^ ▁]) (?!\Z)")
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,7 +54,7 @@ class PieceCounter:
     def split(self, text: str) -> list[str]:
         if not self.safe:
             return [text]
-        if "  " in text or "▁" in text or text[:1] == " ":
+        if "  " in text or "▁" in text or text[:1] == " " or text[-1:] == " ":
             return self._space.split(text)
         return text.split(" ")
 
