@@ -23,7 +23,7 @@ def _missing(n: Column, percent: int) -> Column:
 
 def find_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 80) -> DataFrame:
     """(``key``, ``item``, n_shingles, n_shared) for each document that holds at least ``percent`` of an item's distinct
-    five-word shingles, beside ``__row`` (see ``row_hash``). Words are runs of letters and digits in lower case.
+    five-word shingles, beside ``__tm_row`` (see ``row_hash``). Words are runs of letters and digits in lower case.
 
     Items are partitioned by size, doubling. A partition's MinHash sketch is the k least hashes of an item's shingles, with k
     one more than the shingles that the partition's largest size may miss: a document that contains the item must hold one
@@ -36,31 +36,31 @@ def find_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     empty result. Only the named columns are read.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    tests = items.select(F.col(item).alias("__item"), plain_words(F.col(item_text)).alias("w"))
-    tests = tests.select("__item", shingles(F.col("w")).alias("__shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w")))).alias("__hashes"))
-    tests = tests.withColumn("__n", F.size("__shingles").cast("long")).where("__n > 0")
-    largest = (F.pow(F.lit(2.0), F.floor(F.log2(F.col("__n") + 0.5)) + 1) - 1).cast("long")
-    tests = tests.withColumn("__k", F.least(F.col("__n"), _missing(largest, percent) + 1)).withColumn("__least", F.col("__k") - _missing(F.col("__n"), percent))
-    tests = scratch.keep("items", tests.withColumn("__no", F.xxhash64("__item", "__shingles")))
-    sketch = tests.select("__no", "__least", F.explode(F.slice("__hashes", F.lit(1), F.col("__k").cast("int"))).alias("__h")).distinct()
+    tests = items.select(F.col(item).alias("__tm_item"), plain_words(F.col(item_text)).alias("w"))
+    tests = tests.select("__tm_item", shingles(F.col("w")).alias("__tm_shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w")))).alias("__tm_hashes"))
+    tests = tests.withColumn("__tm_n", F.size("__tm_shingles").cast("long")).where("__tm_n > 0")
+    largest = (F.pow(F.lit(2.0), F.floor(F.log2(F.col("__tm_n") + 0.5)) + 1) - 1).cast("long")
+    tests = tests.withColumn("__tm_k", F.least(F.col("__tm_n"), _missing(largest, percent) + 1)).withColumn("__tm_least", F.col("__tm_k") - _missing(F.col("__tm_n"), percent))
+    tests = scratch.keep("items", tests.withColumn("__tm_no", F.xxhash64("__tm_item", "__tm_shingles")))
+    sketch = tests.select("__tm_no", "__tm_least", F.explode(F.slice("__tm_hashes", F.lit(1), F.col("__tm_k").cast("int"))).alias("__tm_h")).distinct()
 
     # Each task hashes its own documents; only ids leave it.
-    hashed = docs.select(F.col(key), row_hash(key, text).alias("__row"), F.explode(shingle_hashes(plain_words(F.col(text)))).alias("__h"))
-    hits = hashed.join(bounded(scratch.keep("sketch", sketch), SKETCH_ROWS), "__h").distinct()
-    pairs = hits.groupBy(key, "__row", "__no", "__least").agg(F.count(F.lit(1)).alias("__hits")).where("__hits >= __least")
-    pairs = scratch.keep("pairs", pairs.select(F.col(key).alias("__key"), F.col("__row").alias("__r"), "__no"))
+    hashed = docs.select(F.col(key), row_hash(key, text).alias("__tm_row"), F.explode(shingle_hashes(plain_words(F.col(text)))).alias("__tm_h"))
+    hits = hashed.join(bounded(scratch.keep("sketch", sketch), SKETCH_ROWS), "__tm_h").distinct()
+    pairs = hits.groupBy(key, "__tm_row", "__tm_no", "__tm_least").agg(F.count(F.lit(1)).alias("__tm_hits")).where("__tm_hits >= __tm_least")
+    pairs = scratch.keep("pairs", pairs.select(F.col(key).alias("__tm_key"), F.col("__tm_row").alias("__tm_r"), "__tm_no"))
 
-    own = docs.select(key, text, row_hash(key, text).alias("__row"))
+    own = docs.select(key, text, row_hash(key, text).alias("__tm_row"))
     few = bounded(pairs, PAIR_ROWS)
-    met = own.join(few, own[key].eqNullSafe(few["__key"]) & (own["__row"] == few["__r"])).select(key, "__row", text, "__no").distinct()
-    met = met.join(tests.select("__no", F.col("__item").alias(item), "__shingles", F.col("__n").alias("n_shingles")), "__no")
-    shared = F.size(F.array_intersect(shingles(plain_words(F.col(text))), "__shingles")).cast("long")
-    found = met.select(key, item, "n_shingles", shared.alias("n_shared"), "__row")
+    met = own.join(few, own[key].eqNullSafe(few["__tm_key"]) & (own["__tm_row"] == few["__tm_r"])).select(key, "__tm_row", text, "__tm_no").distinct()
+    met = met.join(tests.select("__tm_no", F.col("__tm_item").alias(item), "__tm_shingles", F.col("__tm_n").alias("n_shingles")), "__tm_no")
+    shared = F.size(F.array_intersect(shingles(plain_words(F.col(text))), "__tm_shingles")).cast("long")
+    found = met.select(key, item, "n_shingles", shared.alias("n_shared"), "__tm_row")
     return found.where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    found = find_items(docs, items, key=key, text=text, **rules).select(F.col(key).alias("__key"), F.col("__row").alias("__r")).distinct()
+    found = find_items(docs, items, key=key, text=text, **rules).select(F.col(key).alias("__tm_key"), F.col("__tm_row").alias("__tm_r")).distinct()
     found = bounded(Scratch(docs.sparkSession, "leaks").keep("found", found), PAIR_ROWS)
-    return docs.join(found, docs[key].eqNullSafe(found["__key"]) & (F.xxhash64(docs[key], docs[text]) == found["__r"]), "left_anti")
+    return docs.join(found, docs[key].eqNullSafe(found["__tm_key"]) & (F.xxhash64(docs[key], docs[text]) == found["__tm_r"]), "left_anti")

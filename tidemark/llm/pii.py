@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, row_hash
+from tidemark.llm.common import Scratch, let, row_hash
 
 #: Titles by the gender they tell, and what surrogate names are built from, for each script.
 TITLES = {
@@ -195,27 +195,28 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     replacements; a text is taken apart at its mentions and put together with the replacements between.
 
     Null texts stay null, empty ones empty. Null or repeated keys are told apart by text. An empty table gives an empty
-    result. Other columns are passed on; names that begin with two underscores are reserved.
+    result. Other columns are passed on; names that begin with __tm_ are reserved.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    found = docs.select(F.col(key).alias("__key"), row_hash(key, text).alias("__row"), F.posexplode(mentions).alias("pos", "mention"))
+    found = docs.select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), F.posexplode(mentions).alias("pos", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("parts", _parts(F.col("mention"), F.col("kind")))
-    found = scratch.keep("mentions", found.select("__key", "__row", "pos", "kind", F.posexplode("parts").alias("no", "part")).select("__key", "__row", "pos", "kind", "no", "part.*"))
+    found = scratch.keep("mentions", found.select("__tm_key", "__tm_row", "pos", "kind", F.posexplode("parts").alias("no", "part")).select("__tm_key", "__tm_row", "pos", "kind", "no", "part.*"))
     entities = assign_surrogates(scratch, found.where("type <> ''").select("type", "canon").distinct(), secret)
 
     met = found.join(entities, ["type", "canon"], "left").withColumn("new", _render(F.col("type"), F.col("raw"), F.col("surrogate")))
-    each = met.groupBy("__key", "__row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__new"))
-    each = each.select(F.col("__key").alias("__k"), F.col("__row").alias("__r"), "__new")
+    each = met.groupBy("__tm_key", "__tm_row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__tm_new"))
+    each = each.select(F.col("__tm_key").alias("__tm_k"), F.col("__tm_row").alias("__tm_r"), "__tm_new")
 
-    rows = docs.withColumn("__row", row_hash(key, text))
+    rows = docs.withColumn("__tm_row", row_hash(key, text))
     has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    changed = rows.where(has).join(each, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")))
-    between = F.split(text, ANY, -1)
+    changed = rows.where(has).join(each, F.col(key).eqNullSafe(F.col("__tm_k")) & (F.col("__tm_row") == F.col("__tm_r")))
     # Parts of one mention stand together; what lies between mentions follows the last part of each.
-    piece = lambda x, i: F.concat(x["new"], F.when(F.coalesce(F.get("__new", i + 1)["pos"] == x["pos"], F.lit(False)), "").otherwise(F.get(between, x["pos"] + 1)))
-    joined = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__new", piece), ""))
-    count = lambda k: F.size(F.filter("__new", lambda x: (x["kind"] == k) & (x["no"] == 0))).cast("long").alias(f"n_{k}")
-    changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in docs.columns], *[count(k) for k in KINDS])
-    same = rows.where(~has).select(*docs.columns, *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])
+    ends = lambda x, i: ~F.coalesce(F.get("__tm_new", i + 1)["pos"] == x["pos"], F.lit(False))
+    piece = lambda between: lambda x, i: F.concat(x["new"], F.when(ends(x, i), F.get(between, x["pos"] + 1)).otherwise(""))
+    joined = let(F.split(text, ANY, -1), lambda between: F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__tm_new", piece(between)), "")))
+    count = lambda k: F.size(F.filter("__tm_new", lambda x: (x["kind"] == k) & (x["no"] == 0))).cast("long").alias(f"n_{k}")
+    others = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
+    changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in others], *[count(k) for k in KINDS])
+    same = rows.where(~has).select(*others, *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])
     return changed.unionByName(same)

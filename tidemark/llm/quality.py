@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, let, words
+from tidemark.llm.common import Scratch, bounded, let, words
 
 #: The transformed statistics of a text, with the least standard deviation that each is held to have.
 FEATURES = {"word_length": 0.05, "symbols": 0.03, "dup_lines": 0.1, "repeat_words": 0.1, "capitals": 0.03}
@@ -17,6 +17,8 @@ CUTOFF, HALF_WORDS = 42.0, 25
 LEAST_GROUP = 100
 #: Group tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 50_000
+#: Rejected keys of at most so many rows are broadcast.
+REJECTED_ROWS = 500_000
 
 
 def _windows(ws: Column) -> Column:
@@ -41,16 +43,16 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_capitals; 0 for null text."""
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("__words", words(F.col(text))).withColumn("__lines", lines)
+    out = docs.withColumn("__tm_words", words(F.col(text))).withColumn("__tm_lines", lines)
     return out.withColumns({
-        "n_words": F.size("__words").cast("long"),
+        "n_words": F.size("__tm_words").cast("long"),
         "word_chars": F.length(F.regexp_replace(value, r"[\x20\x09-\x0D]+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(value, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("__words")),
-        "n_lines": F.size("__lines").cast("long"),
+        "n_dup_lines": (F.size("__tm_lines") - F.size(F.array_distinct("__tm_lines"))).cast("long"),
+        "n_repeat_words": repeat_words(F.col("__tm_words")),
+        "n_lines": F.size("__tm_lines").cast("long"),
         "n_capitals": F.length(F.regexp_replace(value, r"[^\p{Lu}]+", "")).cast("long"),
-    }).drop("__words", "__lines")
+    }).drop("__tm_words", "__tm_lines")
 
 
 def _features() -> dict[str, Column]:
@@ -67,22 +69,22 @@ def _features() -> dict[str, Column]:
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` with the columns of their group; nulls are equal. A group table over BROADCAST_ROWS is joined by shuffle,
     where the engine splits hot groups."""
-    right = groups.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(on)], *[c for c in groups.columns if c not in on])
+    right = groups.select(*[F.col(c).alias(f"__tm_r{i}") for i, c in enumerate(on)], *[c for c in groups.columns if c not in on])
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    cond = [rows[c].eqNullSafe(right[f"__r{i}"]) for i, c in enumerate(on)]
-    return rows.join(F.broadcast(right) if small else right, cond, "inner").drop(*[f"__r{i}" for i in range(len(on))])
+    cond = [rows[c].eqNullSafe(right[f"__tm_r{i}"]) for i, c in enumerate(on)]
+    return rows.join(F.broadcast(right) if small else right, cond, "inner").drop(*[f"__tm_r{i}" for i in range(len(on))])
 
 
 def _group_ids(scratch: Scratch, rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``keys`` with ``__g``: their own group if it has ``least`` rows, else what is pooled at the first shorter prefix."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    own = F.when(F.col("__n") >= least, F.to_json(F.struct(F.lit(len(keys)).alias("__level"), *keys)))
-    counts = counts.withColumn("__g", own)
+    """``keys`` with ``__tm_g``: their own group if it has ``least`` rows, else what is pooled at the first shorter prefix."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tm_n"))
+    own = F.when(F.col("__tm_n") >= least, F.to_json(F.struct(F.lit(len(keys)).alias("__tm_level"), *keys)))
+    counts = counts.withColumn("__tm_g", own)
     for level in range(len(keys) - 1, -1, -1):
-        pool = Window.partitionBy(F.col("__g").isNull(), *keys[:level])
-        pooled = F.when((F.sum("__n").over(pool) >= least) | F.lit(level == 0), F.to_json(F.struct(F.lit(level).alias("__level"), *keys[:level])))
-        counts = counts.withColumn("__g", F.coalesce("__g", pooled))
-    return scratch.keep("groups", counts.select(*keys, "__g"))
+        pool = Window.partitionBy(F.col("__tm_g").isNull(), *keys[:level])
+        pooled = F.when((F.sum("__tm_n").over(pool) >= least) | F.lit(level == 0), F.to_json(F.struct(F.lit(level).alias("__tm_level"), *keys[:level])))
+        counts = counts.withColumn("__tm_g", F.coalesce("__tm_g", pooled))
+    return scratch.keep("groups", counts.select(*keys, "__tm_g"))
 
 
 def _inverse(cov: list[list[Column]]) -> tuple[list[list[Column]], Column]:
@@ -102,12 +104,12 @@ def _inverse(cov: list[list[Column]]) -> tuple[list[list[Column]], Column]:
 
 
 def _distance(names: list[str]) -> Column:
-    z = [sum(((F.col(names[k]) - F.col(f"__m{k}")) * F.col(f"__w{i}_{k}") for k in range(i + 1)), F.lit(0.0)) for i in range(len(names))]
+    z = [sum(((F.col(names[k]) - F.col(f"__tm_m{k}")) * F.col(f"__tm_w{i}_{k}") for k in range(i + 1)), F.lit(0.0)) for i in range(len(names))]
     return sum((x * x for x in z), F.lit(0.0))
 
 
 def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[float], *, steps: int = 3, support: float = SUPPORT) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group ``__g``: centre ``__m*``, inverse factor ``__w*_*``.
+    """Minimum-covariance-determinant estimates of each group ``__tm_g``: centre ``__tm_m*``, inverse factor ``__tm_w*_*``.
 
     Two deterministic starts, distances from the coordinatewise medians by the median absolute deviations and by the floors.
     Each step takes the ``support`` share with the least distances, gets its mean and covariance, and measures all distances
@@ -117,46 +119,46 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
     """
     p = len(names)
     fine = 512.0
-    unpivoted = rows.select("__g", F.posexplode(F.array(*names)).alias("__j", "__x")).select("__g", "__j", F.floor(F.col("__x") * fine).alias("__b"))
-    bins = scratch.keep("bins", unpivoted.groupBy("__g", "__j", "__b").agg(F.count(F.lit(1)).alias("__n")))
-    each = Window.partitionBy("__g", "__j")
-
-    med = bins.select("*", F.sum("__n").over(each.orderBy("__b").rangeBetween(Window.unboundedPreceding, 0)).alias("__upto"), F.sum("__n").over(each).alias("__all"))
-    med = med.withColumn("__med", F.min(F.when(F.col("__upto") * 2 >= F.col("__all"), F.col("__b"))).over(each)).withColumn("__off", F.abs(F.col("__b") - F.col("__med")))
-    mad = med.withColumn("__upto", F.sum("__n").over(each.orderBy("__off").rangeBetween(Window.unboundedPreceding, 0)))
-    mad = mad.groupBy("__g", "__j", "__med").agg(F.min(F.when(F.col("__upto") * 2 >= F.col("__all"), F.col("__off"))).alias("__mad"))
-    scale = F.greatest(1.4826 * F.col("__mad") / fine, F.element_at(F.array(*[F.lit(f) for f in floors]), F.col("__j") + 1))
-    mad = mad.select("__g", "__j", ((F.col("__med") + 0.5) / fine).alias("__c"), scale.alias("__s"))
-    start = mad.groupBy("__g").agg(*[F.max(F.when(F.col("__j") == j, F.col(c))).alias(f"{c}{j}") for j in range(p) for c in ("__c", "__s")])
-    start = start.withColumn("__start", F.explode(F.array(F.lit(0), F.lit(1))))
-    by = [F.when(F.col("__start") == 0, F.col(f"__s{j}")).otherwise(F.lit(floors[j])) for j in range(p)]
-    model = start.select("__g", "__start", *[F.col(f"__c{j}").alias(f"__m{j}") for j in range(p)], *[(1 / by[i] if i == k else F.lit(0.0)).alias(f"__w{i}_{k}") for i in range(p) for k in range(i + 1)], F.lit(0.0).alias("__det"))
+    unpivoted = rows.select("__tm_g", F.posexplode(F.array(*names)).alias("__tm_j", "__tm_x")).select("__tm_g", "__tm_j", F.floor(F.col("__tm_x") * fine).alias("__tm_b"))
+    bins = scratch.keep("bins", unpivoted.groupBy("__tm_g", "__tm_j", "__tm_b").agg(F.count(F.lit(1)).alias("__tm_n")))
+    each = Window.partitionBy("__tm_g", "__tm_j")
+
+    med = bins.select("*", F.sum("__tm_n").over(each.orderBy("__tm_b").rangeBetween(Window.unboundedPreceding, 0)).alias("__tm_upto"), F.sum("__tm_n").over(each).alias("__tm_all"))
+    med = med.withColumn("__tm_med", F.min(F.when(F.col("__tm_upto") * 2 >= F.col("__tm_all"), F.col("__tm_b"))).over(each)).withColumn("__tm_off", F.abs(F.col("__tm_b") - F.col("__tm_med")))
+    mad = med.withColumn("__tm_upto", F.sum("__tm_n").over(each.orderBy("__tm_off").rangeBetween(Window.unboundedPreceding, 0)))
+    mad = mad.groupBy("__tm_g", "__tm_j", "__tm_med").agg(F.min(F.when(F.col("__tm_upto") * 2 >= F.col("__tm_all"), F.col("__tm_off"))).alias("__tm_mad"))
+    scale = F.greatest(1.4826 * F.col("__tm_mad") / fine, F.element_at(F.array(*[F.lit(f) for f in floors]), F.col("__tm_j") + 1))
+    mad = mad.select("__tm_g", "__tm_j", ((F.col("__tm_med") + 0.5) / fine).alias("__tm_c"), scale.alias("__tm_s"))
+    start = mad.groupBy("__tm_g").agg(*[F.max(F.when(F.col("__tm_j") == j, F.col(c))).alias(f"{c}{j}") for j in range(p) for c in ("__tm_c", "__tm_s")])
+    start = start.withColumn("__tm_start", F.explode(F.array(F.lit(0), F.lit(1))))
+    by = [F.when(F.col("__tm_start") == 0, F.col(f"__tm_s{j}")).otherwise(F.lit(floors[j])) for j in range(p)]
+    model = start.select("__tm_g", "__tm_start", *[F.col(f"__tm_c{j}").alias(f"__tm_m{j}") for j in range(p)], *[(1 / by[i] if i == k else F.lit(0.0)).alias(f"__tm_w{i}_{k}") for i in range(p) for k in range(i + 1)], F.lit(0.0).alias("__tm_det"))
     model = scratch.keep("model0", model)
     for step in range(steps):
-        near = join_groups(rows, model, ["__g"]).withColumn("__bin", F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)))
-        counts = near.groupBy("__g", "__start", "__bin").agg(F.count(F.lit(1)).alias("__n"))
-        pair = Window.partitionBy("__g", "__start")
-        counts = counts.withColumn("__upto", F.sum("__n").over(pair.orderBy("__bin"))).withColumn("__all", F.sum("__n").over(pair))
-        limit = counts.groupBy("__g", "__start").agg(F.min(F.when(F.col("__upto") >= F.col("__all") * support, F.col("__bin"))).alias("__limit"))
-        limited = scratch.keep(f"limited{step}", model.join(limit, ["__g", "__start"]))
-        inside = join_groups(rows, limited, ["__g"]).where(F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)) <= F.col("__limit"))
-        dev = [F.col(names[j]) - F.col(f"__m{j}") for j in range(p)]
-        sums = inside.groupBy("__g", "__start", *[f"__m{j}" for j in range(p)]).agg(
-            F.count(F.lit(1)).alias("__n"), *[F.sum(dev[j]).alias(f"__d{j}") for j in range(p)], *[F.sum(dev[i] * dev[j]).alias(f"__q{i}_{j}") for i in range(p) for j in range(i + 1)]
+        near = join_groups(rows, model, ["__tm_g"]).withColumn("__tm_bin", F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)))
+        counts = near.groupBy("__tm_g", "__tm_start", "__tm_bin").agg(F.count(F.lit(1)).alias("__tm_n"))
+        pair = Window.partitionBy("__tm_g", "__tm_start")
+        counts = counts.withColumn("__tm_upto", F.sum("__tm_n").over(pair.orderBy("__tm_bin"))).withColumn("__tm_all", F.sum("__tm_n").over(pair))
+        limit = counts.groupBy("__tm_g", "__tm_start").agg(F.min(F.when(F.col("__tm_upto") >= F.col("__tm_all") * support, F.col("__tm_bin"))).alias("__tm_limit"))
+        limited = scratch.keep(f"limited{step}", model.join(limit, ["__tm_g", "__tm_start"]))
+        inside = join_groups(rows, limited, ["__tm_g"]).where(F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)) <= F.col("__tm_limit"))
+        dev = [F.col(names[j]) - F.col(f"__tm_m{j}") for j in range(p)]
+        sums = inside.groupBy("__tm_g", "__tm_start", *[f"__tm_m{j}" for j in range(p)]).agg(
+            F.count(F.lit(1)).alias("__tm_n"), *[F.sum(dev[j]).alias(f"__tm_d{j}") for j in range(p)], *[F.sum(dev[i] * dev[j]).alias(f"__tm_q{i}_{j}") for i in range(p) for j in range(i + 1)]
         )
-        mean = [F.col(f"__d{j}") / F.col("__n") for j in range(p)]
-        cov = [[(F.col(f"__q{max(i, j)}_{min(i, j)}") / F.col("__n") - mean[i] * mean[j]) * CONSISTENCY + F.lit(floors[i] ** 2 if i == j else 0.0) for j in range(p)] for i in range(p)]
-        covs = sums.select("__g", "__start", *[(F.col(f"__m{j}") + mean[j]).alias(f"__m{j}") for j in range(p)], *[cov[i][j].alias(f"__c{i}_{j}") for i in range(p) for j in range(i + 1)])
+        mean = [F.col(f"__tm_d{j}") / F.col("__tm_n") for j in range(p)]
+        cov = [[(F.col(f"__tm_q{max(i, j)}_{min(i, j)}") / F.col("__tm_n") - mean[i] * mean[j]) * CONSISTENCY + F.lit(floors[i] ** 2 if i == j else 0.0) for j in range(p)] for i in range(p)]
+        covs = sums.select("__tm_g", "__tm_start", *[(F.col(f"__tm_m{j}") + mean[j]).alias(f"__tm_m{j}") for j in range(p)], *[cov[i][j].alias(f"__tm_c{i}_{j}") for i in range(p) for j in range(i + 1)])
         covs = scratch.keep(f"cov{step}", covs)
-        inv, det = _inverse([[F.col(f"__c{max(i, j)}_{min(i, j)}") for j in range(p)] for i in range(p)])
-        model = scratch.keep(f"model{step + 1}", covs.select("__g", "__start", *[f"__m{j}" for j in range(p)], *[inv[i][k].alias(f"__w{i}_{k}") for i in range(p) for k in range(i + 1)], det.alias("__det")))
-    best = Window.partitionBy("__g").orderBy("__det", "__start")
-    return scratch.keep("model", model.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__start", "__det"))
+        inv, det = _inverse([[F.col(f"__tm_c{max(i, j)}_{min(i, j)}") for j in range(p)] for i in range(p)])
+        model = scratch.keep(f"model{step + 1}", covs.select("__tm_g", "__tm_start", *[f"__tm_m{j}" for j in range(p)], *[inv[i][k].alias(f"__tm_w{i}_{k}") for i in range(p) for k in range(i + 1)], det.alias("__tm_det")))
+    best = Window.partitionBy("__tm_g").orderBy("__tm_det", "__tm_start")
+    return scratch.keep("model", model.withColumn("__tm_r", F.row_number().over(best)).where("__tm_r = 1").drop("__tm_r", "__tm_start", "__tm_det"))
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
     """The statistics and the verdict for each row of ``docs``: ``key``, the counts of ``text_stats``, ``base_failed``,
-    ``distance`` and ``kept``, beside ``__text_hash``.
+    ``distance`` and ``kept``, beside ``__tm_text_hash``.
 
     ``base_failed``: under 10 words, or over a fifth of the words in repeated five-word windows. All other rows of a language
     and source are fitted together (see ``fit_mcd``; small groups are pooled, see LEAST_GROUP) and rejected when their squared
@@ -167,25 +169,26 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: t
     no row that passes the base, or an empty one, needs no fit. Columns of ``docs`` other than those named aren't read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    own = docs.select(key, *[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)], F.col(text).alias("__text"))
-    stats = text_stats(own, "__text").withColumn("__text_hash", F.xxhash64("__text")).drop("__text")
+    own = docs.select(key, *[F.col(g).alias(f"__tm_k{i}") for i, g in enumerate(groups)], F.col(text).alias("__tm_text"))
+    stats = text_stats(own, "__tm_text").withColumn("__tm_text_hash", F.xxhash64("__tm_text")).drop("__tm_text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = scratch.keep("stats", stats.withColumn("base_failed", failed))
-    keys = [f"__k{i}" for i in range(len(groups))]
+    keys = [f"__tm_k{i}" for i in range(len(groups))]
     tested = stats.where("NOT base_failed").withColumns(_features())
     ids = _group_ids(scratch, tested, keys, least_group)
     tested = scratch.keep("tested", join_groups(tested, ids, keys))
     names = list(FEATURES)
-    model = fit_mcd(scratch, tested.select("__g", *names), names, list(FEATURES.values()))
+    model = fit_mcd(scratch, tested.select("__tm_g", *names), names, list(FEATURES.values()))
     shown = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     distance = _distance(names) * F.col("n_words") / (F.col("n_words") + HALF_WORDS)
-    passed = join_groups(tested, model, ["__g"]).withColumn("distance", distance)
-    passed = passed.select(*shown, "distance", (F.col("distance") <= cutoff).alias("kept"), "__text_hash")
-    out = stats.where("base_failed").select(*shown, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), "__text_hash")
+    passed = join_groups(tested, model, ["__tm_g"]).withColumn("distance", distance)
+    passed = passed.select(*shown, "distance", (F.col("distance") <= cutoff).alias("kept"), "__tm_text_hash")
+    out = stats.where("base_failed").select(*shown, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), "__tm_text_hash")
     return passed.unionByName(out)
 
 
 def keep_good(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows with equal keys and texts share a verdict."""
-    bad = judge(docs, key=key, text=text, **rules).where("NOT kept").select(F.col(key).alias("__key"), "__text_hash").distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["__key"]) & (F.xxhash64(docs[text]) == bad["__text_hash"]), "left_anti")
+    bad = judge(docs, key=key, text=text, **rules).where("NOT kept").select(F.col(key).alias("__tm_key"), "__tm_text_hash").distinct()
+    bad = bounded(Scratch(docs.sparkSession, "rejected").keep("bad", bad), REJECTED_ROWS)
+    return docs.join(bad, docs[key].eqNullSafe(bad["__tm_key"]) & (F.xxhash64(docs[text]) == bad["__tm_text_hash"]), "left_anti")

@@ -98,7 +98,7 @@ def op9_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
-    return judge(table(spark, root, "documents")).drop("__text_hash")
+    return judge(table(spark, root, "documents")).drop("__tm_text_hash")
 
 
 @query(
@@ -139,7 +139,7 @@ def op4_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """,
 )
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
-    return find_items(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("__row")
+    return find_items(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("__tm_row")
 
 
 @query("op7_jaccard_join")
