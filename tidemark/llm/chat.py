@@ -28,7 +28,8 @@ def _key(column: str) -> Column:
 def _ancestors(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Distance and summed score from the root for each node that has one, and jump tables to the ancestor 2^k above.
 
-    Pointer doubling: round k joins the table with itself, so a path of n turns takes log2(n) rounds. A parent that isn't
+    Pointer doubling: round k joins the nodes that lie deeper than 2^k with the table, so a path of n turns takes
+    log2(n) rounds. A parent that isn't
     there makes its node a root. Nodes on a cycle, or below one, never reach a root.
     """
     there = nodes.select(F.col("__tree"), F.col("__node").alias("__up"))
@@ -42,10 +43,11 @@ def _ancestors(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, list[Data
         if (now := jumps[-1].count()) in (0, unresolved):
             return state.where("__up IS NULL"), jumps
         unresolved, k = now, k + 1
-        a, b = state.alias("a"), state.alias("b")
-        state = a.join(b, (F.col("a.__tree") == F.col("b.__tree")) & (F.col("a.__up") == F.col("b.__node")), "left").select(
-            "a.__tree", "a.__node", F.col("b.__up").alias("__up"), (F.col("a.__depth") + F.coalesce("b.__depth", F.lit(0))).alias("__depth"), (F.col("a.__sum") + F.coalesce("b.__sum", F.lit(0.0))).alias("__sum")
+        a, b = state.where("__up IS NOT NULL").alias("a"), state.alias("b")
+        moved = a.join(b, (F.col("a.__tree") == F.col("b.__tree")) & (F.col("a.__up") == F.col("b.__node"))).select(
+            "a.__tree", "a.__node", F.col("b.__up").alias("__up"), (F.col("a.__depth") + F.col("b.__depth")).alias("__depth"), (F.col("a.__sum") + F.col("b.__sum")).alias("__sum")
         )
+        state = state.where("__up IS NULL").unionByName(moved)
 
 
 def format_paths(
