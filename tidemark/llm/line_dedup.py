@@ -9,6 +9,8 @@ from tidemark.llm.common import Scratch, let, row_hash, words
 
 #: One line in DIVISOR ends a chunk, and a chunk has at most LONGEST lines; a line of LONG_WORDS words is a chunk by itself.
 DIVISOR, LONGEST, LONG_WORDS = 4, 16, 50
+#: Places that are broadcast at most; and if there are more, the slots whose documents are shuffled.
+SPAN_ROWS, SLOTS = 500_000, 1 << 20
 
 
 def _pieces(lines: Column) -> Column:
@@ -57,45 +59,54 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", dro
 
     Only hashes are shuffled for all pieces. Their text is taken where a hash came twice, and grouped by its bytes; whether a
     piece is the first is decided by anti-joins on its own place, so neither a hot hash nor a hot text gathers in a task.
+    Whole documents meet a broadcast list of places while there are at most SPAN_ROWS; beyond that only documents whose hash
+    falls in the slot of a listed one are shuffled.
 
     Null and empty texts stay as they are. Null or repeated keys are told apart by text, rows equal in both are alike and
     don't count as repeats of each other. An empty table gives an empty result. Other columns are passed on; names that
-    begin with two underscores are reserved.
+    begin with __tm_ are reserved.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    place = ["__key", "__row", "start", "length"]
-    own = docs.where(F.col(text) != "").select(F.col(key).alias("__key"), row_hash(key, text).alias("__row"), F.split(text, "\n").alias("__lines"))
-    large = lambda p: (p["length"] >= 2) | (F.size(words(F.get(F.col("__lines"), p["start"]))) >= LONG_WORDS)
-    spans = F.filter(_pieces(F.col("__lines")), large)
-    hashed = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.xxhash64(_piece_text(F.col("__lines"), p)).alias("h")))
-    pieces = scratch.keep("pieces", own.select("__key", "__row", F.explode(hashed).alias("p")).select("__key", "__row", "p.*"))
-    pieces = pieces.distinct()
+    place = ["__tm_key", "__tm_row", "start", "length"]
+    own = docs.where(F.col(text) != "").select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), F.split(text, "\n").alias("__tm_lines"))
+    large = lambda p: (p["length"] >= 2) | (F.size(words(F.get(F.col("__tm_lines"), p["start"]))) >= LONG_WORDS)
+    spans = F.filter(_pieces(F.col("__tm_lines")), large)
+    hashed = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.xxhash64(_piece_text(F.col("__tm_lines"), p)).alias("h")))
+    pieces = scratch.keep("pieces", own.select("__tm_key", "__tm_row", F.explode(hashed).alias("p")).select("__tm_key", "__tm_row", "p.*"))
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-        right = gone.select(*[F.col(c).alias(f"__g_{c}") for c in place])
-        same = [rows[c].eqNullSafe(right[f"__g_{c}"]) for c in place]
+        right = gone.select(*[F.col(c).alias(f"__tm_g_{c}") for c in place])
+        same = [rows[c].eqNullSafe(right[f"__tm_g_{c}"]) for c in place]
         return rows.join(right, same, "left_anti")
 
     first = F.min(F.struct(*place)).alias("first")
     once = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first).where("n = 1").select("first.*")
     again = scratch.keep("again", without(pieces, once).select(*place))
-    listed = F.collect_list(F.struct("start", "length")).alias("__spans")
+    listed = F.collect_list(F.struct("start", "length")).alias("__tm_spans")
 
     def meet(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-        right = spans.groupBy("__key", "__row").agg(listed).select(F.col("__key").alias("__g_key"), F.col("__row").alias("__g_row"), "__spans")
-        return rows.join(right, rows["__key"].eqNullSafe(right["__g_key"]) & (rows["__row"] == right["__g_row"]), how)
-
-    texts = meet(own, again, "inner").select("__key", "__row", F.explode(F.transform("__spans", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), _piece_text(F.col("__lines"), p).alias("bytes")))).alias("p"))
-    kept = texts.select("__key", "__row", "p.*").groupBy("bytes").agg(first).select("first.*")
+        right = spans.groupBy("__tm_key", "__tm_row").agg(listed).select(F.col("__tm_key").alias("__tm_g_key"), F.col("__tm_row").alias("__tm_g_row"), "__tm_spans")
+        same = rows["__tm_key"].eqNullSafe(right["__tm_g_key"]) & (rows["__tm_row"] == right["__tm_g_row"])
+        if spans.count() <= SPAN_ROWS:
+            return rows.join(F.broadcast(right), same, how)
+        slots = F.broadcast(spans.select(F.pmod("__tm_row", F.lit(SLOTS)).alias("__tm_slot")).distinct())
+        listed_slot = F.pmod(rows["__tm_row"], F.lit(SLOTS)) == slots["__tm_slot"]
+        met = rows.join(slots, listed_slot, "left_semi").join(right, same, how)
+        if how == "inner":
+            return met
+        return met.unionByName(rows.join(slots, listed_slot, "left_anti"), allowMissingColumns=True)
+
+    texts = meet(own, again, "inner").select("__tm_key", "__tm_row", F.explode(F.transform("__tm_spans", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), _piece_text(F.col("__tm_lines"), p).alias("bytes")))).alias("p"))
+    kept = texts.select("__tm_key", "__tm_row", "p.*").groupBy("bytes").agg(first).select("first.*")
     gone = scratch.keep("gone", without(again, kept))
 
-    rows = docs.withColumns({"__key": F.col(key), "__row": row_hash(key, text)})
+    rows = docs.withColumns({"__tm_key": F.col(key), "__tm_row": row_hash(key, text)})
     lines = F.split(text, "\n")
-    covered = lambda i: F.exists(F.col("__spans"), lambda p: (p["start"] <= i) & (i < p["start"] + p["length"]))
+    covered = lambda i: F.exists(F.col("__tm_spans"), lambda p: (p["start"] <= i) & (i < p["start"] + p["length"]))
     left = F.filter(lines, lambda x, i: ~covered(i))
-    out = meet(rows, gone, "left").withColumn("__left", F.when(F.col("__spans").isNotNull(), left))
-    out = out.withColumn("n_lines_removed", F.when(F.col("__left").isNotNull(), F.size(lines) - F.size("__left")).otherwise(0).cast("long"))
-    out = out.withColumn("__new", F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col(text)))
+    out = meet(rows, gone, "left").withColumn("__tm_left", F.when(F.col("__tm_spans").isNotNull(), left))
+    out = out.withColumn("n_lines_removed", F.when(F.col("__tm_left").isNotNull(), F.size(lines) - F.size("__tm_left")).otherwise(0).cast("long"))
+    out = out.withColumn("__tm_new", F.when(F.col("__tm_left").isNotNull(), F.array_join("__tm_left", "\n")).otherwise(F.col(text)))
     if drop_emptied:
-        out = out.where((F.col("n_lines_removed") == 0) | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns], "n_lines_removed")
+        out = out.where((F.col("n_lines_removed") == 0) | F.col("__tm_new").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("__tm_new").alias(c) if c == text else F.col(c) for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")
