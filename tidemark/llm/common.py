@@ -76,17 +76,23 @@ def by_bytes(items: Iterable, size: Callable, limit: int) -> Iterator[list]:
 
 def shingle_hashes(ws: Column, k: int = 5) -> Column:
     """A 64-bit hash of each run of ``k`` words; of all words for a shorter sequence; none without words."""
-    hashed = F.transform(ws, lambda w: F.xxhash64(w))
-    runs = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(ws) == 0, none).when(F.size(ws) < k, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(runs)
+
+    def of(w: Column) -> Column:
+        hashed = F.transform(w, lambda x: F.xxhash64(x))
+        runs = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(runs)
+
+    return let(ws, of)
 
 
 def shingles(ws: Column, k: int = 5) -> Column:
     """The distinct runs of ``k`` words as text, as in ``shingle_hashes``."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.array_join(F.slice(ws, i + 1, F.lit(k)), " "))
-    none = F.array().cast("array<string>")
-    return F.when(F.size(ws) == 0, none).when(F.size(ws) < k, F.array(F.array_join(ws, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return let(ws, of)
 
 
 def row_hash(key: str, text: str) -> Column:
