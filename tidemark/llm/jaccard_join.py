@@ -103,19 +103,21 @@ def _prefixes(frequent, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = frequent.value
         for b in batches:
-            n, keyed, prefixes = [], [], []
+            n, keyed, prefixes, common = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
                 keyed.append(_set_key(s))
                 take = len(s) - _required(len(s), percent) + 1 if len(s) else 0
+                common.append(0)
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     rank = np.where(tokens[at] == s, ranks[at], 0)
+                    common[-1] = int(1000 * np.count_nonzero(rank) / len(s))
                     s = s[np.argsort(rank, kind="stable")]
                 prefixes.append(s[:take].view(np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefixes)]).astype(np.int32), np.concatenate([*prefixes, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keyed], pa.int64()) for i in (0, 1)), lists], ["key", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keyed], pa.int64()) for i in (0, 1)), pa.array(common, pa.int64()), lists], ["key", "n", "k1", "k2", "common", "prefix"])
 
     return run
 
@@ -139,10 +141,11 @@ def _similar(i: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    x = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
+    """The pairs (a, b) whose sets are similar. Only sets of the pairs' own documents are shuffled while the pairs are few."""
+    b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")).join(bounded(pairs, LABEL_ROWS), "b")
+    a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")).join(bounded(pairs.select("a").distinct(), LABEL_ROWS), "a", "left_semi")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return x.where(_similar(shared, F.col("ta"), F.col("tb"), percent)).select("a", "b")
+    return b.join(a, "a").where(_similar(shared, F.col("ta"), F.col("tb"), percent)).select("a", "b")
 
 
 def _open_groups(percent: int):
@@ -178,8 +181,9 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     2. Shingles are ordered by hash, frequent ones last (those that come twice in a task, the FREQUENT most reported; any
        order is right, this one keeps what many documents share out of prefixes). Similar sets share a shingle in their
        prefixes of n - ceil(n * percent / 100) + 1.
-    3. Similar documents are partitioned into groups: where a shingle's documents lie in order of size, each document meets
-       the neighbour that it shares most shingles with; pairs that pass the exact test are joined to components.
+    3. Similar documents are partitioned into groups: the hub of a shingle is the document that holds it in its prefix and has
+       the largest share of frequent shingles (an original rather than its altered copies). Each document meets the hub that
+       it shares most shingles with; pairs that pass the exact test are joined to components.
     4. The token-group matrix holds the shingles of each group's members, in blocks of about MEMBERS, with the range of their
        sizes. A document of another, smaller group is a query where it shares a shingle with a block and sizes allow it.
        The bound is the query's overlap with the token union of the block: only a block that reaches it is opened, and the
@@ -204,13 +208,15 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     by_token = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_token], frequent["c"].to_numpy(np.int64)[by_token]))
 
-    prefixes = own.where("key IS NOT NULL").mapInArrow(_prefixes(frequent, percent), f"key {kind}, n long, k1 long, k2 long, prefix array<long>")
-    classes = prefixes.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("key").alias("doc"), F.any_value("prefix").alias("prefix"))
-    rows = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
+    prefixes = own.where("key IS NOT NULL").mapInArrow(_prefixes(frequent, percent), f"key {kind}, n long, k1 long, k2 long, common long, prefix array<long>")
+    classes = prefixes.where("n > 0").groupBy("k1", "k2", "n", "common").agg(F.min("key").alias("doc"), F.any_value("prefix").alias("prefix"))
+    rows = classes.select("doc", "n", "common", F.posexplode("prefix").alias("pos", "token"))
     line = Window.partitionBy("token").orderBy("n", "doc")
-    rows = rows.withColumns({"prev": F.lag("doc").over(line), "prev_n": F.lag("n").over(line), "next_n": F.lead("n").over(line)})
-    close = (100 * F.col("prev_n") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("next_n"))
-    shared = scratch.keep("shared", rows.where(close).drop("next_n"))
+    rows = rows.withColumns({"prev_n": F.lag("n").over(line), "next_n": F.lead("n").over(line)})
+    rows = rows.where((100 * F.col("prev_n") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("next_n"))).drop("prev_n", "next_n")
+    star = Window.partitionBy("token").orderBy(F.desc("common"), "n", "doc")
+    rows = rows.withColumns({f"hub{c}": F.first(c).over(star) for c in ("doc", "n", "pos")})
+    shared = scratch.keep("shared", rows.drop("common"))
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     used = shared.select(slot("doc").alias("slot")).distinct().toPandas()["slot"].to_numpy()
@@ -219,8 +225,14 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     wanted = spark.sparkContext.broadcast(wanted)
     sets = scratch.keep("sets", own.where("key IS NOT NULL").select("key", "text", slot("key").alias("slot")).mapInArrow(_sets(wanted), f"doc {kind}, tokens array<long>"))
 
-    near = shared.where(100 * F.col("prev_n") >= percent * F.col("n")).groupBy("doc", "prev").agg(F.count(F.lit(1)).alias("c"))
-    best = near.groupBy("doc").agg(F.max(F.struct("c", "prev")).alias("m")).select(F.col("m.prev").alias("a"), F.col("doc").alias("b"))
+    def fits(n: Column, pos: Column, other_n: Column, other_rest: Column) -> Column:
+        """Whether sets of these sizes can still be similar if this is the first shingle that they share."""
+        need = F.ceil(percent * (n + other_n) / (100 + percent))
+        return (n - pos >= need) & (other_rest >= need)
+
+    close = (100 * F.least("n", "hubn") >= percent * F.greatest("n", "hubn")) & fits(F.col("n"), F.col("pos"), F.col("hubn"), F.col("hubn") - F.col("hubpos"))
+    near = shared.where((F.col("doc") != F.col("hubdoc")) & close).groupBy("doc", "hubdoc").agg(F.count(F.lit(1)).alias("c"))
+    best = near.groupBy("doc").agg(F.max(F.struct("c", "hubdoc")).alias("m")).select(F.col("m.hubdoc").alias("a"), F.col("doc").alias("b"))
     links = scratch.keep("links", _verified(scratch.keep("best", best), sets, percent))
     groups = scratch.keep("groups", components(scratch, links, "g"))
 
@@ -229,19 +241,22 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     block = F.when(F.col("size") > MEMBERS, F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / MEMBERS))).otherwise(0).cast("long")
     grouped = shared.join(bounded(labels.withColumnRenamed("node", "doc"), LABEL_ROWS), "doc", "left")
     grouped = grouped.select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("g"), F.coalesce("size", F.lit(1)).alias("size")).withColumn("block", block)
-    mixed = grouped.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    grouped = scratch.keep("grouped", grouped.join(mixed, "token", "left_semi"))
+    every = Window.partitionBy("token")
+    grouped = grouped.withColumns({"least": F.min("g").over(every), "most": F.max("g").over(every)}).where("least <> most").drop("least", "most")
+    grouped = scratch.keep("grouped", grouped)
 
     matrix = grouped.groupBy("token", "g", "size", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     matrix = matrix.select("token", F.col("g").alias("h"), F.col("size").alias("h_size"), "block", "lo", "hi", "rest")
     asked = grouped.select("token", "doc", "n", "pos", "g", "size").join(matrix, "token").where("size < h_size OR (size = h_size AND g < h)")
     asked = asked.where((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")))
-    need = F.ceil(percent * (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))) / (100 + percent))
-    asked = asked.where((F.col("n") - F.col("pos") >= need) & (F.col("rest") >= need)).select("doc", "h", "block").distinct()
+    smallest = F.greatest("lo", F.ceil(F.col("n") * percent / 100))
+    asked = asked.where(fits(F.col("n"), F.col("pos"), smallest, F.col("rest"))).select("doc", "h", "block").distinct()
     asked = scratch.keep("asked", asked)
     salts = asked.groupBy("h", "block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("salts"))
-    queries = asked.join(salts, ["h", "block"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts"))).select("doc", "h", "block", "salt").join(sets.select(F.col("doc").alias("doc"), F.col("tokens").alias("tokens")), "doc")
-    members = grouped.select("doc", F.col("g").alias("h"), "block").distinct().join(salts, ["h", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("doc", "h", "block", "salt").join(sets, "doc")
+    queries = asked.join(salts, ["h", "block"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts"))).select("doc", "h", "block", "salt")
+    members = grouped.select("doc", F.col("g").alias("h"), "block").distinct().join(salts, ["h", "block"])
+    members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("doc", "h", "block", "salt")
+    members, queries = (sets.select(F.col("doc").alias("doc"), F.col("tokens").alias("tokens")).join(bounded(scratch.keep(name, x), LABEL_ROWS), "doc") for name, x in (("members", members), ("queries", queries)))
     by = ["h", "block", "salt"]
     more = members.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_open_groups(percent), f"a {kind}, b {kind}")
     links = scratch.keep("all_links", links.unionByName(more))
