@@ -58,6 +58,28 @@ def test_shifted_passages_are_cut_alike(spark):
         assert r.n_lines_removed >= 50
 
 
+def test_repeated_runs_of_two_to_six_lines_go_whole(spark):
+    rng = random.Random(5)
+    line = lambda i, n: f"r{i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(n - 1))
+    runs = [[line(i, rng.randrange(90 // n // 2 + 3, 49) if n > 2 else rng.randrange(26, 49)) for _ in range(n)] for i, n in enumerate(n for n in range(2, 7) for _ in range(8))]
+    runs = [r for r in runs if sum(len(x.split()) for x in r) >= 50]
+    runs += [[r[0], "", *r[1:]] for r in ([line(900 + i, 30) for _ in range(3)] for i in range(4))]
+    runs += [["one", "two", "three"] + [line(950, 20)] * 1 + [line(951, 27), "four"], [f"single{i}" for i in range(60)], ["tail of long", line(952, 60), "x y"]]
+    docs = []
+    for i, r in enumerate(runs):
+        docs.append((i, "\n".join([f"before {i}", *r, f"after {i}"])))
+        docs.append((1000 + i, "\n".join([f"own a {i}", f"own b {i}", *r, f"own c {i}"])))
+        docs.append((2000 + i, "\n".join(r)))
+    docs += [(3000, "few\nwords"), (3001, "few\nwords again"), (3003, "alone " * 49)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    old = dict(docs)
+    for i in range(len(runs)):
+        assert got[i] == old[i]
+        assert got[1000 + i].split("\n") == [f"own a {i}", f"own b {i}", f"own c {i}"]
+        assert got[2000 + i] == ""
+    assert all(got[k] == old[k] for k in (3000, 3001, 3003))
+
+
 def test_pipeline_stages_take_effect(spark):
     from test_jaccard import brute, shingles
     from test_lm_and_leaks import leaks

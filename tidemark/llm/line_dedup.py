@@ -13,8 +13,8 @@ DIVISOR, LONGEST, LONG_WORDS = 4, 16, 50
 SPAN_ROWS, SLOTS = 500_000, 1 << 20
 
 
-def _pieces(lines: Column) -> Column:
-    """(start, length) of each chunk of ``lines``, and of its heads and tails of two lines and more.
+def _pieces(lines: Column, counts: Column) -> Column:
+    """(start, length) of each chunk of ``lines``, and of its heads and tails of two lines and more. ``counts``: words of each line.
 
     The hash of a line and the one before it (a rolling hash over a window of two line hashes) decides whether the line
     ends a chunk, so boundaries depend on what stands at them, not on their place. A passage is cut at the same places
@@ -22,11 +22,10 @@ def _pieces(lines: Column) -> Column:
     surroundings.
     """
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    long = lambda x: F.size(words(x)) >= LONG_WORDS
 
     def ends(h: Column) -> Column:
         rolled = lambda i: (F.get(h, i) * 31 + F.when(i > 0, F.get(h, i - 1)).otherwise(0)) % 1_000_003 % DIVISOR == 0
-        alone = lambda i: long(F.get(lines, i)) | F.coalesce(long(F.get(lines, i + 1)), F.lit(False))
+        alone = lambda i: (F.get(counts, i) >= LONG_WORDS) | F.coalesce(F.get(counts, i + 1) >= LONG_WORDS, F.lit(False))
         return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == F.size(h) - 1) | rolled(i) | alone(i))
 
     def span(start: Column, end: Column) -> Column:
@@ -45,15 +44,50 @@ def _pieces(lines: Column) -> Column:
     return let(hashes, lambda h: let(ends(h), lambda e: F.flatten(F.transform(chunks(e), parts))))
 
 
+def _windows(counts: Column) -> Column:
+    """(start, length) of the shortest run of two lines and LONG_WORDS words from each line on, and up to each line.
+
+    Lines without words neither begin nor end a run nor count as lines. A run of two lines and LONG_WORDS words, wherever it
+    stands, holds the windows from its first lines on and the one up to its last line, and these together hold all its lines.
+    """
+
+    def reach(ws: Column, k: Column) -> Column:
+        """Lines from ``k`` on until there are enough; null if there never are."""
+        more = lambda a, x: F.when((a["words"] >= LONG_WORDS) & (a["lines"] >= 2), a).otherwise(F.struct((a["words"] + x).alias("words"), (a["lines"] + 1).alias("lines")))
+        within = lambda most: F.aggregate(F.slice(ws, k + 1, F.lit(most)), F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), more, lambda a: F.when((a["words"] >= LONG_WORDS) & (a["lines"] >= 2), a["lines"]))
+        return F.coalesce(within(8), within(LONG_WORDS))
+
+    def of(at: Column) -> Column:
+        each = F.sequence(F.lit(0), F.size(at) - 1)
+        reaches = lambda ws: F.transform(each, lambda k: reach(ws, k))
+        span = lambda a, b: F.struct(F.get(at, a).cast("int").alias("start"), (F.get(at, b) - F.get(at, a) + 1).cast("int").alias("length"))
+        ws = F.transform(at, lambda i: F.get(counts, i))
+
+        def both(ahead: Column, back: Column) -> Column:
+            last = F.size(at) - 1
+            froms = F.transform(F.filter(each, lambda k: F.get(ahead, k).isNotNull()), lambda k: span(k, k + F.get(ahead, k) - 1))
+            first = lambda k: k - F.get(back, last - k) + 1
+            new = F.filter(each, lambda k: F.get(back, last - k).isNotNull() & ~F.coalesce(F.get(ahead, first(k)) == F.get(back, last - k), F.lit(False)))
+            return F.concat(froms, F.transform(new, lambda k: span(first(k), k)))
+
+        return let(reaches(ws), lambda ahead: let(reaches(F.reverse(ws)), lambda back: both(ahead, back)))
+
+    worded = F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.get(counts, i) > 0)
+    enough = F.aggregate(counts, F.lit(0), lambda a, x: a + x) >= LONG_WORDS
+    return let(F.when(enough, worded), lambda at: F.when(F.size(at) >= 2, of(at)).otherwise(F.array().cast("array<struct<start:int,length:int>>")))
+
+
 def _piece_text(lines: Column, p: Column) -> Column:
     return F.array_join(F.slice(lines, p["start"] + 1, p["length"]), "\n")
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop_emptied: bool = False, windows: bool = True) -> DataFrame:
     """``docs`` without the lines that stand in a repeated multi-line chunk, and with ``n_lines_removed``.
 
     Chunks, their heads and their tails (see ``_pieces``) of two lines and more, and single lines of LONG_WORDS words and
-    more, are counted over all documents. Of those with the same bytes the first by ``key`` and place stays; the lines of all
+    more, are counted over all documents; with ``windows`` also those of ``_windows``, so that of every repeated run of two
+    lines and LONG_WORDS words all lines from its first to its last with words are found. Without, a run is missed where
+    boundaries leave single lines or none falls in it. Of those with the same bytes the first by ``key`` and place stays; the lines of all
     others go. Every line that goes has an equal line before it, so each distinct line stays somewhere. ``drop_emptied``
     leaves out documents of which nothing but blank lines is left although they had more.
 
@@ -69,8 +103,16 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", dro
     scratch = Scratch(docs.sparkSession, "lines")
     place = ["__tm_key", "__tm_row", "start", "length"]
     own = docs.where(F.col(text) != "").select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), F.split(text, "\n").alias("__tm_lines"))
-    large = lambda p: (p["length"] >= 2) | (F.size(words(F.get(F.col("__tm_lines"), p["start"]))) >= LONG_WORDS)
-    spans = F.filter(_pieces(F.col("__tm_lines")), large)
+
+    def listed_spans(n: Column) -> Column:
+        large = F.filter(_pieces(F.col("__tm_lines"), n), lambda p: (p["length"] >= 2) | (F.get(n, p["start"]) >= LONG_WORDS))
+        if not windows:
+            return large
+        # What begins and ends with words and has enough is made of windows.
+        made = lambda p: (p["length"] >= 2) & (F.get(n, p["start"]) > 0) & (F.get(n, p["start"] + p["length"] - 1) > 0) & (F.aggregate(F.slice(n, p["start"] + 1, p["length"]), F.lit(0), lambda a, x: a + x) >= LONG_WORDS)
+        return F.concat(F.filter(large, lambda p: ~made(p)), _windows(n))
+
+    spans = let(F.transform("__tm_lines", lambda x: F.size(words(x))), listed_spans)
     hashed = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.xxhash64(_piece_text(F.col("__tm_lines"), p)).alias("h")))
     pieces = scratch.keep("pieces", own.select("__tm_key", "__tm_row", F.explode(hashed).alias("p")).select("__tm_key", "__tm_row", "p.*"))
 
