@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, selection
+from tidemark.operators import intervals, selection, vectors
 from tidemark.sources import diagnostics, xml
 from tidemark.streaming.density import density
 
@@ -109,3 +109,13 @@ def test_density_on_a_stream_equals_batch_up_to_the_watermark(spark, tmp_path):
     batch = rows(density(events, "ts", "1 hour"))
     got = rows(spark.table("density_out"))
     assert got and set(got) <= set(batch) and len(got) >= len(batch) - 1
+
+
+def test_nearest_asks_more_queries_than_a_block_holds(spark):
+    rng = random.Random(8)
+    vecs = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    table = spark.createDataFrame(vecs, "id long, v array<float>").cache()
+    want = rows(vectors.nearest(table, table, "id", "v", 3))
+    assert len(want) == 180
+    for most in (59, 10):
+        assert rows(vectors.nearest(table, table, "id", "v", 3, most=most)) == want

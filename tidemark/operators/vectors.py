@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,18 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
     """The ``k`` most similar vectors of each query, itself left out; ties go to the least key.
 
-    Queries are the small side: at most ``most``, checked, are sent to every task, each of which scores its own vectors.
+    Queries are the small side: they are sent to every task, each of which scores its own vectors. More than ``most`` are
+    asked in blocks by the hash of the key, of half as many on average.
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    if q.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; ask in blocks")
-    scored = vectors.select(key, vector).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, cosine(F.col("__q"), F.col(vector)).alias("score"))
+    n = q.count()
+    blocks = 1 if n <= most else -(-2 * n // most)
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    def asked(q: DataFrame) -> DataFrame:
+        scored = vectors.select(key, vector).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, cosine(F.col("__q"), F.col(vector)).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return asked(q)
+    return reduce(DataFrame.unionByName, [asked(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)) for i in range(blocks)])
