@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded
+from tidemark.llm.common import Scratch, bounded
 
-#: Words of the shared vocabulary, buckets of bigrams, distinct words and words looked up that a task holds at a time.
-VOCABULARY, BUCKETS, HELD = 1 << 16, 1 << 20, 1 << 20
+#: Distinct words or pairs that a task holds at a time; the most frequent words and pairs, whose counts are broadcast.
+HELD, HOT_WORDS, HOT_PAIRS = 1 << 20, 1 << 19, 1 << 19
 #: Target keys that are broadcast at most; with more of them, documents are shuffled to meet them.
 TARGET_ROWS = 1_000_000
 #: Weights of the bigram, unigram and uniform parts, and what is added to a context's count before it has its full weight.
 BIGRAM, UNIGRAM, UNIFORM, CONTEXT = 0.7, 0.25, 0.05, 5.0
+#: Ids of what stands before a first word, and of all words outside a given vocabulary.
+START, UNKNOWN = 0, 1
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -42,120 +46,260 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-class Vocabulary:
-    """Ids of words: 0 for those outside. Texts become id sequences that begin with the id of the start, ``size`` + 1."""
+class Ids(dict):
+    """64-bit ids of words, by hash; of ``known`` only, if it is given."""
 
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        self.size = len(words) + 2
+    def __init__(self, known: list[bytes] | None):
+        super().__init__()
+        self.known = None if known is None else set(known)
+
+    def __missing__(self, word: bytes) -> int:
+        if self.known is not None and word not in self.known:
+            return UNKNOWN
+        if len(self) > HELD:
+            self.clear()
+        self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return out
+
+
+def _encode(b: pa.RecordBatch, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row of (id, key, text, target), and the ids before and of each word."""
+    sizes, before, own = [], [], []
+    for t in b.column(2).cast(pa.binary()).to_pylist():
+        ws = _words(t)
+        sizes.append(len(ws))
+        if ws:
+            x = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
+            own.append(x)
+            before += [[START], x[:-1]]
+    whole = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64)
+    return np.array(sizes, np.int64), whole(before), whole(own)
+
+
+def _target(b: pa.RecordBatch) -> np.ndarray:
+    return np.array(b.column(3).to_pylist(), bool)
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of two ids."""
+    return v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+
+
+def _counted(x: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct ``x`` with the sums of ``counts``."""
+    found, at = np.unique(x, return_inverse=True)
+    return found, *(np.bincount(at, c, len(found)).astype(np.int64) for c in counts)
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        ids = self.ids
-        ws = _words(text)
-        return np.fromiter((ids.get(w, 0) for w in ws), np.int64, len(ws))
 
+def _word_counts(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, n, target_n) of a task, in parts; START counts texts."""
+        ids, held, rows = Ids(known and known.value), [], 0
+
+        def out() -> pa.RecordBatch:
+            sums = _counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in sums], ["word", "n", "target_n"])
 
-def _bigrams(ids: np.ndarray, start: int) -> np.ndarray:
-    """The bucket of each id with the one before it."""
-    before = np.concatenate([[start], ids[:-1]]).astype(np.uint64)
-    x = before * np.uint64(0x9E3779B97F4A7C15) ^ (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(44)).astype(np.int64)
+        for b in batches:
+            sizes, _, w = _encode(b, ids)
+            t = _target(b)
+            some = sizes > 0
+            w, t = np.concatenate([w, np.full(some.sum(), START)]), np.concatenate([np.repeat(t, sizes), t[some]])
+            held.append(_counted(w, np.ones(len(w)), t))
+            rows += len(held[-1][0])
+            if rows > HELD:
+                yield out()
+                rows = 0
+        if held:
+            yield out()
+
+    return run
 
 
-def _count_grams(words):
+def _frequent(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, count) of a task: buckets of bigrams, then ids of words from BUCKETS on."""
-        vocabulary = Vocabulary(words.value)
-        counts = np.zeros(BUCKETS + vocabulary.size, np.int64)
+        """(v, w, n) of the pairs that come twice or more in a part of a task, the HOT_PAIRS most frequent ones."""
+        ids, vs, ws, rows = Ids(known and known.value), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            v, w = np.concatenate(vs), np.concatenate(ws)
+            _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
+            top = np.argsort(-n, kind="stable")[:HOT_PAIRS]
+            top = top[n[top] > 1]
+            vs.clear(), ws.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v[first[top]]), pa.array(w[first[top]]), pa.array(n[top].astype(np.int64))], ["v", "w", "n"])
+
         for b in batches:
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                ids = vocabulary.encode(t)
-                if len(ids):
-                    np.add.at(counts, _bigrams(ids, vocabulary.size - 1), 1)
-                    np.add.at(counts, BUCKETS + ids, 1)
-                    counts[BUCKETS + vocabulary.size - 1] += 1
-        found = np.flatnonzero(counts)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["gram", "count"])
+            _, v, w = _encode(b, ids)
+            vs.append(v), ws.append(w)
+            rows += len(v)
+            if rows > 4 * HELD:
+                yield out()
+                rows = 0
+        if vs:
+            yield out()
 
     return run
 
 
-class Model:
-    """Interpolated bigram model over counts of bigram buckets and words."""
+class Hot:
+    """Places of ids and pairs in sorted arrays; -1 for those that aren't there."""
 
-    def __init__(self, counts: np.ndarray, size: int):
-        self.pairs, own = counts[:BUCKETS], counts[BUCKETS:].astype(np.float64)
-        self.context, self.start = own, size - 1
-        total = max(1.0, own[: size - 1].sum())
-        self.unigram = UNIGRAM * own / total + UNIFORM / (size - 1)
+    def __init__(self, words: np.ndarray, v: np.ndarray, w: np.ndarray):
+        self.words, self.pairs, self.v, self.w = words, _pair(v, w), v, w
 
-    def loss(self, ids: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        """Negative log probability of each id."""
-        before = self.context[np.concatenate([[self.start], ids[:-1]])]
-        weight = BIGRAM * before / (before + CONTEXT)
-        seen = np.minimum(1.0, self.pairs[buckets] / np.maximum(before, 1.0))
-        return -np.log(weight * seen + (1 - weight) / (UNIGRAM + UNIFORM) * self.unigram[ids])
+    @staticmethod
+    def _at(x: np.ndarray, within: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(within, x), len(within) - 1)
+        return np.where(within[at] == x, at, -1) if len(within) else np.full(len(x), -1)
+
+    def word(self, x: np.ndarray) -> np.ndarray:
+        return self._at(x, self.words)
+
+    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at = self._at(_pair(v, w), self.pairs)
+        return np.where((at >= 0) & (self.v[at] == v) & (self.w[at] == w), at, -1) if len(self.v) else at
 
 
-def _score(words, grams):
+def _hot_counts(known, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words.value)
-        target, background = (Model(c, vocabulary.size) for c in grams.value)
+        """(pair, n, target_n) of a task, for the places of hot pairs."""
+        ids, h = Ids(known and known.value), hot.value
+        n, target_n = np.zeros(len(h.v), np.int64), np.zeros(len(h.v), np.int64)
         for b in batches:
-            n, a, z = [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                ids = vocabulary.encode(t)
-                n.append(len(ids))
-                if len(ids):
-                    buckets = _bigrams(ids, vocabulary.size - 1)
-                    a.append(float(target.loss(ids, buckets).mean()))
-                    z.append(float(background.loss(ids, buckets).mean()))
-                else:
-                    a.append(None)
-                    z.append(None)
-            own = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(z, pa.float64())]
-            yield pa.RecordBatch.from_arrays(own, ["key", "n_tokens", "target_loss", "background_loss"])
+            sizes, v, w = _encode(b, ids)
+            at = h.pair(v, w)
+            t = np.repeat(_target(b), sizes)
+            n += np.bincount(at[at >= 0], minlength=len(n))
+            target_n += np.bincount(at[(at >= 0) & t], minlength=len(n))
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found]), pa.array(target_n[found])], ["pair", "n", "target_n"])
 
     return run
 
 
-def score_difference(docs: DataFrame, target_keys: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def _hot_losses(known, hot, losses):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row its words, and the losses of its hot pairs."""
+        ids, h = Ids(known and known.value), hot.value
+        for b in batches:
+            sizes, v, w = _encode(b, ids)
+            at, row = h.pair(v, w), np.repeat(np.arange(len(sizes)), sizes)
+            sums = [np.bincount(row[at >= 0], x[at[at >= 0]], len(sizes)) for x in losses.value]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *map(pa.array, sums)], ["id", "key", "n_tokens", "target_loss", "background_loss"])
+
+    return run
+
+
+def _others(known, hot, rare: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, v, w, target) of each pair that isn't hot, where one of its words isn't either or (not ``rare``) both are."""
+        ids, h = Ids(known and known.value), hot.value
+        for b in batches:
+            sizes, v, w = _encode(b, ids)
+            chosen = (h.pair(v, w) < 0) & (((h.word(v) < 0) | (h.word(w) < 0)) == rare)
+            row = np.repeat(np.arange(len(sizes)), sizes)[chosen]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(v[chosen]), pa.array(w[chosen]), pa.array(_target(b)[row], pa.bool_())], ["id", "v", "w", "target"])
+
+    return run
+
+
+def _loss(pair: Column, before: Column, own: Column, total: float, size: int) -> Column:
+    """Negative log probability of a word, from the counts of the pair, of the word before and of the word."""
+    weight = BIGRAM * before / (before + CONTEXT)
+    seen = F.least(F.lit(1.0), pair / F.greatest(before, F.lit(1)))
+    return -F.log(weight * seen + (1 - weight) / (UNIGRAM + UNIFORM) * (UNIGRAM * own / total + UNIFORM / size))
+
+
+def score_difference(docs: DataFrame, target_keys: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """``key``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` for each row of ``docs``.
 
     Losses are cross-entropies in nats for each token under two matched bigram models; ``score`` is target_loss minus
     background_loss, the mean of the per-token differences: the lower, the more a document is like the target. The target
     model counts the documents whose key is in the only column of ``target_keys``, the background model all documents. Both
-    share one vocabulary, the ``vocabulary`` most frequent words of all documents (ties by the word); all other words are
-    one. Words are what white space separates, A-Z in lower case. Bigrams are counted in BUCKETS hash buckets.
+    share one vocabulary: all words, or the ``vocabulary`` most frequent ones (ties by the word) and one for all others.
+    Words are what white space separates, A-Z in lower case. All words and all pairs of a word and the one before it are
+    counted; words are told apart by a 64-bit hash.
 
-    All counts are over all rows, added up in tasks first, so a task sends at most a row for each of its words, or for each
-    bucket. Vocabulary and buckets bound what is sent to the driver and to every task whatever the input's size. Texts are
-    read four times, and shuffled only to find the target's documents when it has more than TARGET_ROWS keys.
+    Words are added up in tasks and then by a shuffle. Counts of the HOT_WORDS and about HOT_PAIRS most frequent words and
+    pairs are broadcast, and what these give a document is added up where it is read. All other pairs are shuffled with
+    their document's id: first to be counted, those with a word that isn't hot to meet its count, then, added up in tasks,
+    to their document. What is sent to the driver is bounded by HOT_WORDS and HOT_PAIRS, whatever the input's size. Texts
+    are shuffled only to find the target's documents when it has more than TARGET_ROWS keys.
 
     Null and empty texts have no tokens, null losses and a null score. Rows with null keys count in the background and are
     scored; null target keys match nothing, repeated ones count once. Without target rows the target model is uniform. An
     empty table gives an empty result. Only ``key`` and ``text`` are read.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
+    send = spark.sparkContext.broadcast
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = own.mapInArrow(_count_words, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "word").limit(vocabulary).toArrow()
-    words = spark.sparkContext.broadcast([bytes(w) for w in top.column("word").to_pylist()])
-    size = top.num_rows + 2
-
-    keys = bounded(target_keys.select(F.col(target_keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct(), TARGET_ROWS)
-
-    def grams(rows: DataFrame) -> np.ndarray:
-        found = rows.mapInArrow(_count_grams(words), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
-        out = np.zeros(BUCKETS + size, np.float64)
-        out[found.column("gram").to_numpy()] = found.column("count").to_numpy()
-        return out
-
-    models = spark.sparkContext.broadcast((grams(own.join(keys, "key", "left_semi")), grams(own)))
-    scored = own.mapInArrow(_score(words, models), f"key {kind}, n_tokens long, target_loss double, background_loss double")
-    return scored.select(F.col("key").alias(key), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    known = None
+    if vocabulary is not None:
+        found = own.mapInArrow(_count_words, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+        known = send([bytes(w) for w in found.orderBy(F.desc("count"), "word").limit(vocabulary).toArrow().column("word").to_pylist()])
+
+    keys = bounded(target_keys.select(F.col(target_keys.columns[0]).alias("__tm_k")).where("__tm_k IS NOT NULL").distinct(), TARGET_ROWS)
+    own = own.join(keys, F.col("key") == F.col("__tm_k"), "left").select(F.xxhash64(F.col("key").isNull(), "key", "text").alias("id"), "key", "text", F.col("__tm_k").isNotNull().alias("target"))
+
+    words = own.mapInArrow(_word_counts(known), "word long, n long, target_n long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
+    words = scratch.keep("words", words)
+    is_word = words.where(F.col("word") != START)
+    sums = is_word.agg(F.sum("n"), F.sum("target_n"), F.count(F.when(F.col("word") != UNKNOWN, 1))).first()
+    total, target_total, size = float(max(1, sums[0] or 0)), float(max(1, sums[1] or 0)), sums[2] + 1
+    hot_words = scratch.keep("hot_words", words.orderBy(F.desc("n"), "word").limit(HOT_WORDS))
+    ids = np.sort(hot_words.select("word").toArrow().column(0).to_numpy())
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy()
+
+    def with_words(pairs: DataFrame, counts: DataFrame, hint) -> DataFrame:
+        """``pairs`` of (v, w) with the counts of both words, and the losses."""
+        for c in ("v", "w"):
+            pairs = pairs.join(hint(counts.select(F.col("word").alias(c), F.col("n").alias(f"{c}_n"), F.col("target_n").alias(f"{c}_target_n"))), c)
+        return pairs.withColumns({"target_loss": _loss(F.col("target_n"), F.col("v_target_n"), F.col("w_target_n"), target_total, size), "background_loss": _loss(F.col("n"), F.col("v_n"), F.col("w_n"), total, size)})
+
+    # Hot pairs, of hot words only: chosen by their counts in parts of tasks, then counted over all rows.
+    found = own.mapInArrow(_frequent(known), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v", "w").limit(HOT_PAIRS).toArrow()
+    v, w = column(found, "v"), column(found, "w")
+    both = np.isin(v, ids) & np.isin(w, ids)
+    v, w = v[both], w[both]
+    _, order = np.unique(_pair(v, w), return_index=True)
+    hot = send(Hot(ids, v[order], w[order]))
+    counts = own.mapInArrow(_hot_counts(known, hot), "pair long, n long, target_n long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n")).toArrow()
+    numbers = np.zeros((2, len(order)), np.int64)
+    for i, c in enumerate(("target_n", "n")):
+        numbers[i, column(counts, "pair")] = column(counts, c)
+    place = np.zeros((4, len(order)), np.int64)
+    table = hot_words.toArrow()
+    by_word = np.argsort(column(table, "word"))
+    for i, x in enumerate((hot.value.v, hot.value.w)):
+        at = np.searchsorted(ids, x)
+        place[2 * i], place[2 * i + 1] = column(table, "target_n")[by_word][at], column(table, "n")[by_word][at]
+
+    def loss(i: int, total: float) -> np.ndarray:
+        before = place[i].astype(np.float64)
+        weight = BIGRAM * before / (before + CONTEXT)
+        seen = np.minimum(1.0, numbers[i] / np.maximum(before, 1.0))
+        return -np.log(weight * seen + (1 - weight) / (UNIGRAM + UNIFORM) * (UNIGRAM * place[2 + i] / total + UNIFORM / size))
+
+    losses = send((loss(0, target_total), loss(1, total)))
+    rows = own.mapInArrow(_hot_losses(known, hot, losses), f"id long, key {kind}, n_tokens long, target_loss double, background_loss double")
+    rows = rows.groupBy("id", "key").agg(*[F.first(c).alias(c) for c in rows.columns[2:]], F.count(F.lit(1)).alias("copies"))
+
+    same = Window.partitionBy("v", "w")
+
+    def others(rare: bool) -> DataFrame:
+        pairs = own.mapInArrow(_others(known, hot, rare), "id long, v long, w long, target boolean")
+        pairs = pairs.select("id", "v", "w", F.count(F.lit(1)).over(same).alias("n"), F.count(F.when(F.col("target"), 1)).over(same).alias("target_n"))
+        met = with_words(pairs, words, lambda x: x) if rare else with_words(pairs, hot_words, F.broadcast)
+        return met.select("id", "target_loss", "background_loss")
+
+    parts = [others(False)] if words.count() <= HOT_WORDS else [others(False), others(True)]
+    rest = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("target_loss").alias("more_t"), F.sum("background_loss").alias("more_b"))
+    out = rows.join(rest, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    mean = lambda own, more: F.when(F.col("n_tokens") > 0, (F.col(own) + F.coalesce(F.col(more), F.lit(0.0)) / F.col("copies")) / F.col("n_tokens"))
+    out = out.select("key", "n_tokens", mean("target_loss", "more_t").alias("target_loss"), mean("background_loss", "more_b").alias("background_loss"))
+    return out.select(F.col("key").alias(key), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
