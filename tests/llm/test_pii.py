@@ -39,6 +39,21 @@ def test_surrogates_keep_kind_layout_and_coreference(spark):
     assert replace_entities(table.limit(0), "k").collect() == []
 
 
+def test_names_of_titled_persons_go_where_they_stand_bare(spark):
+    rows = [
+        (1, "Mrs. Ada Holm called. Ada Holm (Holm) paid. ADA HOLM's bill, Holmes and Adam stay; Holm@x.org"),
+        (2, "Dr. Ada Holm's and Holm met Mr. Bo Ada. Bo Ada left, Ada too."),
+        (3, "Ada Holm has no title here."),
+    ]
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    ada, holm, again, holm2, holm3, ADA, HOLM, mail = re.fullmatch(r"Mrs\. (\w+) (\w+) called\. (\w+) (\w+) \((\w+)\) paid\. (\w+) (\w+)'s bill, Holmes and Adam stay; (\w+)@\S+", got[1].text).groups()
+    assert ada == again != "Ada" and holm == holm2 == holm3 != "Holm" and (ADA, HOLM) == (ada.upper(), holm.upper()) and mail != "Holm"
+    assert any(ada.lower().endswith(e) for e in pii.ENDINGS["latin"]["f"]) and got[1].n_person == 4 and got[1].n_email == 1
+    doctor, h, h2, bo, other, bo2, other2, last = re.fullmatch(r"Dr\. (\w+) (\w+)'s and (\w+) met Mr\. (\w+) (\w+)\. (\w+) (\w+) left, (\w+) too\.", got[2].text).groups()
+    assert doctor == ada and h == h2 == holm and bo == bo2 != "Bo" and other == other2 == last != "Ada"
+    assert got[3].text == rows[2][1] and got[3].n_person == 0
+
+
 def test_distinct_entities_stay_distinct_in_a_crowded_format(spark):
     """900 of the 254^4 addresses that hash to the same few letters: one-letter mail names collide and are tried again."""
     entities = spark.createDataFrame([("email", f"{a}{b}@x.org") for a in "abcdefghij" for b in "0123456789"] + [("email", f"{a}@x.org") for a in "abcdefghijklmnopqrstuvwxyz"], "type string, canon string")

@@ -51,29 +51,65 @@ def _script(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _parts(mention: Column, kind: Column) -> Column:
-    """(type, canon, raw) for each part of a mention; parts of type "" stay. Equal (type, canon) are one entity.
+def _parts(mention: Column, kind: Column, surnames: Column | None = None, given: Column | None = None) -> Column:
+    """(type, canon, raw, gender) for each part of a mention; parts of type "" stay. Equal (type, canon) are one entity.
 
     Numbers are known by their digits, e-mail addresses in lower case, persons by each name: what comes last is the
-    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it.
+    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it. Names without a title are what the document's titled persons
+    make them: ``surnames`` or ``given`` names, or either by their place if they are both.
     """
 
-    def part(kind: Column, canon: Column, raw: Column) -> Column:
-        return F.struct(kind.alias("type"), canon.alias("canon"), raw.alias("raw"))
+    def part(kind: Column, canon: Column, raw: Column, gender: Column | None = None) -> Column:
+        return F.struct(kind.alias("type"), canon.alias("canon"), raw.alias("raw"), (F.lit("n") if gender is None else gender).alias("gender"))
 
     number = _digits(mention)
     phone = F.when((F.length(number) == 11) & number.startswith("1"), number.substr(2, 10)).otherwise(number)
     canon = F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), number).when(kind == "phone", phone).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
-    tokens = F.regexp_extract_all(mention, F.lit(r"[ \t]+|[^ \t]+"), F.lit(0))
+    tokens = F.regexp_extract_all(mention, F.lit(r"[ \t]+|['’]s(?![^ \t])|(?:(?!['’]s(?![^ \t]))[^ \t])+"), F.lit(0))
     gender = F.when(mention.rlike(rf"^(?:{TITLES['m']})\b"), "m").when(mention.rlike(rf"^(?:{TITLES['f']})\b"), "f").otherwise("n")
 
+    titled = mention.rlike(rf"^(?:{'|'.join(TITLES.values())})\.?[ \t]")
+
     def name(t: Column, i: Column) -> Column:
-        role = F.when((i == 0) | t.rlike(r"^[ \t]"), "").when(i == F.size(tokens) - 1, F.concat(F.lit("surname:"), _script(t))).otherwise(F.concat(F.lit("given-"), gender, F.lit(":"), _script(t)))
-        return part(role, F.lower(t), t)
+        end = F.size(tokens) - F.when(F.element_at(tokens, -1).rlike("^['’]s$"), 2).otherwise(1)
+        is_surname = i == end
+        if surnames is not None:
+            known = F.when(is_surname, F.array_contains(surnames, F.lower(t))).otherwise(~F.array_contains(given, F.lower(t)))
+            is_surname = F.when(titled, is_surname).otherwise(known)
+        role = F.when((titled & (i == 0)) | t.rlike(r"^[ \t]|^['’]s$"), "").otherwise(F.concat(F.when(is_surname, "surname:").otherwise("given:"), _script(t)))
+        return part(role, F.lower(t), t, F.when(role.startswith("given"), gender).otherwise("n"))
 
     return F.when(kind == "person", F.transform(tokens, name)).otherwise(F.array(part(kind, canon, mention)))
 
 
+def _mentions(text: Column) -> Column:
+    """(list, bare, surnames, given) of a text: its mentions, and the pattern of the names of titled persons, null without any.
+
+    With titled persons the list also has their names where they stand without a title, as they were written, in capitals
+    or with capitals at the start only.
+    """
+
+    def of(found: Column) -> Column:
+        persons = F.filter(found, lambda m: m.rlike(rf"^(?:{PERSON})$"))
+        names = F.filter(F.flatten(F.transform(persons, lambda m: _parts(m, F.lit("person")))), lambda p: p["type"] != "")
+        return let(names, lambda names: let(bare(names), lambda b: F.struct(
+            F.when(b.isNull(), found).otherwise(F.regexp_extract_all(text, F.concat(F.lit(f"{ANY}|"), b), F.lit(0))).alias("list"), b.alias("bare"),
+            canon(names, "surname").alias("surnames"), canon(names, "given").alias("given"),
+        )))
+
+    def canon(names: Column, role: str) -> Column:
+        return F.array_distinct(F.transform(F.filter(names, lambda p: p["type"].startswith(role)), lambda p: p["canon"]))
+
+    def bare(names: Column) -> Column:
+        written = F.flatten(F.transform(names, lambda p: F.array(p["raw"], F.upper(p["raw"]), F.initcap(p["raw"]))))
+        # Longer names first, so that none is cut at a shorter one.
+        longest = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(written), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), lambda x: x["x"])
+        one = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+        return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), one, F.lit(r"(?:[ \t]+"), one, F.lit("){0,2}")))
+
+    return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), of)
+
+
 def _byte(seed: Column, i: Column | int) -> Column:
     at = i if isinstance(i, Column) else F.lit(i)
     return F.conv(F.substring(seed, (at % 64 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
@@ -188,7 +224,9 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
 
     A surrogate depends on ``secret`` and the entity, so an entity has the same one in every document and every run on the
     same documents; it keeps kind, length and layout, country prefix, card brand and check digit, top-level domain,
-    script, and the gender that a title tells. ``assign_surrogates`` keeps distinct entities distinct.
+    script, and the gender that the titles before a given name tell, if they tell one. ``assign_surrogates`` keeps distinct
+    entities distinct. Persons are known by a title (TITLES); their names are also replaced elsewhere in the same document.
+    Persons that have no title anywhere in a document stay.
 
     One pass finds mentions and writes them; entities are distinct by map-side aggregation; mentions meet their surrogates
     by a join that the engine can split at a hot entity. Only documents with mentions are shuffled, to meet their list of
@@ -198,15 +236,19 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     result. Other columns are passed on; names that begin with __tm_ are reserved.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    found = docs.select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), F.posexplode(mentions).alias("pos", "mention"))
-    found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("parts", _parts(F.col("mention"), F.col("kind")))
-    found = scratch.keep("mentions", found.select("__tm_key", "__tm_row", "pos", "kind", F.posexplode("parts").alias("no", "part")).select("__tm_key", "__tm_row", "pos", "kind", "no", "part.*"))
-    entities = assign_surrogates(scratch, found.where("type <> ''").select("type", "canon").distinct(), secret)
+    found = docs.select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), _mentions(F.col(text)).alias("m"))
+    found = found.select("__tm_key", "__tm_row", "m.bare", "m.surnames", "m.given", F.posexplode("m.list").alias("pos", "mention"))
+    found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("parts", _parts(F.col("mention"), F.col("kind"), F.col("surnames"), F.col("given")))
+    found = scratch.keep("mentions", found.select("__tm_key", "__tm_row", "bare", "pos", "kind", F.posexplode("parts").alias("no", "part")).select("__tm_key", "__tm_row", "bare", "pos", "kind", "no", "part.*"))
+    told = found.where("type <> ''").groupBy("type", "canon").agg(F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    settled = F.when(F.col("type").startswith("given:"), F.concat(F.lit("given-"), gender, F.substring("type", 6, 100))).otherwise(F.col("type"))
+    entities = assign_surrogates(scratch, told.select(settled.alias("type"), "canon"), secret)
+    entities = entities.withColumn("type", F.regexp_replace("type", "^given-.", "given"))
 
     met = found.join(entities, ["type", "canon"], "left").withColumn("new", _render(F.col("type"), F.col("raw"), F.col("surrogate")))
-    each = met.groupBy("__tm_key", "__tm_row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__tm_new"))
-    each = each.select(F.col("__tm_key").alias("__tm_k"), F.col("__tm_row").alias("__tm_r"), "__tm_new")
+    each = met.groupBy("__tm_key", "__tm_row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__tm_new"), F.first("bare").alias("__tm_bare"))
+    each = each.select(F.col("__tm_key").alias("__tm_k"), F.col("__tm_row").alias("__tm_r"), "__tm_new", "__tm_bare")
 
     rows = docs.withColumn("__tm_row", row_hash(key, text))
     has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
@@ -214,7 +256,7 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     # Parts of one mention stand together; what lies between mentions follows the last part of each.
     ends = lambda x, i: ~F.coalesce(F.get("__tm_new", i + 1)["pos"] == x["pos"], F.lit(False))
     piece = lambda between: lambda x, i: F.concat(x["new"], F.when(ends(x, i), F.get(between, x["pos"] + 1)).otherwise(""))
-    joined = let(F.split(text, ANY, -1), lambda between: F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__tm_new", piece(between)), "")))
+    joined = let(F.when(F.col("__tm_bare").isNull(), F.split(text, ANY, -1)).otherwise(F.split(F.col(text), F.concat(F.lit(f"{ANY}|"), F.col("__tm_bare")), F.lit(-1))), lambda between: F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__tm_new", piece(between)), "")))
     count = lambda k: F.size(F.filter("__tm_new", lambda x: (x["kind"] == k) & (x["no"] == 0))).cast("long").alias(f"n_{k}")
     others = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in others], *[count(k) for k in KINDS])
