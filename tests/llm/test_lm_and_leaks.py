@@ -1,11 +1,8 @@
 import random
 import re
-from collections import Counter
 
 import numpy as np
-import pytest
 
-from tidemark.llm import lm_scoring
 from tidemark.llm.decontamination import find_items, without_items
 from tidemark.llm.lm_scoring import score_difference
 
@@ -19,80 +16,6 @@ def test_held_out_labels_are_told_apart(spark):
     assert np.mean([a < b for a in good for b in bad]) > 0.9
 
 
-def test_losses_are_those_of_the_counts(spark):
-    """Against plain dictionaries; so few words share no bucket."""
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))) for _ in range(40)]
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "a b", "x"), (99, None, "x"), (3, "a", "x")]
-    got = score_difference(spark.createDataFrame(rows, "doc_id long, text string, key string"), spark.createDataFrame([(1,), (2,), (2,), (None,), (500,)], "k long"), vocabulary=6).collect()
-
-    def model(own):
-        uni, bi, start = {}, {}, "^"
-        for t in own:
-            for x, y in zip([start, *t], t, strict=False):
-                bi[x, y] = bi.get((x, y), 0) + 1
-                uni[y] = uni.get(y, 0) + 1
-        starts, total, size = sum(bool(t) for t in own), max(1, sum(uni.values())), 8
-
-        def loss(t):
-            out = []
-            for x, y in zip([start, *t], t, strict=False):
-                before = starts if x == start else uni.get(x, 0)
-                w = lm_scoring.BIGRAM * before / (before + lm_scoring.CONTEXT)
-                base = lm_scoring.UNIGRAM * uni.get(y, 0) / total + lm_scoring.UNIFORM / (size - 1)
-                out.append(-np.log(w * bi.get((x, y), 0) / max(before, 1) + (1 - w) / (lm_scoring.UNIGRAM + lm_scoring.UNIFORM) * base))
-            return np.mean(out) if out else None
-
-        return loss
-
-    words = [(r[0], (r[1] or "").split()) for r in rows]
-    count = {}
-    for _, t in words:
-        for w in t:
-            count[w] = count.get(w, 0) + 1
-    known = sorted(count, key=lambda w: (-count[w], w))[:6]
-    words = [(k, [w if w in known else "?" for w in t]) for k, t in words]
-    target, background = model([t for k, t in words if k in (1, 2)]), model([t for _, t in words])
-    want = sorted((str(k), len(t), *(x if x is None else round(float(x), 9) for x in (target(t), background(t)))) for k, t in words)
-    assert sorted((str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in got) == want
-    assert all((r.score is None) == (r.n_tokens == 0) for r in got)
-    assert score_difference(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "k long")).collect() == []
-
-
-@pytest.mark.parametrize("hot", [1 << 19, 700])
-def test_no_word_and_no_pair_is_left_out(spark, monkeypatch, hot):
-    """More distinct words than 65,536, all pairs exact; with few hot ones the rest is shuffled."""
-    monkeypatch.setattr(lm_scoring, "HOT_WORDS", hot)
-    monkeypatch.setattr(lm_scoring, "HOT_PAIRS", hot)
-    rng = random.Random(3)
-    names = [f"n{i}" for i in range(70_000)]
-    rng.shuffle(names)
-    texts = [names[i : i + 200] + ["the", "end"] * rng.randrange(3) + [rng.choice(names) for _ in range(20)] for i in range(0, len(names), 200)]
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(5, " ".join(texts[5])), (None, "the end"), (999, "")]
-    targets = set(range(0, 350, 3))
-    got = score_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in targets], "k long")).collect()
-    texts = [(k, t.split()) for k, t in rows]
-    size = len({w for _, t in texts for w in t}) + 1
-
-    def model(own):
-        uni, bi = Counter(w for t in own for w in t), Counter(p for t in own for p in zip(["^", *t], t, strict=False))
-        uni["^"], total = sum(bool(t) for t in own), sum(len(t) for t in own)
-
-        def loss(t):
-            out = 0.0
-            for x, y in zip(["^", *t], t, strict=False):
-                weight = lm_scoring.BIGRAM * uni[x] / (uni[x] + lm_scoring.CONTEXT)
-                base = lm_scoring.UNIGRAM * uni[y] / total + lm_scoring.UNIFORM / size
-                out -= np.log(weight * bi[x, y] / max(uni[x], 1) + (1 - weight) / (lm_scoring.UNIGRAM + lm_scoring.UNIFORM) * base)
-            return out / len(t) if t else None
-
-        return loss
-
-    target, background = model([t for k, t in texts if k in targets]), model([t for _, t in texts])
-    shown = lambda x: x if x is None else round(float(x), 8)
-    assert sorted((str(r.doc_id), r.n_tokens, shown(r.target_loss), shown(r.background_loss)) for r in got) == sorted((str(k), len(t), shown(target(t)), shown(background(t))) for k, t in texts)
-
-
 def leaks(docs, items):
     def shingles(t):
         ws = re.findall(r"[^\W_]+", (t or "").lower())

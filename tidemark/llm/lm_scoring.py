@@ -3,303 +3,234 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded
+from tidemark.llm.common import Scratch
+from tidemark.llm.hashing import mixed, word_hashes
 
-#: Distinct words or pairs that a task holds at a time; the most frequent words and pairs, whose counts are broadcast.
-HELD, HOT_WORDS, HOT_PAIRS = 1 << 20, 1 << 19, 1 << 19
-#: Target keys that are broadcast at most; with more of them, documents are shuffled to meet them.
-TARGET_ROWS = 1_000_000
+#: Bytes of text in a block of documents; bytes of text for each bucket of pairs, and of words.
+BLOCK, PAIR_BYTES, WORD_BYTES = 4 << 20, 12 << 20, 96 << 20
 #: Weights of the bigram, unigram and uniform parts, and what is added to a context's count before it has its full weight.
 BIGRAM, UNIGRAM, UNIFORM, CONTEXT = 0.7, 0.25, 0.05, 5.0
-#: Ids of what stands before a first word, and of all words outside a given vocabulary.
-START, UNKNOWN = 0, 1
+#: Hashes of what stands before a text's first word and behind its last; kinds of entries.
+START, END, WORDS, PAIRS = np.uint64(0x51A7), np.uint64(0xE4D), 0, 1
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) of a task, in parts of at most about HELD distinct words."""
-    from collections import Counter
-
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
-        counts.clear()
-        return out
-
-    for b in batches:
-        for t in b.column(1).cast(pa.binary()).to_pylist():
-            counts.update(_words(t))
-        if len(counts) > HELD:
-            yield rows()
-    yield rows()
-
-
-class Ids(dict):
-    """64-bit ids of words, by hash; of ``known`` only, if it is given."""
-
-    def __init__(self, known: list[bytes] | None):
-        super().__init__()
-        self.known = None if known is None else set(known)
-
-    def __missing__(self, word: bytes) -> int:
-        if self.known is not None and word not in self.known:
-            return UNKNOWN
-        if len(self) > HELD:
-            self.clear()
-        self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return out
-
+def _blocks(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, keys, bytes, payload) for about each BLOCK bytes of texts: their lengths, -1 for null, and the texts, compressed."""
+        number = TaskContext.get().partitionId() << 32
+        keys, texts, held = [], [], 0
 
-def _encode(b: pa.RecordBatch, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row of (id, key, text, target), and the ids before and of each word."""
-    sizes, before, own = [], [], []
-    for t in b.column(2).cast(pa.binary()).to_pylist():
-        ws = _words(t)
-        sizes.append(len(ws))
-        if ws:
-            x = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
-            own.append(x)
-            before += [[START], x[:-1]]
-    whole = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64)
-    return np.array(sizes, np.int64), whole(before), whole(own)
+        def out() -> pa.RecordBatch:
+            sizes = np.array([-1 if t is None else len(t) for t in texts], np.int64)
+            raw = sizes.tobytes() + b"".join(t for t in texts if t)
+            row = [number, pa.concat_arrays(keys).to_pylist(), len(raw), _squeeze(raw, 6)]
+            keys.clear(), texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(kind), pa.int64(), pa.binary()), strict=True)], ["block", "keys", "bytes", "payload"])
 
+        for b in batches:
+            for i, t in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+                if texts and held + len(t or b"") > BLOCK:
+                    yield out()
+                    number, held = number + 1, 0
+                keys.append(b.column(0).slice(i, 1))
+                texts.append(t)
+                held += len(t or b"") + 16
+        if texts:
+            yield out()
 
-def _target(b: pa.RecordBatch) -> np.ndarray:
-    return np.array(b.column(3).to_pylist(), bool)
+    return run
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A hash of two ids."""
-    return v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+class Events:
+    """The events of a block: each word of a text after the word before it, and the end of each text that has words.
 
+    ``doc``: whose event it is; ``words`` and ``pairs``: the sorted distinct hashes of words and of pairs with the word before;
+    ``word``, ``before``, ``pair``: their places for each event. A text begins once and ends once, so what stands before
+    its first word has the count of what stands behind its last.
+    """
 
-def _counted(x: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct ``x`` with the sums of ``counts``."""
-    found, at = np.unique(x, return_inverse=True)
-    return found, *(np.bincount(at, c, len(found)).astype(np.int64) for c in counts)
+    def __init__(self, payload: bytes, n: int, bits: int):
+        raw = _release(payload)
+        sizes = np.frombuffer(raw, np.int64, n)
+        ends = 8 * n + np.cumsum(np.maximum(sizes, 0))
+        h, self.n_words = word_hashes([raw[e - max(s, 0) : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+        some = self.n_words > 0
+        stops = np.cumsum(self.n_words)[some]
+        own, prior = np.insert(h, stops, END), np.insert(h, stops - self.n_words[some], START)
+        self.doc = np.repeat(np.arange(n), np.where(some, self.n_words + 1, 0))
+        cut = np.uint64(64 - bits)
+        self.words, self.word = np.unique(own >> cut, return_inverse=True)
+        self.pairs, self.pair = np.unique(mixed(prior * np.uint64(0x9E3779B97F4A7C15) + own) >> cut, return_inverse=True)
+        self.before = np.roll(self.word, 1)
 
+    def own(self, entry: np.ndarray, of: int) -> np.ndarray:
+        """How often each event's entry (one of ``of``) comes in its own document."""
+        _, at, n = np.unique(self.doc * of + entry, return_inverse=True, return_counts=True)
+        return n[at]
 
-def _word_counts(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, n, target_n) of a task, in parts; START counts texts."""
-        ids, held, rows = Ids(known and known.value), [], 0
 
-        def out() -> pa.RecordBatch:
-            sums = _counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in sums], ["word", "n", "target_n"])
+def _bucket(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Rises with the hash."""
+    return ((hashes >> np.uint64(bits - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
-        for b in batches:
-            sizes, _, w = _encode(b, ids)
-            t = _target(b)
-            some = sizes > 0
-            w, t = np.concatenate([w, np.full(some.sum(), START)]), np.concatenate([np.repeat(t, sizes), t[some]])
-            held.append(_counted(w, np.ones(len(w)), t))
-            rows += len(held[-1][0])
-            if rows > HELD:
-                yield out()
-                rows = 0
-        if held:
-            yield out()
 
-    return run
+def _squeeze(data: bytes, level: int = 1) -> bytes:
+    """``data`` compressed, its size before it."""
+    return np.int64(len(data)).tobytes() + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
-def _frequent(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(v, w, n) of the pairs that come twice or more in a part of a task, the HOT_PAIRS most frequent ones."""
-        ids, vs, ws, rows = Ids(known and known.value), [], [], 0
+def _release(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, np.int64, 1)[0]), codec="zstd", asbytes=True)
 
-        def out() -> pa.RecordBatch:
-            v, w = np.concatenate(vs), np.concatenate(ws)
-            _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
-            top = np.argsort(-n, kind="stable")[:HOT_PAIRS]
-            top = top[n[top] > 1]
-            vs.clear(), ws.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v[first[top]]), pa.array(w[first[top]]), pa.array(n[top].astype(np.int64))], ["v", "w", "n"])
 
-        for b in batches:
-            _, v, w = _encode(b, ids)
-            vs.append(v), ws.append(w)
-            rows += len(v)
-            if rows > 4 * HELD:
-                yield out()
-                rows = 0
-        if vs:
-            yield out()
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """How many there are, a byte for each count, and those that don't fit in one behind them."""
+    large = counts >= 255
+    return _squeeze(np.int64(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes())
 
-    return run
 
+def _unpack_counts(data: bytes) -> np.ndarray:
+    data = _release(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.int64, offset=8 + n)
+    return counts
 
-class Hot:
-    """Places of ids and pairs in sorted arrays; -1 for those that aren't there."""
 
-    def __init__(self, words: np.ndarray, v: np.ndarray, w: np.ndarray):
-        self.words, self.pairs, self.v, self.w = words, _pair(v, w), v, w
+def _pack_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, first the lowest bytes of all; the highest ones are mostly zero."""
+    return _squeeze(np.ascontiguousarray(np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    @staticmethod
-    def _at(x: np.ndarray, within: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(within, x), len(within) - 1)
-        return np.where(within[at] == x, at, -1) if len(within) else np.full(len(x), -1)
 
-    def word(self, x: np.ndarray) -> np.ndarray:
-        return self._at(x, self.words)
+def _unpack_hashes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_release(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        at = self._at(_pair(v, w), self.pairs)
-        return np.where((at >= 0) & (self.v[at] == v) & (self.w[at] == w), at, -1) if len(self.v) else at
 
+def _flags(right: pa.Table, n: int) -> np.ndarray:
+    target = np.zeros(n, bool)
+    for places in right.column("places").to_pylist():
+        target[places or []] = True
+    return target
 
-def _hot_counts(known, hot):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(pair, n, target_n) of a task, for the places of hot pairs."""
-        ids, h = Ids(known and known.value), hot.value
-        n, target_n = np.zeros(len(h.v), np.int64), np.zeros(len(h.v), np.int64)
-        for b in batches:
-            sizes, v, w = _encode(b, ids)
-            at = h.pair(v, w)
-            t = np.repeat(_target(b), sizes)
-            n += np.bincount(at[at >= 0], minlength=len(n))
-            target_n += np.bincount(at[(at >= 0) & t], minlength=len(n))
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found]), pa.array(target_n[found])], ["pair", "n", "target_n"])
 
-    return run
+COUNTED = "kind int, bucket int, block long, keys binary, n binary, target_n binary"
 
 
-def _hot_losses(known, hot, losses):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each row its words, and the losses of its hot pairs."""
-        ids, h = Ids(known and known.value), hot.value
-        for b in batches:
-            sizes, v, w = _encode(b, ids)
-            at, row = h.pair(v, w), np.repeat(np.arange(len(sizes)), sizes)
-            sums = [np.bincount(row[at >= 0], x[at[at >= 0]], len(sizes)) for x in losses.value]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *map(pa.array, sums)], ["id", "key", "n_tokens", "target_loss", "background_loss"])
+def _count_block(buckets: tuple[int, int], bits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The entries of a block and their counts, in all documents and in target documents, a row for each bucket."""
+        out = []
+        for block, keys, payload in zip(*(left.column(c).to_pylist() for c in ("block", "keys", "payload")), strict=True):
+            e = Events(payload, len(keys), bits)
+            target = _flags(right, len(keys))[e.doc]
+            for kind, found, at in ((WORDS, e.words, e.word), (PAIRS, e.pairs, e.pair)):
+                n, t = np.bincount(at, minlength=len(found)), np.bincount(at[target], minlength=len(found))
+                edges = np.flatnonzero(np.diff(_bucket(found, buckets[kind], bits), prepend=-1)).tolist()
+                for a, b in zip(edges, [*edges, len(found)][1:], strict=bool(edges)):
+                    out.append((kind, int(_bucket(found[a : a + 1], buckets[kind], bits)[0]), block, _pack_hashes(found[a:b]), _pack_counts(n[a:b]), _pack_counts(t[a:b])))
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [c.split()[0] for c in COUNTED.split(", ")])
 
     return run
 
 
-def _others(known, hot, rare: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, v, w, target) of each pair that isn't hot, where one of its words isn't either or (not ``rare``) both are."""
-        ids, h = Ids(known and known.value), hot.value
-        for b in batches:
-            sizes, v, w = _encode(b, ids)
-            chosen = (h.pair(v, w) < 0) & (((h.word(v) < 0) | (h.word(w) < 0)) == rare)
-            row = np.repeat(np.arange(len(sizes)), sizes)[chosen]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(v[chosen]), pa.array(w[chosen]), pa.array(_target(b)[row], pa.bool_())], ["id", "v", "w", "target"])
+SUMS = "block long, kind int, bucket int, entries long, total long, target_total long, n binary, target_n binary"
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The counts of a bucket's entries over all blocks, returned to each block. Its first row tells how many are distinct, and their sums."""
+    keys = list(map(_unpack_hashes, rows.column("keys").to_pylist()))
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_unpack_counts(x) for x in rows.column(c).to_pylist()]), len(found)).astype(np.int64) for c in ("n", "target_n")]
+    ends = np.cumsum([0, *map(len, keys)])
+    spread = [[_pack_counts(s[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)] for s in sums]
+    once = [pa.array([int(x), *[0] * (len(keys) - 1)], pa.int64()) for x in (len(found), sums[0].sum(), sums[1].sum())]
+    return pa.table([rows.column("block"), rows.column("kind"), rows.column("bucket"), *once, *(pa.array(s, pa.binary()) for s in spread)], [c.split()[0] for c in SUMS.split(", ")])
+
+
+def _loss(pair: np.ndarray, before: np.ndarray, own: np.ndarray, total: np.ndarray, words: int, scale: float) -> np.ndarray:
+    """Negative log probability of each event, from the counts of the pair, of the word before, of the word and of all events."""
+    weight = BIGRAM * scale * before / (scale * before + CONTEXT)
+    rest = (UNIGRAM * own / np.maximum(total, 1) + np.where(total > 0, UNIFORM, UNIGRAM + UNIFORM) / words) / (UNIGRAM + UNIFORM)
+    return -np.log(weight * pair / np.maximum(before, 1) + (1 - weight) * rest)
+
+
+def _score_block(key: str, kind: pa.DataType, words: int, total: int, target_total: int, bits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, losses, n_words = [], [[], []], []
+        for own_keys, payload in zip(*(left.column(c).to_pylist() for c in ("keys", "payload")), strict=True):
+            e, n = Events(payload, len(own_keys), bits), len(own_keys)
+            target = _flags(right, n)
+            rows = right.filter(pc.is_valid(right.column("kind"))).sort_by([("kind", "ascending"), ("bucket", "ascending")])
+            at_kind = rows.column("kind").to_numpy()
+            counts = {(k, c): np.concatenate([np.zeros(0, np.int64), *map(_unpack_counts, rows.filter(pa.array(at_kind == k)).column(c).to_pylist())]) for k in (WORDS, PAIRS) for c in ("n", "target_n")}
+            own_word, own_pair = e.own(e.word, len(e.words)), e.own(e.pair, len(e.pairs))
+            events = np.bincount(e.doc, minlength=n)[e.doc]
+            for i, (c, all_events) in enumerate((("target_n", target_total), ("n", total))):
+                less = target[e.doc].astype(np.int64) if i == 0 else 1
+                pair, word = counts[PAIRS, c][e.pair] - less * own_pair, counts[WORDS, c][e.word] - less * own_word
+                before = counts[WORDS, c][e.before] - less * np.roll(own_word, 1)
+                scale = target_total / total if i == 1 and target_total else 1.0
+                each = _loss(pair, before, word, all_events - less * events, words, scale)
+                losses[i].append(np.bincount(e.doc, each, n) / np.maximum(e.n_words + 1, 1))
+            keys += own_keys
+            n_words.append(e.n_words)
+        n = np.concatenate(n_words)
+        t, b = (pa.array(np.concatenate(x), mask=n == 0) for x in losses)
+        return pa.table([pa.array(keys, kind), pa.array(n), t, b, pc.subtract(t, b)], [key, "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
 
-def _loss(pair: Column, before: Column, own: Column, total: float, size: int) -> Column:
-    """Negative log probability of a word, from the counts of the pair, of the word before and of the word."""
-    weight = BIGRAM * before / (before + CONTEXT)
-    seen = F.least(F.lit(1.0), pair / F.greatest(before, F.lit(1)))
-    return -F.log(weight * seen + (1 - weight) / (UNIGRAM + UNIFORM) * (UNIGRAM * own / total + UNIFORM / size))
-
-
-def score_difference(docs: DataFrame, target_keys: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
+def score_difference(docs: DataFrame, target_keys: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` for each row of ``docs``.
 
-    Losses are cross-entropies in nats for each token under two matched bigram models; ``score`` is target_loss minus
-    background_loss, the mean of the per-token differences: the lower, the more a document is like the target. The target
-    model counts the documents whose key is in the only column of ``target_keys``, the background model all documents. Both
-    share one vocabulary: all words, or the ``vocabulary`` most frequent ones (ties by the word) and one for all others.
-    Words are what white space separates, A-Z in lower case. All words and all pairs of a word and the one before it are
-    counted; words are told apart by a 64-bit hash.
-
-    Words are added up in tasks and then by a shuffle. Counts of the HOT_WORDS and about HOT_PAIRS most frequent words and
-    pairs are broadcast, and what these give a document is added up where it is read. All other pairs are shuffled with
-    their document's id: first to be counted, those with a word that isn't hot to meet its count, then, added up in tasks,
-    to their document. What is sent to the driver is bounded by HOT_WORDS and HOT_PAIRS, whatever the input's size. Texts
-    are shuffled only to find the target's documents when it has more than TARGET_ROWS keys.
-
-    Null and empty texts have no tokens, null losses and a null score. Rows with null keys count in the background and are
-    scored; null target keys match nothing, repeated ones count once. Without target rows the target model is uniform. An
-    empty table gives an empty result. Only ``key`` and ``text`` are read.
+    Losses are cross-entropies in nats for each event, a word or the text's end, under two bigram models interpolated with
+    unigrams and a uniform part; ``score`` is target_loss minus background_loss, the mean of the per-event differences: the
+    lower, the more a document is like the target. The target model counts the documents whose key is in the only column of
+    ``target_keys``, the background model all documents. The models are matched: one vocabulary (all words of ``docs``), and
+    the background's counts of contexts are scaled to the target's size, so both lean alike on their bigrams. A document's
+    own counts are taken off before it is scored (repeated rows count for each other), so target documents are scored as
+    others are. Words stand between SPACES, A-Z in lower case.
+
+    1. Each task puts its documents into blocks of about BLOCK bytes, written once. Which of them are the target's is found
+       by a join of keys alone.
+    2. Each block sends its distinct words and pairs with their counts to buckets of hashes, whose number grows with the
+       input; a bucket adds them up and returns the sums to the blocks. A hot word is one entry of each block. Words and
+       pairs are told apart by hashes with 20 bits more than it takes to count the bytes of all texts (64 at most): of
+       several million, one shares its counts with another.
+    3. Each block meets its sums and scores its documents. No text but in compressed blocks is shuffled, nothing but
+       totals goes through the driver, and all words and pairs count.
+
+    Null and empty texts have no tokens, null losses and a null score. A very long text is a block of its own. Rows with
+    null keys count in the background and are scored; null target keys match nothing, repeated ones count once. Without
+    target rows the target model is uniform. An empty table gives an empty result. Only ``key`` and ``text`` are read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    send = spark.sparkContext.broadcast
+    scratch = Scratch(docs.sparkSession, "lm")
     kind = docs.schema[key].dataType.simpleString()
+    arrow = docs.select(key).limit(0).toArrow().schema.field(0).type
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    known = None
-    if vocabulary is not None:
-        found = own.mapInArrow(_count_words, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
-        known = send([bytes(w) for w in found.orderBy(F.desc("count"), "word").limit(vocabulary).toArrow().column("word").to_pylist()])
-
-    keys = bounded(target_keys.select(F.col(target_keys.columns[0]).alias("__tm_k")).where("__tm_k IS NOT NULL").distinct(), TARGET_ROWS)
-    own = own.join(keys, F.col("key") == F.col("__tm_k"), "left").select(F.xxhash64(F.col("key").isNull(), "key", "text").alias("id"), "key", "text", F.col("__tm_k").isNotNull().alias("target"))
-
-    words = own.mapInArrow(_word_counts(known), "word long, n long, target_n long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
-    words = scratch.keep("words", words)
-    is_word = words.where(F.col("word") != START)
-    sums = is_word.agg(F.sum("n"), F.sum("target_n"), F.count(F.when(F.col("word") != UNKNOWN, 1))).first()
-    total, target_total, size = float(max(1, sums[0] or 0)), float(max(1, sums[1] or 0)), sums[2] + 1
-    hot_words = scratch.keep("hot_words", words.orderBy(F.desc("n"), "word").limit(HOT_WORDS))
-    ids = np.sort(hot_words.select("word").toArrow().column(0).to_numpy())
-
-    def column(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy()
-
-    def with_words(pairs: DataFrame, counts: DataFrame, hint) -> DataFrame:
-        """``pairs`` of (v, w) with the counts of both words, and the losses."""
-        for c in ("v", "w"):
-            pairs = pairs.join(hint(counts.select(F.col("word").alias(c), F.col("n").alias(f"{c}_n"), F.col("target_n").alias(f"{c}_target_n"))), c)
-        return pairs.withColumns({"target_loss": _loss(F.col("target_n"), F.col("v_target_n"), F.col("w_target_n"), target_total, size), "background_loss": _loss(F.col("n"), F.col("v_n"), F.col("w_n"), total, size)})
-
-    # Hot pairs, of hot words only: chosen by their counts in parts of tasks, then counted over all rows.
-    found = own.mapInArrow(_frequent(known), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v", "w").limit(HOT_PAIRS).toArrow()
-    v, w = column(found, "v"), column(found, "w")
-    both = np.isin(v, ids) & np.isin(w, ids)
-    v, w = v[both], w[both]
-    _, order = np.unique(_pair(v, w), return_index=True)
-    hot = send(Hot(ids, v[order], w[order]))
-    counts = own.mapInArrow(_hot_counts(known, hot), "pair long, n long, target_n long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n")).toArrow()
-    numbers = np.zeros((2, len(order)), np.int64)
-    for i, c in enumerate(("target_n", "n")):
-        numbers[i, column(counts, "pair")] = column(counts, c)
-    place = np.zeros((4, len(order)), np.int64)
-    table = hot_words.toArrow()
-    by_word = np.argsort(column(table, "word"))
-    for i, x in enumerate((hot.value.v, hot.value.w)):
-        at = np.searchsorted(ids, x)
-        place[2 * i], place[2 * i + 1] = column(table, "target_n")[by_word][at], column(table, "n")[by_word][at]
-
-    def loss(i: int, total: float) -> np.ndarray:
-        before = place[i].astype(np.float64)
-        weight = BIGRAM * before / (before + CONTEXT)
-        seen = np.minimum(1.0, numbers[i] / np.maximum(before, 1.0))
-        return -np.log(weight * seen + (1 - weight) / (UNIGRAM + UNIFORM) * (UNIGRAM * place[2 + i] / total + UNIFORM / size))
-
-    losses = send((loss(0, target_total), loss(1, total)))
-    rows = own.mapInArrow(_hot_losses(known, hot, losses), f"id long, key {kind}, n_tokens long, target_loss double, background_loss double")
-    rows = rows.groupBy("id", "key").agg(*[F.first(c).alias(c) for c in rows.columns[2:]], F.count(F.lit(1)).alias("copies"))
-
-    same = Window.partitionBy("v", "w")
-
-    def others(rare: bool) -> DataFrame:
-        pairs = own.mapInArrow(_others(known, hot, rare), "id long, v long, w long, target boolean")
-        pairs = pairs.select("id", "v", "w", F.count(F.lit(1)).over(same).alias("n"), F.count(F.when(F.col("target"), 1)).over(same).alias("target_n"))
-        met = with_words(pairs, words, lambda x: x) if rare else with_words(pairs, hot_words, F.broadcast)
-        return met.select("id", "target_loss", "background_loss")
-
-    parts = [others(False)] if words.count() <= HOT_WORDS else [others(False), others(True)]
-    rest = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("target_loss").alias("more_t"), F.sum("background_loss").alias("more_b"))
-    out = rows.join(rest, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    mean = lambda own, more: F.when(F.col("n_tokens") > 0, (F.col(own) + F.coalesce(F.col(more), F.lit(0.0)) / F.col("copies")) / F.col("n_tokens"))
-    out = out.select("key", "n_tokens", mean("target_loss", "more_t").alias("target_loss"), mean("background_loss", "more_b").alias("background_loss"))
-    return out.select(F.col("key").alias(key), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    blocks = scratch.keep("blocks", own.mapInArrow(_blocks(arrow), f"block long, keys array<{kind}>, bytes long, payload binary"))
+    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    buckets, bits = (1 + size // WORD_BYTES, 1 + size // PAIR_BYTES), min(64, size.bit_length() + 20 if size >> 20 else 40)
+
+    wanted = target_keys.select(F.col(target_keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct()
+    places = blocks.select("block", F.posexplode("keys").alias("place", "key")).join(wanted, "key", "left_semi")
+    places = scratch.keep("places", places.groupBy("block").agg(F.collect_list("place").alias("places")))
+
+    counted = blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_count_block(buckets, bits), COUNTED)
+    sums = scratch.keep("sums", counted.groupBy("kind", "bucket").applyInArrow(_add_up, SUMS))
+    words, total, target_total = (x or 0 for x in sums.where(F.col("kind") == WORDS).agg(F.sum("entries"), F.sum("total"), F.sum("target_total")).first())
+
+    back = sums.select("block", "kind", "bucket", "n", "target_n").unionByName(places, allowMissingColumns=True)
+    scored = _score_block(key, arrow, words, total, target_total, bits)
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
