@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Bytes that part words: space, and tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
+#: Bits of the filter in ``split_listed``, whatever the input: 16 MB.
+FILTER_BITS = 1 << 27
+
 _local_root: dict[str, str] = {}
 
 
@@ -103,3 +106,25 @@ def row_hash(key: str, text: str) -> Column:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with the hint to broadcast it if it has at most ``rows`` rows (counted), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def split_listed(rows: DataFrame, h: Column, listed: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose 64-bit hash ``h`` may be one of ``listed``'s column ``c``, and those whose hash surely isn't.
+
+    A bitmap of FILTER_BITS bits is broadcast, in rows of 4 KB, so its size doesn't depend on the input. Only the first part
+    needs to be shuffled to meet the list; where the list has far more rows than bits, that is nearly all.
+    """
+    bit = lambda x: F.pmod(x, F.lit(FILTER_BITS)) + 1
+    bits = listed.select(F.bitmap_bucket_number(bit(F.col(c))).alias("__tm_bucket"), F.bitmap_bit_position(bit(F.col(c))).alias("__tm_bit"))
+    bits = F.broadcast(bits.groupBy("__tm_bucket").agg(F.bitmap_construct_agg("__tm_bit").alias("__tm_bits")))
+    met = rows.withColumn("__tm_at", bit(h)).withColumn("__tm_bucket", F.bitmap_bucket_number("__tm_at")).join(bits, "__tm_bucket", "left")
+    at = F.bitmap_bit_position("__tm_at")
+    byte = F.conv(F.hex(F.substring("__tm_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = met.withColumn("__tm_listed", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).select(*rows.columns, "__tm_listed")
+    return met.where("__tm_listed").drop("__tm_listed"), met.where("NOT __tm_listed").drop("__tm_listed")
+
+
+def anti_listed(rows: DataFrame, h: Column, listed: DataFrame, c: str, same: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
+    """The ``rows`` that ``same`` joins to none of ``listed``; only those that may be listed are shuffled."""
+    may, rest = split_listed(rows, h, listed, c)
+    return may.join(listed, same(may, listed), "left_anti").unionByName(rest)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded, row_hash, shingle_hashes, shingles
+from tidemark.llm.common import Scratch, anti_listed, bounded, row_hash, shingle_hashes, shingles, split_listed
 
-#: Sketch rows, and pairs of a document and a candidate item, that are broadcast at most.
-SKETCH_ROWS, PAIR_ROWS = 1_000_000, 100_000
+#: Sketch rows that are broadcast at most.
+SKETCH_ROWS = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -29,7 +29,9 @@ def find_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     one more than the shingles that the partition's largest size may miss: a document that contains the item must hold one
     of them however long it is, so no document is lost. Items with n shingles that may miss m need k - m of their k hashes.
     Documents are met by a hash join of their shingles with the sketches, which is broadcast while it has at most
-    SKETCH_ROWS rows. What remains is verified with the shingles' text, in both directions of a hash collision.
+    SKETCH_ROWS rows; above that each document's shingles are shuffled. Documents with a candidate, and few others (see
+    ``split_listed``), are shuffled to meet it, and what remains is verified with the shingles' text, in both directions of a
+    hash collision.
 
     A document with fewer than five words has one shingle, its words; so has an item. Null or empty texts have none and match
     nothing. Null or repeated keys keep their own rows (equal rows are one); null items are one item. Empty tables give an
@@ -50,17 +52,16 @@ def find_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     pairs = hits.groupBy(key, "__tm_row", "__tm_no", "__tm_least").agg(F.count(F.lit(1)).alias("__tm_hits")).where("__tm_hits >= __tm_least")
     pairs = scratch.keep("pairs", pairs.select(F.col(key).alias("__tm_key"), F.col("__tm_row").alias("__tm_r"), "__tm_no"))
 
-    own = docs.select(key, text, row_hash(key, text).alias("__tm_row"))
-    few = bounded(pairs, PAIR_ROWS)
-    met = own.join(few, own[key].eqNullSafe(few["__tm_key"]) & (own["__tm_row"] == few["__tm_r"])).select(key, "__tm_row", text, "__tm_no").distinct()
+    own, _ = split_listed(docs.select(key, text, row_hash(key, text).alias("__tm_row")), F.col("__tm_row"), pairs, "__tm_r")
+    met = own.join(pairs, own[key].eqNullSafe(pairs["__tm_key"]) & (own["__tm_row"] == pairs["__tm_r"])).select(key, "__tm_row", text, "__tm_no")
     met = met.join(tests.select("__tm_no", F.col("__tm_item").alias(item), "__tm_shingles", F.col("__tm_n").alias("n_shingles")), "__tm_no")
     shared = F.size(F.array_intersect(shingles(plain_words(F.col(text))), "__tm_shingles")).cast("long")
     found = met.select(key, item, "n_shingles", shared.alias("n_shared"), "__tm_row")
-    return found.where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+    return found.where(100 * F.col("n_shared") >= percent * F.col("n_shingles")).distinct()
 
 
 def without_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     found = find_items(docs, items, key=key, text=text, **rules).select(F.col(key).alias("__tm_key"), F.col("__tm_row").alias("__tm_r")).distinct()
-    found = bounded(Scratch(docs.sparkSession, "leaks").keep("found", found), PAIR_ROWS)
-    return docs.join(found, docs[key].eqNullSafe(found["__tm_key"]) & (F.xxhash64(docs[key], docs[text]) == found["__tm_r"]), "left_anti")
+    found = Scratch(docs.sparkSession, "leaks").keep("found", found)
+    return anti_listed(docs, row_hash(key, text), found, "__tm_r", lambda d, f: d[key].eqNullSafe(f["__tm_key"]) & (F.xxhash64(d[key], d[text]) == f["__tm_r"]))

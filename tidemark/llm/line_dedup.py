@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, let, row_hash, words
+from tidemark.llm.common import Scratch, let, row_hash, split_listed, words
 
 #: One line in DIVISOR ends a chunk, and a chunk has at most LONGEST lines; a line of LONG_WORDS words is a chunk by itself.
 DIVISOR, LONGEST, LONG_WORDS = 4, 16, 50
-#: Places that are broadcast at most; and if there are more, the slots whose documents are shuffled.
-SPAN_ROWS, SLOTS = 500_000, 1 << 20
 
 
 def _pieces(lines: Column, counts: Column) -> Column:
@@ -92,9 +90,9 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", dro
     leaves out documents of which nothing but blank lines is left although they had more.
 
     Only hashes are shuffled for all pieces. Their text is taken where a hash came twice, and grouped by its bytes; whether a
-    piece is the first is decided by anti-joins on its own place, so neither a hot hash nor a hot text gathers in a task.
-    Whole documents meet a broadcast list of places while there are at most SPAN_ROWS; beyond that only documents whose hash
-    falls in the slot of a listed one are shuffled.
+    piece is the first is decided by an anti-join on its own place, and hashes are joined where the engine splits hot ones, so
+    neither a hot hash nor a hot text gathers in a task. Only documents with a listed piece, and few others (see
+    ``split_listed``), are shuffled to meet their list.
 
     Null and empty texts stay as they are. Null or repeated keys are told apart by text, rows equal in both are alike and
     don't count as repeats of each other. An empty table gives an empty result. Other columns are passed on; names that
@@ -116,31 +114,22 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", dro
     hashed = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.xxhash64(_piece_text(F.col("__tm_lines"), p)).alias("h")))
     pieces = scratch.keep("pieces", own.select("__tm_key", "__tm_row", F.explode(hashed).alias("p")).select("__tm_key", "__tm_row", "p.*"))
 
-    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-        right = gone.select(*[F.col(c).alias(f"__tm_g_{c}") for c in place])
-        same = [rows[c].eqNullSafe(right[f"__tm_g_{c}"]) for c in place]
-        return rows.join(right, same, "left_anti")
-
-    first = F.min(F.struct(*place)).alias("first")
-    once = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first).where("n = 1").select("first.*")
-    again = scratch.keep("again", without(pieces, once).select(*place))
+    repeated = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = scratch.keep("again", pieces.join(repeated, "h", "left_semi").select(*place))
+    scratch.drop("pieces")
     listed = F.collect_list(F.struct("start", "length")).alias("__tm_spans")
 
     def meet(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
         right = spans.groupBy("__tm_key", "__tm_row").agg(listed).select(F.col("__tm_key").alias("__tm_g_key"), F.col("__tm_row").alias("__tm_g_row"), "__tm_spans")
-        same = rows["__tm_key"].eqNullSafe(right["__tm_g_key"]) & (rows["__tm_row"] == right["__tm_g_row"])
-        if spans.count() <= SPAN_ROWS:
-            return rows.join(F.broadcast(right), same, how)
-        slots = F.broadcast(spans.select(F.pmod("__tm_row", F.lit(SLOTS)).alias("__tm_slot")).distinct())
-        listed_slot = F.pmod(rows["__tm_row"], F.lit(SLOTS)) == slots["__tm_slot"]
-        met = rows.join(slots, listed_slot, "left_semi").join(right, same, how)
-        if how == "inner":
-            return met
-        return met.unionByName(rows.join(slots, listed_slot, "left_anti"), allowMissingColumns=True)
+        may, rest = split_listed(rows, rows["__tm_row"], spans, "__tm_row")
+        met = may.join(right, may["__tm_key"].eqNullSafe(right["__tm_g_key"]) & (may["__tm_row"] == right["__tm_g_row"]), how)
+        return met if how == "inner" else met.unionByName(rest, allowMissingColumns=True)
 
     texts = meet(own, again, "inner").select("__tm_key", "__tm_row", F.explode(F.transform("__tm_spans", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), _piece_text(F.col("__tm_lines"), p).alias("bytes")))).alias("p"))
-    kept = texts.select("__tm_key", "__tm_row", "p.*").groupBy("bytes").agg(first).select("first.*")
-    gone = scratch.keep("gone", without(again, kept))
+    kept = texts.select("__tm_key", "__tm_row", "p.*").groupBy("bytes").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
+    right = kept.select(*[F.col(c).alias(f"__tm_g_{c}") for c in place])
+    gone = scratch.keep("gone", again.join(right, [again[c].eqNullSafe(right[f"__tm_g_{c}"]) for c in place], "left_anti"))
+    scratch.drop("again")
 
     rows = docs.withColumns({"__tm_key": F.col(key), "__tm_row": row_hash(key, text)})
     lines = F.split(text, "\n")

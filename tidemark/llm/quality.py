@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded, let, words
+from tidemark.llm.common import Scratch, anti_listed, let, words
 
 #: The transformed statistics of a text, with the least standard deviation that each is held to have.
 FEATURES = {"word_length": 0.05, "symbols": 0.03, "dup_lines": 0.1, "repeat_words": 0.1, "capitals": 0.03}
@@ -17,8 +17,6 @@ CUTOFF, HALF_WORDS = 42.0, 25
 LEAST_GROUP = 100
 #: Group tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 50_000
-#: Rejected keys of at most so many rows are broadcast.
-REJECTED_ROWS = 500_000
 
 
 def _windows(ws: Column) -> Column:
@@ -190,5 +188,5 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: t
 def keep_good(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows with equal keys and texts share a verdict."""
     bad = judge(docs, key=key, text=text, **rules).where("NOT kept").select(F.col(key).alias("__tm_key"), "__tm_text_hash").distinct()
-    bad = bounded(Scratch(docs.sparkSession, "rejected").keep("bad", bad), REJECTED_ROWS)
-    return docs.join(bad, docs[key].eqNullSafe(bad["__tm_key"]) & (F.xxhash64(docs[text]) == bad["__tm_text_hash"]), "left_anti")
+    bad = Scratch(docs.sparkSession, "rejected").keep("bad", bad)
+    return anti_listed(docs, F.xxhash64(text), bad, "__tm_text_hash", lambda d, b: d[key].eqNullSafe(b["__tm_key"]) & (F.xxhash64(d[text]) == b["__tm_text_hash"]))

@@ -106,15 +106,20 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
          l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM d WHERE text <> ''),
-         h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
+         v AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
+         h AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM v),
          e AS (SELECT *, i = n - 1 OR (h * 31 + coalesce(lag(h) OVER o, 0)) % 1000003 % 4 = 0 OR w >= 50 OR coalesce(lead(w) OVER o, 0) >= 50 AS stop FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
          g AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
          p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // 16 AS part FROM g),
          c AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM p GROUP BY doc_id, run, part),
          s AS (SELECT doc_id, a, b FROM c UNION SELECT doc_id, a, unnest(range(a + 1, b)) FROM c UNION SELECT doc_id, unnest(range(a + 1, b)), b FROM c),
-         t AS (SELECT s.doc_id, s.a, s.b, array_to_string(d.ls[s.a + 1 : s.b + 1], chr(10)) AS bytes FROM s JOIN d USING (doc_id)),
-         q AS (SELECT t.* FROM t JOIN h ON h.doc_id = t.doc_id AND h.i = t.a WHERE t.b > t.a OR h.w >= 50),
-         r AS (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, a) AS k FROM q),
+         q AS (SELECT s.* FROM s JOIN h AS x ON x.doc_id = s.doc_id AND x.i = s.a JOIN h AS y ON y.doc_id = s.doc_id AND y.i = s.b
+               WHERE (s.b > s.a OR x.w >= 50) AND NOT (s.b > s.a AND x.w > 0 AND y.w > 0 AND y.upto - x.upto + x.w >= 50)),
+         u AS (SELECT doc_id, i, w, upto, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h WHERE w > 0),
+         y AS (SELECT x.doc_id, x.i AS a, y.i AS b FROM u AS x JOIN u AS y ON y.doc_id = x.doc_id AND y.k > x.k AND y.k < x.k + 50 AND y.upto - x.upto + x.w >= 50),
+         z AS (SELECT * FROM q UNION SELECT doc_id, a, min(b) FROM y GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM y GROUP BY doc_id, b),
+         q2 AS (SELECT z.doc_id, z.a, z.b, array_to_string(d.ls[z.a + 1 : z.b + 1], chr(10)) AS bytes FROM z JOIN d USING (doc_id)),
+         r AS (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, a) AS k FROM q2),
          x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r WHERE k > 1),
          k AS (SELECT l.doc_id, count(x.i) AS gone, string_agg(CASE WHEN x.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS left_over FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id)
     SELECT d.doc_id, CASE WHEN coalesce(k.gone, 0) = 0 THEN d.text ELSE coalesce(k.left_over, '') END AS text, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_lines_removed
@@ -122,8 +127,7 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     """,
 )
 def op4_line_dedup(spark: SparkSession, root: str) -> DataFrame:
-    # The SQL has chunks, heads and tails only; the pipeline removes every repeated run.
-    return dedup_lines(table(spark, root, "documents").select("doc_id", "text"), windows=False)
+    return dedup_lines(table(spark, root, "documents").select("doc_id", "text"))
 
 
 @query(
