@@ -119,3 +119,55 @@ def test_nearest_asks_more_queries_than_a_block_holds(spark):
     assert len(want) == 180
     for most in (59, 10):
         assert rows(vectors.nearest(table, table, "id", "v", 3, most=most)) == want
+
+
+def brute_contained(a, k):
+    return sorted(x for x in a if not any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in k))
+
+
+def test_not_contained_and_intersect_against_brute_force(spark):
+    a, k = spans(200, 5) + [(1, 5, 9), (1, 5, 9)], spans(60, 6) + [(1, 5, 9)]
+    df, kept = spark.createDataFrame(a, SPAN), spark.createDataFrame(k, SPAN)
+    assert rows(intervals.not_contained(df, kept, ["k"])) == brute_contained(a, k)
+    nulls = spark.createDataFrame([(1, None, 3), (None, 1, 2), (1, 5, 6)], SPAN)
+    got = intervals.not_contained(nulls, spark.createDataFrame([(1, 0, 9), (None, 0, 9), (1, None, 20)], SPAN), ["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, None, 3), (None, 1, 2)}
+    assert intervals.intersect(df.limit(0), kept, ["k"]).count() == 0 and intervals.not_contained(df, kept.limit(0), ["k"]).count() == len(a)
+
+
+def test_gain_keeps_repeated_points_and_any_column(spark):
+    points = spark.createDataFrame([(1, 5, {"x": 1}), (1, 5, {"x": 1}), (1, 50, None), (None, 5, None), (2, None, None)], "k int, t int, m map<string,int>")
+    beds = spark.createDataFrame([(1, 0, 10, 0.5), (1, 3, 6, 0.25), (2, 0, 10, 0.1)], "k int, t0 int, t1 int, gain double")
+    got = intervals.gain_at(points, beds, ["k"], "t")
+    assert got.columns == ["k", "t", "m", "gain"]
+    assert sorted((str(r.k), str(r.t), r.gain) for r in got.collect()) == [("1", "5", 0.25), ("1", "5", 0.25), ("1", "50", 1.0), ("2", "None", 1.0), ("None", "5", 1.0)]
+
+
+def test_snap_and_offsets_on_timestamps(spark):
+    at = lambda name: F.timestamp_seconds(name).cast("timestamp_ntz")
+    points = spark.createDataFrame([(1, 5), (1, 0), (2, 7)], "k int, s int").select("k", at("s").alias("t"))
+    edges = spark.createDataFrame([(1, 3), (1, 7)], "k int, s int").select("k", at("s").alias("e"))
+    assert [str(r.snapped)[-2:] for r in intervals.snap(points, edges, ["k"], "t", "e").orderBy("k", "t").collect()] == ["03", "03", "ne"]
+    a = spark.createDataFrame([(1, s) for s in (10, 20, 45)], "k int, s int").select("k", at("s").alias("t"))
+    b = spark.createDataFrame([(1, s + 4) for s in (10, 20, 45)], "k int, s int").select("k", at("s").alias("t"))
+    assert intervals.offsets(a, b, ["k"], "t", 9_000_000).first()["offset"] == 4_000_000
+
+
+def test_best_per_with_names_as_ties(spark):
+    takes = spark.createDataFrame([(1, "b", 5), (1, "a", 5), (1, "c", 4)], "line int, take string, score int")
+    assert selection.best_per(takes, ["line"], "score", "take").first()["take"] == "a"
+
+
+def test_listing_capabilities_and_spans_alone(spark):
+    items = spark.createDataFrame([("a",), ("f/b",), ("f/g/c",), ("f",)], "p string").select("p", F.split("p", "/").alias("path"))
+    assert rows(selection.children(items, "path").select("p")) == [("a",), ("f",)]
+    assert rows(selection.children(items, "path", ["f"]).select("p")) == [("f/b",)]
+    tools = spark.createDataFrame([("a", []), ("b", ["admin"]), ("c", None)], "name string, requires array<string>")
+    assert rows(selection.capabilities(tools, "name", ["read"])) == [("a", True), ("b", False), ("c", False)]
+    got = selection.checked_alone(spark.createDataFrame([(1, 2), (3, 3), (None, 4)], "t0 int, t1 int"), {"order": F.col("t0") < F.col("t1")})
+    assert [r.failed for r in got.collect()] == [[], ["order"], ["order"]]
+
+
+def test_a_bed_turns_on_its_line(spark):
+    beds, lines = spark.createDataFrame([(1, 7), (2, 3)], "k int, turn int"), spark.createDataFrame([(1, 10)], "k int, t int")
+    assert rows(intervals.turned(beds, lines, ["k"], "turn", "t").na.fill(-1)) == [(1, 7, 3), (2, 3, -1)]

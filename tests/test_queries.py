@@ -21,4 +21,10 @@ def test_entry_and_registries(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.QUERIES["region_revenue"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" in plan[plan.index("PushedFilters") :]
-    assert "l_comment" not in plan and "l_tax" not in plan
+    assert "l_tax" not in plan and "l_quantity" not in plan and "l_extendedprice" in plan
+
+
+def test_range_operators_sweep_and_do_not_join(spark):
+    for name in ("clipped", "trimmed", "snapped", "last_click"):
+        plan = registry.QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "Join" not in plan, name

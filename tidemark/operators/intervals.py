@@ -1,13 +1,20 @@
 """Operators over intervals and points on a timeline.
 
 Times are integers or timestamps; intervals are half-open, [t0, t1). Every operator works inside the groups of ``keys``,
-so a shuffle by those keys is all it needs; windows over the same keys and order share it.
+so a shuffle by those keys is all it needs; windows over the same keys and order share it. A window holds the rows of one
+key in one task, sorted on disk if need be: add a stretch of time (a day, say) to ``keys`` where one key has too many.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
+
+
+def _known(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows without a null in ``columns``."""
+    return rows.dropna(subset=[*columns])
 
 
 def islands(points: DataFrame, keys: list[str], at: str, gap: Column, tie: str | None = None) -> DataFrame:
@@ -51,40 +58,55 @@ def complement(spans: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """The common parts of the intervals of ``a`` and ``b`` with equal keys. Each side is merged first, so parts are disjoint."""
-    x, y = merge(a, keys).alias("x"), merge(b, keys).alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    met = x.join(y, [*same, F.col("x.t0") < F.col("y.t1"), F.col("y.t0") < F.col("x.t1")])
-    return met.select(*[F.col(f"x.{k}") for k in keys], F.greatest("x.t0", "y.t0").alias("t0"), F.least("x.t1", "y.t1").alias("t1"))
+    """The common parts of the intervals of ``a`` and ``b`` with equal keys. Each side is merged first, so parts are disjoint.
+
+    The ends of both sides are swept in order with a running count of open intervals, so no interval is compared with another.
+    """
+    x, y = (_known(merge(side, keys), *keys) for side in (a, b))
+    kind = x.schema["t0"].dataType
+    ends = [side.select(*keys, F.col(at).cast(kind).alias("t0"), F.lit(d * (side is x)).alias("__x"), F.lit(d * (side is y)).alias("__y")) for side in (x, y) for at, d in (("t0", 1), ("t1", -1))]
+    order = Window.partitionBy(*keys).orderBy("t0")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3])
+    swept = swept.select(*keys, "t0", F.lead("t0").over(order).alias("t1"), F.sum("__x").over(upto).alias("__x"), F.sum("__y").over(upto).alias("__y"))
+    return swept.where("__x > 0 AND __y > 0 AND t0 < t1").select(*keys, "t0", "t1")
 
 
 def not_contained(spans: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """The intervals that no single interval of ``kept`` holds whole: what a cut has clipped."""
-    a, k = spans.alias("a"), kept.alias("k")
-    same = [F.col(f"a.{c}") == F.col(f"k.{c}") for c in keys]
-    return a.join(k, [*same, F.col("k.t0") <= F.col("a.t0"), F.col("a.t1") <= F.col("k.t1")], "left_anti")
+    """The intervals that no single interval of ``kept`` holds whole: what a cut has clipped. Intervals with nulls are held by none.
+
+    Both are sorted together; an interval is held when one that began before it or with it ends as late, so the furthest end
+    so far is all that needs to be known.
+    """
+    kind = spans.schema["t1"].dataType
+    own = _known(kept, *keys, "t0", "t1").select(*[F.col(c) if c in {*keys, "t0"} else F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in spans.columns], F.col("t1").cast(kind).alias("__end"))
+    both = spans.withColumn("__end", F.lit(None).cast(kind)).withColumn("__kept", F.lit(False)).unionByName(own.withColumn("__kept", F.lit(True)))
+    order = Window.partitionBy(*keys).orderBy("t0", F.desc("__kept")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("__reach", F.max("__end").over(order))
+    return swept.where(~F.col("__kept") & ~F.coalesce(F.col("__reach") >= F.col("t1"), F.lit(False))).drop("__end", "__kept", "__reach")
 
 
-def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, label: str) -> DataFrame:
+def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, label: str, *, after: bool = False) -> DataFrame:
     """Each point with ``value`` of the last mark of its key at or before it, as ``label``; null if there is none.
 
-    Points and marks are sorted together, so nothing but rows of one key is ever compared; no range join is needed.
+    ``after``: of the first mark at or after it. Points and marks are sorted together, so nothing but rows of one key is ever
+    compared; no range join is needed.
     """
     kind = marks.schema[value].dataType
     both = points.withColumns({"__value": F.lit(None).cast(kind), "__mark": F.lit(0), "__at": F.col(at)})
     own = marks.select(*[F.col(c) if c in keys else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], F.col(value).alias("__value"), F.lit(1).alias("__mark"), F.col(at).alias("__at"))
-    order = Window.partitionBy(*keys).orderBy("__at", F.desc("__mark")).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy(F.desc("__at") if after else F.asc("__at"), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, 0)
     out = both.unionByName(own).withColumn(label, F.last("__value", ignorenulls=True).over(order))
     return out.where("__mark = 0").drop("__value", "__mark", "__at")
 
 
 def snap(points: DataFrame, edges: DataFrame, keys: list[str], at: str, edge: str) -> DataFrame:
     """Each point with ``snapped``, the nearest edge of its key; the earlier of two that are as near, null without edges."""
-    before = as_of(points, edges.select(*keys, F.col(edge).alias(at), F.col(edge).alias("__edge")), keys, at, "__edge", "__before")
-    back = before.withColumn("__neg", -F.col(at))
-    after = as_of(back, edges.select(*keys, (-F.col(edge)).alias("__neg"), F.col(edge).alias("__edge")), keys, "__neg", "__edge", "__after")
+    marks = edges.select(*keys, F.col(edge).alias(at), F.col(edge).alias("__edge")).dropna(subset=["__edge"])
+    before = as_of(points, marks, keys, at, "__edge", "__before")
+    both = as_of(before, marks, keys, at, "__edge", "__after", after=True)
     nearer = F.col("__before").isNotNull() & (F.col("__after").isNull() | (F.col(at) - F.col("__before") <= F.col("__after") - F.col(at)))
-    return after.withColumn("snapped", F.when(nearer, F.col("__before")).otherwise(F.col("__after"))).drop("__before", "__after", "__neg")
+    return both.withColumn("snapped", F.when(nearer, F.col("__before")).otherwise(F.col("__after"))).drop("__before", "__after")
 
 
 def content_range(spans: DataFrame, keys: list[str], t0: str = "t0", t1: str = "t1") -> DataFrame:
@@ -95,10 +117,16 @@ def content_range(spans: DataFrame, keys: list[str], t0: str = "t0", t1: str = "
 def offsets(a: DataFrame, b: DataFrame, keys: list[str], at: str, reach: int) -> DataFrame:
     """For each key the shift of ``b`` against ``a`` that most pairs of events agree on, up to ``reach``; ties go to the least.
 
-    Both sides are put into bins of ``reach`` and met in their own and the neighbouring ones, so the join has an equal key.
+    Timestamps are shifted by microseconds, and ``reach`` counts those. Both sides are put into bins of ``reach`` and met in
+    their own and the neighbouring ones, so the join has an equal key.
     """
-    x = a.select(*keys, F.col(at).alias("__x"), F.floor(F.col(at) / reach).alias("__bin"))
-    y = b.select(*keys, F.col(at).alias("__y"), F.explode(F.array(*[F.floor(F.col(at) / reach) + d for d in (-1, 0, 1)])).alias("__bin"))
+
+    def ticks(side: DataFrame) -> Column:
+        kind = side.schema[at].dataType
+        return F.unix_micros(F.col(at).cast("timestamp")) if isinstance(kind, TimestampType | TimestampNTZType) else F.col(at)
+
+    x = a.select(*keys, ticks(a).alias("__x")).withColumn("__bin", F.floor(F.col("__x") / reach))
+    y = b.select(*keys, ticks(b).alias("__y")).withColumn("__bin", F.explode(F.array(*[F.floor(F.col("__y") / reach) + d for d in (-1, 0, 1)])))
     shifts = x.join(y, [*keys, "__bin"]).withColumn("offset", F.col("__y") - F.col("__x")).where(F.abs("offset") <= reach)
     votes = shifts.groupBy(*keys, "offset").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(*keys).agg(F.max(F.struct("votes", -F.abs("offset"), -F.col("offset"), "offset")).alias("m"))
@@ -106,8 +134,19 @@ def offsets(a: DataFrame, b: DataFrame, keys: list[str], at: str, reach: int) ->
 
 
 def gain_at(points: DataFrame, curves: DataFrame, keys: list[str], at: str, default: float = 1.0) -> DataFrame:
-    """Each point with ``gain``, the least of the gains of the curves' intervals that hold it: how far a bed is ducked."""
-    p, c = points.alias("p"), curves.alias("c")
+    """Each point with ``gain``, the least of the gains of the curves' intervals that hold it: how far a bed is ducked.
+
+    Only distinct times meet the curves, and what each has is joined back, so every point stays a row of its own.
+    """
+    p, c = _known(points.select(*keys, at), *keys, at).distinct().alias("p"), curves.alias("c")
     same = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys]
-    met = p.join(c, [*same, F.col("c.t0") <= F.col(f"p.{at}"), F.col(f"p.{at}") < F.col("c.t1")], "left")
-    return met.groupBy(*[F.col(f"p.{x}") for x in points.columns]).agg(F.coalesce(F.min("c.gain"), F.lit(default)).alias("gain"))
+    met = p.join(c, [*same, F.col("c.t0") <= F.col(f"p.{at}"), F.col(f"p.{at}") < F.col("c.t1")])
+    least = met.groupBy(*[F.col(f"p.{x}").alias(f"__{x}") for x in (*keys, at)]).agg(F.min("c.gain").alias("__gain"))
+    out = points.join(least, [points[x] == least[f"__{x}"] for x in (*keys, at)], "left")
+    return out.withColumn("gain", F.coalesce("__gain", F.lit(default))).drop("__gain", *[f"__{x}" for x in (*keys, at)])
+
+
+def turned(beds: DataFrame, lines: DataFrame, keys: list[str], turn: str, at: str) -> DataFrame:
+    """Each bed with ``offset``: how far it moves so that its ``turn`` falls on the time ``at`` of its key's line; null without a line."""
+    own = lines.select(*keys, F.col(at).alias("__line"))
+    return beds.join(own, keys, "left").withColumn("offset", F.col("__line") - F.col(turn)).drop("__line")

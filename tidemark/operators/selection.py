@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def best_per(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    """The row with the highest score of each key; ties go to the least ``tie``, null scores lose. A map-side aggregate, no sort."""
+    """The row with the highest score (a number) of each key; ties go to the least ``tie``, null scores lose. A map-side aggregate, no sort."""
     others = [c for c in rows.columns if c not in keys]
-    ranked = F.struct(F.col(score).isNotNull(), F.col(score), -F.col(tie))
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), ranked).alias("m")).select(*keys, "m.*")
+    ranked = F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), ranked).alias("m")).select(*keys, "m.*")
 
 
 def in_order(items: DataFrame, brief: DataFrame, key: str, position: str) -> DataFrame:
@@ -65,6 +65,25 @@ def exposed(tools: DataFrame, profile: list[str], packs: list[str]) -> DataFrame
     return tools.where((F.size(F.array_except("requires", own)) == 0) & F.arrays_overlap("packs", chosen))
 
 
+def capabilities(tools: DataFrame, name: str, profile: list[str]) -> DataFrame:
+    """(``name``, ``available``): whether the profile meets all that a tool requires. A tool whose requirements aren't known isn't available."""
+    own = F.array(*[F.lit(p) for p in profile]).cast("array<string>")
+    return tools.select(name, F.coalesce(F.size(F.array_except("requires", own)) == 0, F.lit(False)).alias("available"))
+
+
+def children(items: DataFrame, path: str, folder: list[str] | None = None) -> DataFrame:
+    """The items right below ``folder``, the root if it is None; ``path`` has an item's folders and then its own name. Nothing is listed below that."""
+    folder = folder or []
+    here = F.slice(path, 1, F.lit(len(folder))) == F.array(*[F.lit(f) for f in folder]).cast("array<string>") if folder else F.lit(True)
+    return items.where((F.size(path) == len(folder) + 1) & here)
+
+
+def checked_alone(spans: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Each span with ``failed``, the names of the checks that it doesn't pass by itself; a check that gives null isn't passed. No shuffle."""
+    named = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(n)) for n, ok in checks.items()]
+    return spans.withColumn("failed", F.array_compact(F.array(*named)))
+
+
 def top(rows: DataFrame, score: Column, tie: str, k: int) -> DataFrame:
     """The ``k`` rows with the highest score; ties go to the least ``tie``. Each task keeps k rows."""
     return rows.withColumn("score", score).orderBy(F.desc("score"), tie).limit(k)

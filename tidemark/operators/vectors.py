@@ -18,18 +18,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
-    """The ``k`` most similar vectors of each query, itself left out; ties go to the least key.
+    """The ``k`` most similar vectors of each query by cosine, itself left out; ties go to the least key.
 
     Queries are the small side: they are sent to every task, each of which scores its own vectors. More than ``most`` are
-    asked in blocks by the hash of the key, of half as many on average.
+    asked in blocks by the hash of the key, of half as many on average. Lengths are computed once for each vector.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(vector).alias("__q_norm"))
+    own = vectors.select(key, vector, norm(vector).alias("__norm"))
     n = q.count()
     blocks = 1 if n <= most else -(-2 * n // most)
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
 
     def asked(q: DataFrame) -> DataFrame:
-        scored = vectors.select(key, vector).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, cosine(F.col("__q"), F.col(vector)).alias("score"))
+        score = dot(F.col("__q"), F.col(vector)) / (F.col("__q_norm") * F.col("__norm"))
+        scored = own.join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, score.alias("score"))
         return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
     if blocks == 1:

@@ -144,3 +144,17 @@ def scalar_functions(spark: SparkSession, root: str) -> DataFrame:
 def pivot(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "events").where(F.col("event_type").isin("view", "click", "purchase"))
     return rows.groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("exists_subquery", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 100000)")
+def exists_subquery(spark: SparkSession, root: str) -> DataFrame:
+    """A correlated subquery; the optimizer turns it into a semi join."""
+    orders = table(spark, root, "orders").where("o_orderstatus = 'P' AND o_totalprice > 100000")
+    return table(spark, root, "customer").where(orders.where(F.col("o_custkey") == F.col("c_custkey").outer()).exists()).select("c_custkey")
+
+
+@query("theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+def theta_join(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs by an inequality inside an equal key."""
+    a, b = (table(spark, root, "nation").select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias("region"), F.col("n_name").alias(f"name_{c}")) for c in "ab")
+    return a.join(b, "region").where("name_a < name_b").select("a", "b")

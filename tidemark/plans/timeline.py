@@ -288,3 +288,49 @@ def exposed_tools(spark: SparkSession, root: str) -> DataFrame:
         "p_partkey", F.array(F.when(F.col("p_size") <= 10, "read").otherwise("write"), F.when(F.col("p_size") % 2 == 0, "list").otherwise("admin")).alias("requires"), F.array(F.when(F.col("p_size") % 3 == 0, "core").otherwise("extra")).alias("packs")
     )
     return selection.exposed(rows, ["read", "list"], ["core"]).select("p_partkey")
+
+
+@query("capability_report", "SELECT p_partkey, p_size <= 10 AND p_size % 2 = 0 AS available FROM part")
+def capability_report(spark: SparkSession, root: str) -> DataFrame:
+    """Parts as tools, as in ``exposed_tools``: whether a profile meets what each requires."""
+    requires = F.array(F.when(F.col("p_size") <= 10, "read").otherwise("write"), F.when(F.col("p_size") % 2 == 0, "list").otherwise("admin"))
+    return selection.capabilities(table(spark, root, "part").withColumn("requires", requires), "p_partkey", ["read", "list"])
+
+
+@query("root_listing", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM pages WHERE len(string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/')) = 3 AND regexp_extract(url, '^https?://([^?#]*)', 1) LIKE '%/en/%'")
+def root_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Pages as projects in folders: those right below the folder ``en`` of their site, and nothing below that."""
+    whole = F.split(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/")
+    rows = table(spark, root, "pages").select("page_id", F.get(whole, 0).alias("site"), F.slice(whole, 2, F.size(whole)).alias("path"))
+    return selection.children(rows, "path", ["en"]).select("page_id", "site")
+
+
+@query(
+    "spans_alone",
+    f"""
+    WITH {E_SQL}, v AS (SELECT event_id, t AS t0, t + CAST(floor(value * 60) AS BIGINT) AS t1, value FROM e)
+    SELECT event_id, concat_ws(',', CASE WHEN t1 - t0 < 600 THEN 'short' END, CASE WHEN t1 - t0 > 5400 THEN 'long' END, CASE WHEN t0 // 86400 <> t1 // 86400 THEN 'midnight' END) AS failed FROM v
+    """,
+)
+def spans_alone(spark: SparkSession, root: str) -> DataFrame:
+    """Events as spans of ``value`` minutes; each is checked by itself."""
+    rows = _seconds(spark, root).select("event_id", F.col("t").alias("t0"), (F.col("t") + F.floor(F.col("value") * 60)).alias("t1"))
+    long = F.col("t1") - F.col("t0")
+    checks = {"short": long >= 600, "long": long <= 5400, "midnight": F.floor(F.col("t0") / 86400) == F.floor(F.col("t1") / 86400)}
+    return selection.checked_alone(rows, checks).select("event_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query(
+    "bed_turn",
+    f"""
+    WITH {E_SQL}, b AS (SELECT user_id, min(t) AS t0, first(t ORDER BY value DESC, event_id) AS turn FROM e WHERE event_type = 'view' GROUP BY user_id),
+         l AS (SELECT user_id, t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM e WHERE event_type = 'purchase') WHERE k = 1)
+    SELECT b.user_id, b.t0, b.turn, l.t - b.turn AS "offset" FROM b LEFT JOIN l USING (user_id)
+    """,
+)
+def bed_turn(spark: SparkSession, root: str) -> DataFrame:
+    """A user's views as a bed that turns at the strongest one, moved so that the turn falls on the strongest purchase."""
+    views, buys = _seconds(spark, root, "view"), _seconds(spark, root, "purchase")
+    turn = selection.best_per(views, ["user_id"], "value", "event_id").select("user_id", F.col("t").alias("turn"))
+    beds = views.groupBy("user_id").agg(F.min("t").alias("t0")).join(turn, "user_id")
+    return intervals.turned(beds, selection.best_per(buys, ["user_id"], "value", "event_id"), ["user_id"], "turn", "t")
