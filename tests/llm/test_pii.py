@@ -1,5 +1,10 @@
+import hashlib
+import hmac
 import re
 
+import regex
+from pyspark.sql import functions as F
+
 from tidemark.llm import pii
 from tidemark.llm.common import Scratch
 from tidemark.llm.pii import KINDS, assign_surrogates, replace_entities
@@ -71,3 +76,68 @@ def test_nothing_planted_is_left(spark):
             found += 1
             assert e not in new[r.doc_id]
     assert found
+
+
+def test_the_sentence_with_one_person_named_in_many_ways(spark):
+    text = "Mrs. Ada Holm met Dr. Ada Holm and later Ada Holm; Mr. Bob Stone, then Mr. Bob; Miss Ada."
+    got = replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    a, h, a2, h2, a3, h3, b, s, b2, a4 = re.fullmatch(r"Mrs\. (\w+) (\w+) met Dr\. (\w+) (\w+) and later (\w+) (\w+); Mr\. (\w+) (\w+), then Mr\. (\w+); Miss (\w+)\.", got).groups()
+    assert a == a2 == a3 == a4 and h == h2 == h3 and b == b2 and not {a, h, b, s} & {"Ada", "Holm", "Bob", "Stone"}
+
+
+def test_numbers_of_other_countries_addresses_and_capitals(spark):
+    rows = {
+        1: "+49 30 1234567, +34 612 345 678, +33 1 23 45 67 89, 030 1234567, 01 23 45 67 89", 2: "2001:db8::ff00:42:8329 fe80:0:0:0:1:2:3:4 12:30:45 a::b std::vector",
+        3: "Bob.Stone@Example.COM bob.stone@example.com", 4: "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE00 3704 0044 0532 0130 00", 5: "2024-01-02 10:20:30 1 234 567 890 +5 points, 3.14159",
+    }
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame([*rows.items()], "doc_id long, text string"), "k").collect()}
+    assert got[1].n_phone == 5 and [x[:3] for x in got[1].text.split(", ")] == ["+49", "+34", "+33", "0" + got[1].text.split(", ")[3][1:3], "0" + got[1].text.split(", ")[4][1:3]]
+    assert re.sub(r"\d", "9", got[1].text) == re.sub(r"\d", "9", rows[1]) and not set(got[1].text.split(", ")) & set(rows[1].split(", "))
+    assert got[2].n_ip6 == 2 and re.sub("[0-9a-f]", "f", got[2].text.split(" 12")[0]) == re.sub("[0-9a-f]", "f", rows[2].split(" 12")[0]) and got[2].text.endswith("12:30:45 a::b std::vector")
+    mixed, small = got[3].text.split()
+    assert mixed.lower() == small and mixed.endswith(".COM") and mixed[0].isupper() and mixed.count(".") == 2
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    ibans = re.findall(r"[A-Z]{2}\d\d ?(?:\w{4} ?){2,7}\w{0,3}", got[4].text)
+    assert mod(re.sub(" ", "", got[4].text[:27])) == 1 and len(ibans) >= 1 and mod("".join(got[4].text[28:50].split())) == 1 and mod(re.sub(" ", "", got[4].text[51:])) != 1
+    assert got[5].text == rows[5]
+
+
+def test_seeds_are_hmacs(spark):
+    for secret in ("k", "long" * 50):
+        want = hmac.new(secret.encode(), "email|é@x".encode(), hashlib.sha512).hexdigest()
+        assert spark.range(1).select(pii._keyed(F.lit("email|é@x"), secret).alias("x")).first().x == want
+
+
+def test_whole_tables_against_another_search(spark):
+    """Another regular-expression engine finds the mentions; each entity has one surrogate, no two share one, and nothing else changes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    named = spark.createDataFrame([(10_000 + i, f"Dr. {g}{i} {n} wrote to Mrs. {g}{i + 1} {n} at {g}.{n}@Mail{i % 3}.example.org.") for i, (g, n) in enumerate((g, n) for g in ("Ana", "Bea", "Cleo") for n in ("Holm", "Stone", "Lark"))], "doc_id long, text string")
+    docs = docs.unionByName(named)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pattern = regex.compile(pii.ANY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"), regex.V0)
+    of, found = {}, 0
+    for r in replace_entities(docs, "k").collect():
+        at = new = 0
+        between = []
+        for m in pattern.finditer(texts[r.doc_id]):
+            between.append((texts[r.doc_id][at : m.start()], m))
+            at = m.end()
+        assert sum(r[f"n_{k}"] for k in KINDS) >= len(between)
+        if any(regex.fullmatch(pii.PERSON, m[0]) for _, m in between) or r.text == texts[r.doc_id]:
+            assert between or r.text == texts[r.doc_id]
+            continue
+        for gap, m in between:
+            assert r.text.startswith(gap, new)
+            new += len(gap)
+            kind = next(k for k, p in KINDS.items() if regex.fullmatch(p, m[0]))
+            surrogate = r.text[new : new + len(m[0])] if kind not in ("email", "ip") else regex.compile(KINDS[kind]).match(r.text, new)[0]
+            new += len(surrogate)
+            fold = {"email": str.lower, "ip6": str.lower, "ip": str, "iban": lambda x: x.replace(" ", "")}.get(kind, lambda x: re.sub(r"\D", "", x))
+            key = fold(m[0])
+            key = key[1:] if kind == "phone" and len(key) == 11 and key[0] == "1" else key
+            got = fold(surrogate)
+            got = got[1:] if kind == "phone" and len(got) == 11 and got[0] == "1" else got
+            assert key != got and of.setdefault((kind, key), got) == got
+            found += 1
+        assert r.text[new:] == texts[r.doc_id][at:]
+    assert found > 50 and len({(k, v) for (k, _), v in of.items()}) == len(of)

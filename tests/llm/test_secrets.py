@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tidemark.llm import queries
@@ -64,3 +65,85 @@ def test_harmless_names_and_values_are_left():
     assert found('password = "changeme-please"') == []
     assert found('title = "q8Zr5TnW1yLk"') == []
     assert found("public_key = q8Zr5TnW1yLk") == []
+
+
+S = "kX9!mQ2#vL7p"
+#: What stands in a text, and the literals to find.
+SYNTAX = {
+    'db_pwd: str = "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    'let dbPwd: string = "kX9!mQ2#vL7p";': ['kX9!mQ2#vL7p'],
+    'val dbPwd: String = "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    'pwd = """kX9!mQ2#vL7p"""': ['kX9!mQ2#vL7p'],
+    'pwd = `kX9!mQ2#vL7p`': ['kX9!mQ2#vL7p'],
+    'db:\n  pwd:\n    kX9!mQ2#vL7p\n': ['kX9!mQ2#vL7p'],
+    'pwd = "kX9!mQ2#" \\\n  "vL7pQ4zz"': ['kX9!mQ2#', 'vL7pQ4zz'],
+    '#define DB_PWD "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    'part = "Zk8fQ1w"\npwd = f"{part}1yLk9Qw2"': ['Zk8fQ1w', '1yLk9Qw2'],
+    'part = "Zk8fQ1w"\npwd = "${part}1yLk9Qw2"': ['Zk8fQ1w', '1yLk9Qw2'],
+    'pwd = os.getenv("X", "kX9!mQ2#vL7p")': ['kX9!mQ2#vL7p'],
+    'pwd = os.getenv("DB_PWD")': [],
+    'DB_PASS=kX9!mQ2#vL7p': ['kX9!mQ2#vL7p'],
+    'export DB_PASS="kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    '{"user": "bob", "pwd": "kX9!mQ2#vL7p"}': ['kX9!mQ2#vL7p'],
+    'obj["pwd"] = "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    '<pwd>kX9!mQ2#vL7p</pwd>': ['kX9!mQ2#vL7p'],
+    "conn = 'Server=x;Pwd=kX9!mQ2#vL7p;Port=1'": ['kX9!mQ2#vL7p'],
+    '# pwd = "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    'setPwd("kX9!mQ2#vL7p")': ['kX9!mQ2#vL7p'],
+    'map.put("pwd", "kX9!mQ2#vL7p")': ['kX9!mQ2#vL7p'],
+    'url = "https://bob:hunter2secret9@example.com/x"': ['hunter2secret9'],
+    'pwd = get_db_password': [],
+    "pwd_hint: 'first pet and street'": [],
+    "a = 'Qw8eRt6yUi0p'\nb = a\npwd = b": ['Qw8eRt6yUi0p'],
+    'pwd: |\n  kX9!mQ2#vL7p\nother: x': ['kX9!mQ2#vL7p'],
+    "pwd = 'correct horse battery staple'": ['correct horse battery staple'],
+    "We don't tell the token: it's a secret we can't share.": [],
+    'const char *pwd = "kX9!mQ2#vL7p";': ['kX9!mQ2#vL7p'],
+    "# a = 'Qw8eRt6yUi0p'\npwd = a": [],
+    "encryption_key = 'Zk8fQ1wYy2LmN0pQ'": ['Zk8fQ1wYy2LmN0pQ'],
+    "$pwd = 'Zk8fQ1w' . '9yLk9Qw2';": ['Zk8fQ1w', '9yLk9Qw2'],
+    'pwd := "kX9!mQ2#vL7p"': ['kX9!mQ2#vL7p'],
+    "password: 'kX9!mQ2#vL7p' # rotate": ['kX9!mQ2#vL7p'],
+    "pwd = ('Zk8fQ1w'\n       '9yLk9Qw2')": ['Zk8fQ1w', '9yLk9Qw2'],
+    "pwd = r'kX9!mQ2#vL7p'": ['kX9!mQ2#vL7p'],
+    "if pwd == 'kX9!mQ2#vL7p':": [],
+    'password: Please enter your password': [],
+    "x = 'AB'\nx = 'AB'\nx = 'AB'\nkey = 'Zk8f'": [],
+}
+
+
+def test_many_syntaxes():
+    assert {t: found(t) for t in SYNTAX} == SYNTAX
+
+
+def test_generated_programs_against_what_they_were_made_of():
+    """A program is written from pairs, constants and decoys in several syntaxes; only literals that reach a sensitive name are to be found."""
+    rng = random.Random(7)
+    token = lambda: "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ") for _ in range(9)) + "".join(rng.choice("23456789!") for _ in range(5))
+    forms = ['{n} = "{v}"', "{n} = '{v}'  # note", 'const {n}: string = "{v}";', 'val {n}: String = "{v}"', '"{n}": "{v}",', "{n}: '{v}'", '{n} := "{v}"', '#define {n} "{v}"', "<{n}>{v}</{n}>", '{n} = """{v}"""', "{n} = `{v}`", '{n} =>\t"{v}",', 'export {n}="{v}"', '{n}:\n    {v}']
+    for _ in range(300):
+        lines, want, constants = [], [], []
+        for i in range(rng.randrange(1, 12)):
+            v, what = token(), rng.randrange(6)
+            if what == 0:
+                lines.append(rng.choice(["It's a clear day, isn't it?", "see https://x.example/a?b=1 // fine", "/* nothing here */", "", "    indented: text here", "- item one"]))
+            elif what == 1:
+                lines.append(rng.choice(forms[:8]).format(n=f"title{i}", v=v))
+            elif what == 2:
+                lines.append(f'part{i} = "{v}"')
+                constants.append((f"part{i}", v))
+            elif what == 3 and constants:
+                name, c = rng.choice(constants)
+                lines.append(rng.choice([f"api_token{i} = {name}", f'api_token{i} = {name} + "{v}"', f'api_token{i} = f"{{{name}}}{v}"']))
+                want += [c, v] if v in lines[-1] else [c]
+            else:
+                lines.append(rng.choice(forms).format(n=rng.choice([f"db_password{i}", f"clientSecret{i}", f"APP_PWD{i}"]), v=v))
+                want.append(v)
+        text = "\n".join(lines)
+        assert sorted(set(found(text))) == sorted(set(want)), text
+
+
+def test_passphrases_logins_and_long_texts():
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found("Password: please write to us about it") == [] and found("") == []
+    assert found("x = 1\n" * 50_000 + 'db_password = "q8Zr5TnW1yLk"') == ["q8Zr5TnW1yLk"]

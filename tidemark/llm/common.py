@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import fresh_folder
+
 #: Bytes that part words: space, and tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 #: Bits of the filter in ``split_listed``, whatever the input: 16 MB.
 FILTER_BITS = 1 << 27
 
-_local_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset a local session gets a folder of its own; a cluster must name one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    return _local_root.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-tidemark-"))
-
 
 class Scratch:
     """Tables written below the shared folder: they cut lineage, and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, fresh_folder(spark, label)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read again."""
@@ -128,3 +115,17 @@ def anti_listed(rows: DataFrame, h: Column, listed: DataFrame, c: str, same: Cal
     """The ``rows`` that ``same`` joins to none of ``listed``; only those that may be listed are shuffled."""
     may, rest = split_listed(rows, h, listed, c)
     return may.join(listed, same(may, listed), "left_anti").unionByName(rest)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for Arrow batches; at a task's end the worker, which stays for the next one, gives unused memory back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 #: Fragments remembered by a worker, and the longest (characters) that is remembered.
 REMEMBERED, LONGEST = 400_000, 48
+#: Texts on which each worker compares both encoders of ByteEncoder before it uses the faster one.
+PROBES = ["Hello, world! It's 2024-01-02.", "  two  spaces \n\n\ttab ", "naïve Straße Ñandú éà 中文 テスト 🙂 a\u0301", "x" * 300, "don't DON'T we'll 12345678 3.14", "a\u200bb \u00a0 c\r\nd", "#$%&***<|>|"]
 
 
 class Memo:
@@ -89,6 +91,9 @@ class ByteEncoder:
         pack = struct.pack
         self.memo = Memo(lambda xs: [pack(f"<{len(i)}I", *i) for i in map(encode, xs)])
         self.pack = pack
+        for text in PROBES:
+            if self.encode([text]) != [pack(f"<{len(ids)}I", *ids) for ids in [self.whole.encode(text, add_special_tokens=False).ids]]:
+                raise ValueError(f"{ranks_path} doesn't give the ids of {path}, for example for {text!r}")
 
     def split(self, text: str) -> list[str]:
         if self._doubt.search(text):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, anti_listed, bounded
+from tidemark.llm.common import Scratch, anti_listed, bounded, frugal
 from tidemark.llm.components import components
 from tidemark.llm.hashing import shingle_sets
 
@@ -21,8 +21,13 @@ FREQUENT, COUNTED, TOGETHER, SLOTS, MEMBERS, QUERIES = 1 << 18, 2_000_000, 4096,
 LABEL_ROWS = 2_000_000
 
 
-def _texts(b: pa.RecordBatch) -> list[bytes | None]:
-    return b.column(1).cast(pa.binary()).to_pylist()
+#: Rows of a batch whose texts are held apart from it at a time.
+ROWS = 1000
+
+
+def _set_of_each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for at in range(0, b.num_rows, ROWS):
+        yield from shingle_sets(b.column(1).slice(at, ROWS).cast(pa.binary()).to_pylist())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -78,7 +83,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, keyed, bits = [], [], []
         kind = b.column(0).type
-        for s in shingle_sets(_texts(b)):
+        for s in _set_of_each(b):
             n.append(len(s))
             keyed.append(k := _set_key(s))
             bits.append(bitmap(s))
@@ -100,7 +105,7 @@ def _prefixes(frequent, percent: int):
         tokens, ranks = frequent.value
         for b in batches:
             n, keyed, prefixes, salts, common = [], [], [], [], []
-            for s in shingle_sets(_texts(b)):
+            for s in _set_of_each(b):
                 n.append(len(s))
                 keyed.append(k := _set_key(s))
                 take = len(s) - _required(len(s), percent) + 1 if len(s) else 0
@@ -130,7 +135,7 @@ def _sets(slots):
             if not len(hit):
                 continue
             b = b.take(pa.array(hit))
-            sets = [s.view(np.int64) for s in shingle_sets(_texts(b))]
+            sets = [s.view(np.int64) for s in _set_of_each(b)]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc", "tokens"])
 
@@ -164,7 +169,7 @@ def _verified(scratch: Scratch, name: str, pairs: DataFrame, own: DataFrame, kin
     wanted = np.zeros(SLOTS, bool)
     wanted[used] = True
     wanted = pairs.sparkSession.sparkContext.broadcast(wanted)
-    sets = scratch.keep(f"{name}_sets", own.select("key", "text", slot("key").alias("slot")).mapInArrow(_sets(wanted), f"doc {kind}, tokens array<long>"))
+    sets = scratch.keep(f"{name}_sets", own.select("key", "text", slot("key").alias("slot")).mapInArrow(frugal(_sets(wanted)), f"doc {kind}, tokens array<long>"))
     b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")).join(bounded(pairs, LABEL_ROWS), "b")
     a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")).join(bounded(pairs.select("a").distinct(), LABEL_ROWS), "a", "left_semi")
     out = scratch.keep(name, b.join(a, "a").where(_similar(F.size(F.array_intersect("ta", "tb")), F.col("ta"), F.col("tb"), percent)).select("a", "b").distinct())
@@ -224,7 +229,7 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     scratch = Scratch(spark, "jaccard")
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    survey = scratch.keep("survey", own.mapInArrow(_survey, f"key {kind}, n long, k1 long, k2 long, bits binary, token long, count long"))
+    survey = scratch.keep("survey", own.mapInArrow(frugal(_survey), f"key {kind}, n long, k1 long, k2 long, bits binary, token long, count long"))
     keyed = own.where("key IS NOT NULL")
 
     frequent = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
@@ -232,7 +237,7 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     by_token = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_token], frequent.column("c").to_numpy()[by_token]))
 
-    prefixes = keyed.mapInArrow(_prefixes(frequent, percent), f"key {kind}, n long, k1 long, k2 long, common long, prefix array<long>, salts array<int>")
+    prefixes = keyed.mapInArrow(frugal(_prefixes(frequent, percent)), f"key {kind}, n long, k1 long, k2 long, common long, prefix array<long>, salts array<int>")
     classes = prefixes.where("n > 0").groupBy("k1", "k2", "n", "common").agg(F.min("key").alias("doc"), F.any_value(F.arrays_zip("prefix", "salts")).alias("prefix"))
     rows = classes.select("doc", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"), F.posexplode("prefix").alias("pos", "p"))
     rows = rows.select("doc", "n", "common", "pos", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salt"))
@@ -282,8 +287,9 @@ def link_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pe
     queries = asked.join(salts, ["h", "block"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts"))).select("doc", "h", "block", "salt")
     members = grouped.select("doc", F.col("g").alias("h"), "block").distinct().join(salts, ["h", "block"])
     members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("doc", "h", "block", "salt")
-    by = ["h", "block", "salt"]
-    members, queries = (x.join(bits.select(*[F.col(c).alias(c) for c in bits.columns]), "doc") for x in (members, queries))
+    # Few bytes, much work: as many tasks as a shuffle has.
+    by, tasks = ["h", "block", "salt"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members, queries = (x.join(bits.select(*[F.col(c).alias(c) for c in bits.columns]), "doc").repartition(tasks, *by) for x in (members, queries))
     opened = members.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_open_groups(percent), f"a {kind}, b {kind}")
     more = _verified(scratch, "more", scratch.keep("opened", opened.distinct()), keyed, kind, percent)
     links = scratch.keep("all_links", links.unionByName(more))

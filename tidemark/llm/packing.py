@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, by_bytes
+from tidemark.llm.common import Scratch, by_bytes, frugal
 from tidemark.llm.fragments import ByteEncoder, loaded
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,6 +105,7 @@ def pack(
     gives an empty result. Only ``key`` and ``text`` are read.
     """
     kind = docs.schema[key].dataType.simpleString()
+    keyed = docs.select(key).limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(ByteEncoder, vocabulary, ranks, pattern)
@@ -125,13 +126,13 @@ def pack(
             short = sum(len(p[2]) for p in window) < 4 * size
             yield table(list(_rows(window, sequence)), [p[2] for p in window] if short else None)
             sequence += 1
+        encoder.memo.known.clear()
 
     def table(rows: list[tuple], left: list[bytes] | None) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 7
         keys = pa.array([k.as_py() for k in columns[0]], keyed)
         return pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(left or [None] * len(rows), pa.binary())], names)
 
-    keyed = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = [key, *(c.split()[0] for c in PIECE.split(", ")), "ids"]
 
     def join(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,6 +142,6 @@ def pack(
         out = [r for i, w in enumerate(windows.merge()) for r in _rows(w, MERGED + int(group[0]) * PER_TASK + i)]
         return pd.DataFrame(out, columns=names[:-1])
 
-    pieces = Scratch(docs.sparkSession, "packing").keep("pieces", docs.select(key, text).mapInArrow(run, f"{key} {kind}, {PIECE}, ids binary"))
+    pieces = Scratch(docs.sparkSession, "packing").keep("pieces", docs.select(key, text).mapInArrow(frugal(run), f"{key} {kind}, {PIECE}, ids binary"))
     left = pieces.where("ids IS NOT NULL").withColumn("__group", F.floor(F.col("sequence_id") / (PER_TASK * merged)).cast("long"))
     return pieces.where("ids IS NULL").drop("ids").unionByName(left.groupBy("__group").applyInPandas(join, f"{key} {kind}, {PIECE}"))

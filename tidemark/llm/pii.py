@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, let, row_hash
+from tidemark.llm.common import Scratch, let, row_hash, split_listed
 
 #: Titles by the gender they tell, and what surrogate names are built from, for each script.
 TITLES = {
@@ -28,11 +30,17 @@ EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}(?!\d)"
+#: Hexadecimal groups: all eight, or fewer with one :: among them.
+IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
+#: North American numbers; any with a country code; French and German ones with their leading 0.
+PHONE = (
+    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}|\+\d{1,3}(?=(?:[ ./-]?\(?\d\)?){7,12}(?!\d))(?:[ ./-]?\(?\d{1,8}\)?){1,6}"
+    r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?!\d)"
+)
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(TITLES.values())})\.?[ \t]+\p{{Lu}}[\p{{L}}'’-]+(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 #: In the order in which they are tried at a place.
-KINDS = {"email": EMAIL, "ip": IP, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "person": PERSON}
+KINDS = {"email": EMAIL, "ip": IP, "ip6": IP6, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -55,27 +63,28 @@ def _parts(mention: Column, kind: Column, surnames: Column | None = None, given:
     """(type, canon, raw, gender) for each part of a mention; parts of type "" stay. Equal (type, canon) are one entity.
 
     Numbers are known by their digits, e-mail addresses in lower case, persons by each name: what comes last is the
-    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it. Names without a title are what the document's titled persons
-    make them: ``surnames`` or ``given`` names, or either by their place if they are both.
+    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it. Names without a title, and one name behind a title, are what the
+    document's titled persons make them: ``surnames`` or ``given`` names, or either by their place if they are both.
     """
 
     def part(kind: Column, canon: Column, raw: Column, gender: Column | None = None) -> Column:
         return F.struct(kind.alias("type"), canon.alias("canon"), raw.alias("raw"), (F.lit("n") if gender is None else gender).alias("gender"))
 
     number = _digits(mention)
-    phone = F.when((F.length(number) == 11) & number.startswith("1"), number.substr(2, 10)).otherwise(number)
-    canon = F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), number).when(kind == "phone", phone).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
+    phone = F.when((F.length(number) == 11) & number.startswith("1"), number.substr(2, 10)).when(mention.startswith("+"), F.concat(F.lit("+"), number)).otherwise(number)
+    canon = F.when(kind.isin("email", "ip6"), F.lower(mention)).when(kind.isin("card", "ssn"), number).when(kind == "phone", phone).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
     tokens = F.regexp_extract_all(mention, F.lit(r"[ \t]+|['’]s(?![^ \t])|(?:(?!['’]s(?![^ \t]))[^ \t])+"), F.lit(0))
     gender = F.when(mention.rlike(rf"^(?:{TITLES['m']})\b"), "m").when(mention.rlike(rf"^(?:{TITLES['f']})\b"), "f").otherwise("n")
 
     titled = mention.rlike(rf"^(?:{'|'.join(TITLES.values())})\.?[ \t]")
+    several = F.size(F.filter(tokens, lambda t: ~t.rlike(r"^[ \t]|^['’]s$"))) > 2
 
     def name(t: Column, i: Column) -> Column:
         end = F.size(tokens) - F.when(F.element_at(tokens, -1).rlike("^['’]s$"), 2).otherwise(1)
         is_surname = i == end
         if surnames is not None:
             known = F.when(is_surname, F.array_contains(surnames, F.lower(t))).otherwise(~F.array_contains(given, F.lower(t)))
-            is_surname = F.when(titled, is_surname).otherwise(known)
+            is_surname = F.when(titled & several, is_surname).otherwise(known)
         role = F.when((titled & (i == 0)) | t.rlike(r"^[ \t]|^['’]s$"), "").otherwise(F.concat(F.when(is_surname, "surname:").otherwise("given:"), _script(t)))
         return part(role, F.lower(t), t, F.when(role.startswith("given"), gender).otherwise("n"))
 
@@ -91,14 +100,18 @@ def _mentions(text: Column) -> Column:
 
     def of(found: Column) -> Column:
         persons = F.filter(found, lambda m: m.rlike(rf"^(?:{PERSON})$"))
-        names = F.filter(F.flatten(F.transform(persons, lambda m: _parts(m, F.lit("person")))), lambda p: p["type"] != "")
-        return let(names, lambda names: let(bare(names), lambda b: F.struct(
+        each = F.transform(persons, lambda m: F.filter(_parts(m, F.lit("person")), lambda p: p["type"] != ""))
+        return let(each, lambda each: let(F.flatten(each), lambda names: let(bare(names), lambda b: let(whole(each, "given"), lambda given: F.struct(
             F.when(b.isNull(), found).otherwise(F.regexp_extract_all(text, F.concat(F.lit(f"{ANY}|"), b), F.lit(0))).alias("list"), b.alias("bare"),
-            canon(names, "surname").alias("surnames"), canon(names, "given").alias("given"),
-        )))
+            F.array_union(whole(each, "surname"), F.array_except(canon(F.flatten(F.filter(each, lambda p: F.size(p) == 1))), given)).alias("surnames"), given.alias("given"),
+        )))))
+
+    def canon(names: Column) -> Column:
+        return F.array_distinct(F.transform(names, lambda p: p["canon"]))
 
-    def canon(names: Column, role: str) -> Column:
-        return F.array_distinct(F.transform(F.filter(names, lambda p: p["type"].startswith(role)), lambda p: p["canon"]))
+    def whole(each: Column, role: str) -> Column:
+        """Names of that role of the persons that are named by two names or more."""
+        return canon(F.filter(F.flatten(F.filter(each, lambda p: F.size(p) > 1)), lambda p: p["type"].startswith(role)))
 
     def bare(names: Column) -> Column:
         written = F.flatten(F.transform(names, lambda p: F.array(p["raw"], F.upper(p["raw"]), F.initcap(p["raw"]))))
@@ -119,6 +132,30 @@ def _chars(x: Column) -> Column:
     return F.split(x, "(?!^)(?!$)")
 
 
+def _keyed(message: Column, secret: str) -> Column:
+    """HMAC-SHA-512 in hexadecimal digits."""
+    key = secret.encode()
+    key = (hashlib.sha512(key).digest() if len(key) > 128 else key).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in key)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 512))), 512)
+
+
+def _mod97(x: Column) -> Column:
+    """The remainder by 97 of a string whose letters stand for 10 to 35."""
+
+    def add(a: Column, c: Column) -> Column:
+        value = F.conv(c, 36, 10).cast("int")
+        return (a * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(_chars(x), F.lit(0), add)
+
+
+def _hex_alike(x: Column, seed: Column) -> Column:
+    """Other hexadecimal digits, in lower case; a first digit isn't 0."""
+    digit = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.lower(F.hex(_byte(seed, i) % 15 + 1))).otherwise(c)
+    return F.array_join(F.transform(_chars(x), digit), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string, modulo 10."""
     backwards = F.reverse(_chars(digits))
@@ -151,7 +188,7 @@ def _pick(options: list[str], b: Column) -> Column:
 
 def _surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Column:
     """The canonical surrogate: a function of the secret, the entity and the attempt only."""
-    seed = F.sha2(F.concat_ws("|", F.lit(secret), kind, canon, attempt.cast("string")), 512)
+    seed = _keyed(F.concat_ws("|", kind, canon, attempt.cast("string")), secret)
     more = F.when(attempt > 3, F.substring(F.translate(seed, "0123456789", "ghijklmnop"), F.lit(1), attempt - 3)).otherwise("")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -161,8 +198,14 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Col
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     wrong = (_byte(seed, 63) % 9 + 1 + check) % 10
     card = F.concat(body, F.when(_luhn(canon) == 0, check).otherwise(wrong).cast("string"))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", F.concat(F.substring(canon, 1, 2), _alike(canon.substr(F.lit(3), F.length(canon)), seed)))
-    out = out.when(kind.isin("phone", "ssn"), _alike(canon, seed, "23456789"))
+    land, account = F.substring(canon, 1, 2), _alike(canon.substr(F.lit(5), F.length(canon)), seed)
+    digits = F.lpad((98 - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(canon.substr(F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    iban = F.concat(land, F.when(valid, digits).otherwise(_alike(F.substring(canon, 3, 2), F.reverse(seed))), account)
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", _hex_alike(canon, seed)).when(kind == "card", card).when(kind == "iban", iban)
+    # A number's country code, of two digits for the most part, or its leading 0 stays.
+    stays = F.when(canon.startswith("+"), 3).when((kind == "phone") & canon.startswith("0"), 1).otherwise(0)
+    out = out.when(kind.isin("phone", "ssn"), F.concat(canon.substr(F.lit(1), stays), _alike(canon.substr(stays + 1, F.length(canon)), seed, "23456789")))
     for script, syllables in SYLLABLES.items():
         stem = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2) + F.floor(attempt / 3).cast("int")), lambda i: _pick(syllables, _byte(seed, i))), "")
         for role, endings in ENDINGS[script].items():
@@ -172,8 +215,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Col
 
 def _render(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate written as the mention was: its separators, extra leading digits and capitals."""
-    digits = _digits(raw)
-    filled = F.concat(digits.substr(F.lit(1), F.length(digits) - F.length(surrogate)), surrogate)
+    digits, own = _digits(raw), _digits(surrogate)
+    filled = F.concat(digits.substr(F.lit(1), F.length(digits) - F.length(own)), own)
     place = F.transform(_chars(raw), lambda c: c.rlike("[0-9]").cast("int"))
 
     def put(c: Column, i: Column) -> Column:
@@ -185,10 +228,12 @@ def _render(kind: Column, raw: Column, surrogate: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substring(surrogate, solid, F.lit(1)))
 
     number = F.array_join(F.transform(_chars(raw), put), "")
+    large = lambda c, i: F.when(F.substring(raw, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
+    cased = F.array_join(F.transform(_chars(surrogate), large), "")
     capital = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (
         F.when(kind == "", raw).when(kind.isin("card", "phone", "ssn"), number).when(kind == "iban", F.array_join(F.transform(_chars(raw), spaced), ""))
-        .when(kind == "email", F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)).when(kind == "ip", surrogate).otherwise(capital)
+        .when(kind.isin("email", "ip6"), cased).when(kind == "ip", surrogate).otherwise(capital)
     )
 
 
@@ -223,17 +268,19 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     """``docs`` with every entity in ``text`` replaced, and ``n_<kind>`` for each of KINDS.
 
     A surrogate depends on ``secret`` and the entity, so an entity has the same one in every document and every run on the
-    same documents; it keeps kind, length and layout, country prefix, card brand and check digit, top-level domain,
-    script, and the gender that the titles before a given name tell, if they tell one. ``assign_surrogates`` keeps distinct
+    same documents; it keeps kind, length and layout, capitals, an IBAN's country, a card's brand, whether their check digits
+    are right, top-level domain, script, and the gender that the titles before a given name tell, if they tell one. Seeds are
+    HMACs under ``secret``. ``assign_surrogates`` keeps distinct
     entities distinct. Persons are known by a title (TITLES); their names are also replaced elsewhere in the same document.
     Persons that have no title anywhere in a document stay.
 
-    One pass finds mentions and writes them; entities are distinct by map-side aggregation; mentions meet their surrogates
+    One pass over all texts finds mentions and writes them; entities are distinct by map-side aggregation; mentions meet their surrogates
     by a join that the engine can split at a hot entity. Only documents with mentions are shuffled, to meet their list of
     replacements; a text is taken apart at its mentions and put together with the replacements between.
 
-    Null texts stay null, empty ones empty. Null or repeated keys are told apart by text. An empty table gives an empty
-    result. Other columns are passed on; names that begin with __tm_ are reserved.
+    Null texts stay null, empty ones empty. Very long texts are searched whole. Null or repeated keys are told apart by text.
+    An empty table gives an empty result. Other columns are passed on, but for columns named as the counts, which are
+    replaced; names that begin with __tm_ are reserved.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = docs.select(F.col(key).alias("__tm_key"), row_hash(key, text).alias("__tm_row"), _mentions(F.col(text)).alias("m"))
@@ -250,15 +297,16 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     each = met.groupBy("__tm_key", "__tm_row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__tm_new"), F.first("bare").alias("__tm_bare"))
     each = each.select(F.col("__tm_key").alias("__tm_k"), F.col("__tm_row").alias("__tm_r"), "__tm_new", "__tm_bare")
 
-    rows = docs.withColumn("__tm_row", row_hash(key, text))
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    changed = rows.where(has).join(each, F.col(key).eqNullSafe(F.col("__tm_k")) & (F.col("__tm_row") == F.col("__tm_r")))
+    # Only documents with mentions, and few others, are shuffled and taken apart.
+    may, same = split_listed(docs.withColumn("__tm_row", row_hash(key, text)), F.col("__tm_row"), found.select("__tm_row"), "__tm_row")
+    met = may.join(each, F.col(key).eqNullSafe(F.col("__tm_k")) & (F.col("__tm_row") == F.col("__tm_r")), "left")
     # Parts of one mention stand together; what lies between mentions follows the last part of each.
     ends = lambda x, i: ~F.coalesce(F.get("__tm_new", i + 1)["pos"] == x["pos"], F.lit(False))
     piece = lambda between: lambda x, i: F.concat(x["new"], F.when(ends(x, i), F.get(between, x["pos"] + 1)).otherwise(""))
-    joined = let(F.when(F.col("__tm_bare").isNull(), F.split(text, ANY, -1)).otherwise(F.split(F.col(text), F.concat(F.lit(f"{ANY}|"), F.col("__tm_bare")), F.lit(-1))), lambda between: F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__tm_new", piece(between)), "")))
-    count = lambda k: F.size(F.filter("__tm_new", lambda x: (x["kind"] == k) & (x["no"] == 0))).cast("long").alias(f"n_{k}")
+    parts = F.when(F.col("__tm_bare").isNull(), F.split(text, ANY, -1)).otherwise(F.split(F.col(text), F.concat(F.lit(f"{ANY}|"), F.col("__tm_bare")), F.lit(-1)))
+    joined = let(parts, lambda between: F.concat(F.get(between, F.lit(0)), F.array_join(F.transform("__tm_new", piece(between)), "")))
+    new = F.when(F.col("__tm_new").isNull(), F.col(text)).otherwise(joined)
+    count = lambda k: F.coalesce(F.size(F.filter("__tm_new", lambda x: (x["kind"] == k) & (x["no"] == 0))), F.lit(0)).cast("long").alias(f"n_{k}")
     others = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
-    changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in others], *[count(k) for k in KINDS])
-    same = rows.where(~has).select(*others, *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])
-    return changed.unionByName(same)
+    changed = met.select(*[new.alias(c) if c == text else F.col(c) for c in others], *[count(k) for k in KINDS])
+    return changed.unionByName(same.select(*others, *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS]))

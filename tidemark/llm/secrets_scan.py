@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.literals import Reader
+
 #: The base patterns, the kinds in the order of equal starts, and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -18,19 +20,14 @@ KINDS = ("assign", "access", "hex", "literal")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 STEMS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: A name, an assignment sign, and one or more values joined by +: quoted literals or bare words.
-_VALUE = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_$\{][^\s,;"'()\[\]<>]*)"""
-PAIR = re.compile(rf"""(?<![\w.-])["']?([A-Za-z_][\w.-]*)["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*({_VALUE}(?:[ \t]*\+[ \t]*{_VALUE})*)""", re.ASCII)
-VALUE = re.compile(_VALUE)
-ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]+)</\1>", re.ASCII)
-REFERENCE = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?")
-
 #: How much each part of a name tells of a secret; parts are split at case changes and separators.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
-    "credential": 0.8, "credentials": 0.8, "auth": 0.6, "bearer": 0.7, "private": 0.5, "signing": 0.4, "access": 0.4,
-    "key": 0.5, "salt": 0.4, "api": 0.3, "client": 0.1, "master": 0.2,
+    "password": 1.0, "passwd": 1.0, "passwort": 1.0, "pass": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+    "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.8, "bearer": 0.7, "private": 0.5, "signing": 0.4, "access": 0.4,
+    "key": 0.5, "salt": 0.4, "api": 0.3, "client": 0.1, "master": 0.2, "encryption": 0.4, "ssh": 0.4, "license": 0.3,
 }
+#: A text without one of these holds no name of SENSITIVE.
+NEEDED = re.compile("pass|pwd|secret|token|apikey|credential|auth|bearer|private|signing|access|key|salt")
 #: Parts that name something else than the secret itself.
 HARMLESS = {"length", "len", "count", "limit", "min", "max", "name", "id", "type", "url", "uri", "path", "file", "field", "hint", "policy", "public", "expiry", "ttl", "label", "header"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|your.*|change.?me.*|example.*|placeholder.*|none|null|true|false|todo|test|dummy|<.*>|\$\{.*\})$")
@@ -46,14 +43,21 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in {*parts, *pairs}))
 
 
-def value_score(value: str) -> float:
-    """0 to 1: how much a literal looks drawn at random; 0 for short ones, placeholders and plain words."""
+def value_score(value: str, quoted: bool = True, phrase: bool = False) -> float:
+    """0 to 1.3: how much a literal looks drawn at random; 0 for short ones, placeholders, plain words and names of other things.
+
+    With ``phrase``, 2 to 8 quoted words of 12 characters and more count as a passphrase.
+    """
     n = len(value)
-    if n < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if n < 8 or PLACEHOLDER.match(value):
         return 0.0
+    if any(c.isspace() for c in value):
+        return 0.7 if phrase and quoted and n >= 12 and 2 <= len(value.split()) <= 8 and "\n" not in value else 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy / 4) * (0.4 if classes == 1 else 1.0)
+    if not quoted and classes < 3 and not any(c.isdigit() for c in value):
+        return 0.0
+    return min(1.3 if n >= 16 and classes >= 3 else 1.0, entropy / 3 if n >= 16 and classes >= 3 else entropy / 4) * (0.4 if classes == 1 else 1.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,29 +74,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def literal_spans(text: str, threshold: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name.
 
-    Name-literal pairs come from assignments, mappings and elements. A name given a literal is a constant from there on; a
-    sensitive name given that name, or literals and names joined by +, makes the literal of each secret where it stands.
+    Name-literal pairs come from ``Reader``: assignments with or without types, mappings, elements, definitions, setters and
+    what strings hold. A name given a literal is a constant from there on; a sensitive name given that name, or literals and
+    names joined or put into a string, makes the literal of each secret where it stands.
     """
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not NEEDED.search(text.lower()) or not any(c in text for c in "=:(") and "</" not in text and "#define" not in text:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
     found = set()
-    pairs = [(m.start(1), m[1], [(v.start(), v.end()) for v in VALUE.finditer(text, m.start(2), m.end(2))]) for m in PAIR.finditer(text)]
-    pairs += [(m.start(1), m[1], [m.span(2)]) for m in ELEMENT.finditer(text)]
-    for _, name, values in sorted(pairs, key=lambda p: p[0]):
-        literals: list[tuple[int, int]] = []
-        for a, b in values:
-            if text[a] in "\"'":
-                literals.append((a + 1, b - 1))
-            elif (r := REFERENCE.fullmatch(text, a, b)) and r[1] in constants:
-                literals += constants[r[1]]
-            else:
-                literals.append((a, b))
-        constants[name] = literals
+    for name, spans, quoted in Reader(text).pairs():
         if (sure := name_score(name)) > 0:
-            whole = "".join(text[a:b] for a, b in literals)
-            if sure * value_score(whole) >= threshold:
-                found.update(literals)
+            whole = "".join(text[a:b] for a, b in spans)
+            if sure * value_score(whole, quoted, sure >= 1.0) >= threshold:
+                found.update(spans)
     return sorted((a, 3, b) for a, b in found if b > a)
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_bytes
+from tidemark.llm.common import by_bytes, frugal
 from tidemark.llm.fragments import PieceCounter, loaded
 
 
@@ -17,7 +17,8 @@ def count_tokens(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
 
     A narrow pass: no shuffle, only lengths leave the Arrow function. Inside a task, texts meet the library in batches of
     about ``batch_bytes``, so one batch of long texts takes no more memory than one of short texts; long texts are cut at
-    boundaries that no token crosses (see PieceCounter), and a fragment that came before isn't encoded again.
+    boundaries that no token crosses (see PieceCounter), and a fragment that came before isn't encoded again. A long text
+    without a space is one fragment.
 
     Null text counts as empty: 0 bytes, 0 tokens. Null or repeated keys each give a row of their own. An empty table gives
     an empty result. Only ``key`` and ``text`` are read, so other columns can have any name.
@@ -32,5 +33,6 @@ def count_tokens(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
             counts = [n for part in by_bytes(rows, lambda r: r[1], batch_bytes) for n in counter.counts([t or "" for t, _ in part])]
             n = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, n, pc.greater(n, limit)], [key, "n_bytes", "n_tokens", "over_limit"])
+        counter.memo.known.clear()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(frugal(run), schema)
