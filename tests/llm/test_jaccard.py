@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidemark.llm import jaccard_join
@@ -56,10 +57,11 @@ def corpus(seed, n):
     return [(i, " ".join(t)) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed, members", [(1, 64), (2, 3)])
-def test_links_are_those_of_all_pairs(spark, monkeypatch, seed, members):
-    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
-    monkeypatch.setattr(jaccard_join, "QUERIES", 5)
+@pytest.mark.parametrize("seed, members, labels, together, frequent", [(1, 64, 10**6, 4096, 1 << 18), (2, 3, 0, 2, 200)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, seed, members, labels, together, frequent):
+    """Also with small blocks, nothing broadcast, salted shingles and more repeated shingles than are listed."""
+    for name, value in (("MEMBERS", members), ("QUERIES", 5), ("LABEL_ROWS", labels), ("TOGETHER", together), ("FREQUENT", frequent)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus(seed, 240)
     got = sorted(tuple(r) for r in link_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == brute(rows)
@@ -89,3 +91,12 @@ def test_components_of_paths_stars_and_cycles(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "x").collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}, **{2000 + i: 2000 for i in range(7)}}
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((100, 100, 90), (40, 900, 30), (1000, 1010, 999), (1, 300, 1), (500, 500, 0)):
+        x = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        p, q = (np.frombuffer(jaccard_join.bitmap(s), np.uint8) for s in (a, b))
+        assert both <= jaccard_join.within(p, n, q) <= both + 0.4 * (n - both) + 8 and both <= jaccard_join.within(q, m, p)

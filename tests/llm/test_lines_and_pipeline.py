@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup
+from tidemark.llm import common
 from tidemark.llm.common import Scratch
 from tidemark.llm.line_dedup import dedup_lines
 
@@ -15,9 +16,10 @@ def passage(seed, n):
     return [f"passage {seed} line {i} " + " ".join(rng.choice("abcdef") * 3 for _ in range(8)) for i in range(n)]
 
 
-@pytest.mark.parametrize("spans", [10**6, 0])
-def test_repeats_go_and_one_of_each_line_stays(spark, monkeypatch, spans):
-    monkeypatch.setattr(line_dedup, "SPAN_ROWS", spans)
+@pytest.mark.parametrize("bits", [1 << 27, 32])
+def test_repeats_go_and_one_of_each_line_stays(spark, monkeypatch, bits):
+    """Also with a filter that is full, as it is where far more documents are listed than it has bits."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     rng = random.Random(1)
     shared = [passage(i, 24) for i in range(5)]
     docs = []
@@ -109,3 +111,32 @@ def test_pipeline_stages_take_effect(spark):
     bad = {k for k, *_ in leaks([(r.doc_id, r.text) for r in before], [(r.item_id, r.text) for r in spark.read.parquet(f"{ROOT}/benchmark.parquet").collect()])}
     assert {r.doc_id for r in after} == {r.doc_id for r in before} - bad
     assert len({(r.doc_id, r.start) for r in corpus_pipeline.run(spark, ROOT).collect()}) == len(seen["packing"][1])
+
+
+def test_every_stage_on_hard_rows_and_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
+    hard = [(9001, None, "en", "s", 0), (9002, "", "en", None, 0), (None, "no id here " * 5, None, None, 55), (9003, "same row " * 30, "en", "s", 270), (9003, "same row " * 30, "en", "s", 270), (9004, "x" * 200_000, "en", "s", 200_000)]
+    docs = docs.unionByName(spark.createDataFrame(hard, docs.schema)).withColumn("n_chars", F.col("n_chars").cast("long"))
+    scratch = Scratch(spark, "hard")
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.keep(name, stage(spark, docs, ROOT))
+        empty = scratch.keep(f"{name}_empty", stage(spark, docs.limit(0), ROOT))
+        assert empty.count() == 0 and empty.columns == out.columns
+        ids = [r.doc_id for r in out.collect()]
+        if name == "quality_rules":
+            assert not {9001, 9002} & set(ids)
+        elif name != "packing":
+            assert {9001, 9002, None} <= set(ids) and ids.count(9003) in (0, 2)
+        else:
+            assert {9001, 9002, None, 9004} <= set(ids)
+
+
+def test_the_filter_finds_all_that_is_listed(spark):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"), F.lit("x").alias("text"))
+    listed = rows.where("id % 7 = 0").select(F.col("h").alias("g"))
+    may, rest = common.split_listed(rows, F.col("h"), listed, "g")
+    a, b = {r.id for r in may.collect()}, {r.id for r in rest.collect()}
+    assert a >= {i for i in range(5000) if i % 7 == 0} and len(a) < 730 and a | b == set(range(5000)) and not a & b
+    assert may.columns == rest.columns == rows.columns
+    none = common.split_listed(rows, F.col("h"), listed.limit(0), "g")
+    assert none[0].count() == 0 and none[1].count() == 5000

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from tidemark.llm import common, decontamination
 from tidemark.llm.decontamination import find_items, without_items
 from tidemark.llm.lm_scoring import score_difference
 
@@ -32,7 +34,11 @@ def leaks(docs, items):
     return out
 
 
-def test_containment_is_exact(spark):
+@pytest.mark.parametrize("rows, bits", [(1_000_000, 1 << 27), (0, 32)])
+def test_containment_is_exact(spark, monkeypatch, rows, bits):
+    """Also with sketches that are shuffled and a filter that is full."""
+    monkeypatch.setattr(decontamination, "SKETCH_ROWS", rows)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     text = lambda n: [rng.choice(words) for _ in range(n)]

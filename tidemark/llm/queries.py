@@ -147,7 +147,21 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return find_items(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("__tm_row")
 
 
-@query("op7_jaccard_join")
+@query(
+    "op7_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+         i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0),
+         s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS shingle FROM i),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+         l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+         r AS (SELECT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+         c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
+    SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
+)
 def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return link_similar(table(spark, root, "documents"))
 
