@@ -259,6 +259,8 @@ def assign_surrogates(scratch: Scratch, entities: DataFrame, secret: str, attemp
         now = first if settled is None else settled.unionByName(first)
         settled = scratch.keep(f"settled{round_}", now.select("type", "canon", "surrogate"))
         asking = tried.select("type", "canon", (F.col("attempt") + 1).alias("attempt")).join(settled, ["type", "canon"], "left_anti")
+        for old in (f"tried{round_ - 1}", f"settled{round_ - 1}") if round_ else ():
+            scratch.drop(old)
         if asking.isEmpty():
             return settled
     raise ValueError(f"no distinct surrogates for all entities after {attempts} attempts")

@@ -102,20 +102,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], small: bool |
     return rows.join(F.broadcast(right) if small else right, cond, "inner").drop(*[f"__tm_r{i}" for i in range(len(on))])
 
 
-def _inverse(cov: list[list[Column]]) -> tuple[list[list[Column]], Column]:
-    """The inverse of the lower Cholesky factor, and the determinant's logarithm."""
-    p = range(len(cov))
-    low = [[F.lit(0.0)] * len(cov) for _ in p]
-    for j in p:
-        low[j][j] = F.sqrt(cov[j][j] - sum((low[j][k] * low[j][k] for k in range(j)), F.lit(0.0)))
-        for i in range(j + 1, len(cov)):
-            low[i][j] = (cov[i][j] - sum((low[i][k] * low[j][k] for k in range(j)), F.lit(0.0))) / low[j][j]
-    inv = [[F.lit(0.0)] * len(cov) for _ in p]
-    for i in p:
-        inv[i][i] = 1 / low[i][i]
-        for j in range(i):
-            inv[i][j] = -sum((low[i][k] * inv[k][j] for k in range(j, i)), F.lit(0.0)) / low[i][i]
-    return inv, sum((2 * F.log(low[i][i]) for i in p), F.lit(0.0))
+def _with_factor(df: DataFrame, p: int) -> DataFrame:
+    """``df`` with the inverse ``__tm_w*_*`` of the lower Cholesky factor of ``__tm_c*_*``, and the determinant's logarithm ``__tm_det``.
+
+    Each column is computed once, from those before it in the same select, so the plan doesn't grow with their nesting."""
+    minus = lambda start, xs: " - ".join([start, *xs])
+    low, inv = (lambda i, j: f"__tm_l{i}_{j}"), (lambda i, j: f"__tm_w{i}_{j}")
+    made = []
+    for j in range(p):
+        made.append(f"sqrt({minus(f'__tm_c{j}_{j}', [f'{low(j, k)} * {low(j, k)}' for k in range(j)])}) AS {low(j, j)}")
+        made += [f"({minus(f'__tm_c{i}_{j}', [f'{low(i, k)} * {low(j, k)}' for k in range(j)])}) / {low(j, j)} AS {low(i, j)}" for i in range(j + 1, p)]
+    for i in range(p):
+        made.append(f"1 / {low(i, i)} AS {inv(i, i)}")
+        made += [f"({minus('0.0D', [f'{low(i, k)} * {inv(k, j)}' for k in range(j, i)])}) / {low(i, i)} AS {inv(i, j)}" for j in range(i)]
+    made.append(f"2 * ({' + '.join(f'ln({low(i, i)})' for i in range(p))}) AS __tm_det")
+    return df.selectExpr("*", *made).select(*df.columns, "__tm_det", *[inv(i, k) for i in range(p) for k in range(i + 1)])
 
 
 def _distance(names: list[str]) -> Column:
@@ -146,7 +147,6 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
     model = start.select("__tm_g", "__tm_start", F.lit(float("inf")).alias("__tm_det"), F.lit(0).cast("long").alias("__tm_n"), *[x.alias(c) for c, x in first.items()])
     model, own, done = scratch.keep("model0", model), ["__tm_g", "__tm_start"], []
     small = _few(model)
-    inv, det = _factor(p)
     for step in range(STEPS):
         bin_ = F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)).alias("__tm_bin")
         near = join_groups(rows, model, ["__tm_g"], small).select(*own, bin_)
@@ -160,8 +160,9 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
         sums = inside.groupBy(*own, "__tm_all").agg(F.count(F.lit(1)).alias("__tm_k"), *[F.sum(dev[j]).alias(f"__tm_d{j}") for j in range(p)], *[F.sum(dev[i] * dev[j]).alias(f"__tm_q{i}_{j}") for i in range(p) for j in range(i + 1)])
         mean = [F.col(f"__tm_d{j}") / F.col("__tm_k") for j in range(p)]
         cov = [[(F.col(f"__tm_q{i}_{j}") / F.col("__tm_k") - mean[i] * mean[j]) * CONSISTENCY + F.lit(floors[i] ** 2 if i == j else 0.0) for j in range(i + 1)] for i in range(p)]
+        sums = scratch.keep(f"sums{step}", sums)
         new = sums.select(*own, F.col("__tm_all").alias("__tm_n"), *[mean[j].alias(f"__tm_m{j}") for j in range(p)], *[cov[i][j].alias(f"__tm_c{i}_{j}") for i in range(p) for j in range(i + 1)])
-        new = new.withColumn("__tm_det", det).withColumns({f"__tm_w{i}_{k}": inv[i][k] for i in range(p) for k in range(i + 1)})
+        new = _with_factor(new, p)
         old = model.select(*own, *[F.col(c).alias(f"__tm_old{c}") for c in model.columns if c not in own])
         both = old.join(new, own).withColumns({c: F.col(c) + F.col(f"__tm_old{c}") for c in means})
         both = scratch.keep(f"step{step}", both)
@@ -174,11 +175,10 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
     done.append(last.drop(*factors))
     best = Window.partitionBy("__tm_g").orderBy("__tm_det", "__tm_start")
     best = reduce(DataFrame.unionByName, done).withColumn("__tm_r", F.row_number().over(best)).where("__tm_r = 1")
-    return scratch.keep("fitted", best.select("__tm_g", "__tm_n", *means, *covs))
-
-
-def _factor(p: int) -> tuple[list[list[Column]], Column]:
-    return _inverse([[F.col(f"__tm_c{max(i, j)}_{min(i, j)}") for j in range(p)] for i in range(p)])
+    fitted = scratch.keep("fitted", best.select("__tm_g", "__tm_n", *means, *covs))
+    for name in ("bins", "model0", *(f"{x}{i}" for i in range(step + 1) for x in ("sums", "step"))):
+        scratch.drop(name)
+    return fitted
 
 
 def _leaning(scratch: Scratch, fitted: DataFrame, groups: DataFrame, p: int, lean: int) -> DataFrame:
@@ -197,8 +197,7 @@ def _leaning(scratch: Scratch, fitted: DataFrame, groups: DataFrame, p: int, lea
         new = {c: F.col(f"__tm_o{c}") if k == 0 else weight * F.col(f"__tm_o{c}") + (1 - weight) * F.col(c) for c in names}
         out = out.withColumns(new).drop("__tm_on", *[f"__tm_o{c}" for c in names])
     out = scratch.keep("drawn", out.select(F.col(levels[-1]).alias("__tm_g"), *names))
-    inv, _ = _factor(p)
-    return scratch.keep("model", out.select("__tm_g", *[f"__tm_m{j}" for j in range(p)], *[inv[i][k].alias(f"__tm_w{i}_{k}") for i in range(p) for k in range(i + 1)]))
+    return scratch.keep("model", _with_factor(out, p).select("__tm_g", *[f"__tm_m{j}" for j in range(p)], *[f"__tm_w{i}_{k}" for i in range(p) for k in range(i + 1)]))
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, lean: int = LEAN) -> DataFrame:
