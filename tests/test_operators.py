@@ -171,3 +171,10 @@ def test_listing_capabilities_and_spans_alone(spark):
 def test_a_bed_turns_on_its_line(spark):
     beds, lines = spark.createDataFrame([(1, 7), (2, 3)], "k int, turn int"), spark.createDataFrame([(1, 10)], "k int, t int")
     assert rows(intervals.turned(beds, lines, ["k"], "turn", "t").na.fill(-1)) == [(1, 7, 3), (2, 3, -1)]
+
+
+def test_measures_are_weighed_by_their_ranges(spark):
+    beds = spark.createDataFrame([(1, 0.0, 10.0), (2, 5.0, 0.0), (3, 10.0, None), (4, 10.0, 10.0)], "id int, a double, b double")
+    got = selection.measured(beds, {"x": (F.col("a"), 1.0), "y": (F.col("b"), 0.5), "same": (F.lit(3), 9.0)}, "id", 3)
+    assert [(r.id, r.score) for r in got.collect()] == [(4, 1.5), (3, 1.0), (1, 0.5)]
+    assert selection.measured(beds.limit(0), {"x": (F.col("a"), 1.0)}, "id", 3).collect() == []

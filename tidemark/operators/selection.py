@@ -89,6 +89,21 @@ def top(rows: DataFrame, score: Column, tie: str, k: int) -> DataFrame:
     return rows.withColumn("score", score).orderBy(F.desc("score"), tie).limit(k)
 
 
+def measured(rows: DataFrame, measures: dict[str, tuple[Column, float]], tie: str, k: int) -> DataFrame:
+    """The ``k`` rows with the highest ``score``: the weighted sum of the named measures, each brought to 0..1 by its range over all rows.
+
+    A measure that is the same everywhere counts as 0, a null one as 0. Only the ranges, two numbers a measure, reach the driver.
+    """
+    own = rows.withColumns({name: x.cast("double") for name, (x, _) in measures.items()})
+    found = own.agg(*[f(name).alias(f"{f.__name__}_{name}") for name in measures for f in (F.min, F.max)]).first()
+    score = F.lit(0.0)
+    for name, (_, weight) in measures.items():
+        low, high = found[f"min_{name}"], found[f"max_{name}"]
+        if low is not None and high > low:
+            score = score + weight * F.coalesce((F.col(name) - low) / (high - low), F.lit(0.0))
+    return top(own, score, tie, k)
+
+
 def report(decisions: DataFrame, keys: list[str]) -> DataFrame:
     """How many decisions of each kind and status there are."""
     return decisions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

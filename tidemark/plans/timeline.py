@@ -197,10 +197,13 @@ def own_material(spark: SparkSession, root: str) -> DataFrame:
 
 
 #: Patterns that make a text sensitive.
-SENSITIVE = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.com", "address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "secret": r"password=|token ="}
+SENSITIVE = {
+    "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+", "address": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "phone": r"[+][0-9]{1,3} ?[(]?[0-9]{2,4}[)]? ?[0-9]{3}[ -][0-9]{4}",
+    "card": r"(^|[^0-9])[0-9]{16}([^0-9]|$)", "secret": r"(password|passwd|secret|token|api_?key)[\"']? *[:=]", "key": "AKIA[A-Z0-9]{12}",
+}
 
 
-@query("screened", r"SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\.com|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|password=|token =')")
+@query("screened", "SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, '" + "|".join(f"({p})" for p in SENSITIVE.values()).replace("'", "''") + "')")
 def screened(spark: SparkSession, root: str) -> DataFrame:
     return selection.screened(table(spark, root, "documents"), "text", SENSITIVE).select("doc_id", "lang")
 
@@ -253,12 +256,22 @@ def exact_cuts(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "music_bed",
-    "SELECT vec_id, label, round(s, 6) AS score FROM (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10",
+    """
+    WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+         m AS (SELECT vec_id, label, sqrt(list_sum(list_transform(e, lambda x: x * x)) / 64) AS level, list_max(list_transform(e, lambda x: abs(x))) AS peak, abs(list_sum(e[33:64]) - list_sum(e[1:32])) AS lift FROM v),
+         r AS (SELECT min(level) AS l0, max(level) AS l1, min(peak) AS p0, max(peak) AS p1, min(lift) AS f0, max(lift) AS f1 FROM m)
+    SELECT vec_id, label, round(s, 6) AS score FROM (SELECT vec_id, label, 0.5 * (level - l0) / (l1 - l0) - 0.2 * (peak - p0) / (p1 - p0) + 0.3 * (lift - f0) / (f1 - f0) AS s FROM m, r) ORDER BY s DESC, vec_id LIMIT 10
+    """,
 )
 def music_bed(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "embeddings")
-    found = selection.top(rows, vectors.dot(F.col("embedding"), F.col("embedding")), "vec_id", 10)
-    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+    """Vectors as beds: loud ones, without a sharp peak, whose second half lifts off from the first."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    measures = {
+        "level": (F.sqrt(total(F.transform(e, lambda x: x * x)) / 64), 0.5), "peak": (F.array_max(F.transform(e, lambda x: F.abs(x))), -0.2),
+        "lift": (F.abs(total(F.slice(e, 33, 32)) - total(F.slice(e, 1, 32))), 0.3),
+    }
+    return selection.measured(table(spark, root, "embeddings"), measures, "vec_id", 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(
