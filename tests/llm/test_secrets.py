@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import queries
 from tidemark.llm.secrets_scan import literal_spans, scan_secrets
@@ -147,3 +148,15 @@ def test_passphrases_logins_and_long_texts():
     assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
     assert found("Password: please write to us about it") == [] and found("") == []
     assert found("x = 1\n" * 50_000 + 'db_password = "q8Zr5TnW1yLk"') == ["q8Zr5TnW1yLk"]
+
+
+def test_hostile_texts_end_soon():
+    """Long chains, nestings and open quotes take time in proportion to their length."""
+    n = 20_000
+    for text in (
+        "x=" * n + "secret", "pwd=" * n, "pwd:" * n, "a: pwd:\n" * n, "pwd=" + "(" * n, "pwd=" + "f(" * n, "set(" * n + "pwd", "(" * n + "pwd=", '"' * n + "pwd=", "'a' " * n + "key=", "pwd=" + "`\n" * n,
+        "pwd: |\n" + "  x\n" * n, "pwd = " + "'a' + " * n, "a" * 10 * n + " pwd=", "pwd" + " " * n + "=", "<" * n + "token", "pwd:\n" * n, "# " * n + "pwd=", "pwd = '" + "{a}" * n + "'", "a = 'b'\n" * n + "pwd = '" + "${a}" * n + "'", "a = 'b'\n" + "a = a + a\n" * 60 + "pwd = a", "a = 'b'\n" + "a = '${a}${a}'\n" * 60 + "pwd = a",
+    ):
+        began = time.process_time()
+        literal_spans(text, 0.6)
+        assert time.process_time() - began < 5, text[:20]

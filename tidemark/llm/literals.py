@@ -14,6 +14,7 @@ STRING = re.compile(
 )
 NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_][\w$]*)*"
 GAP = r"(?:[ \t]|\\\r?\n)*"
+WORD, SKIP = re.compile(NAME, re.ASCII), re.compile(GAP)
 #: What the scan stops at, in this order: comments, strings, elements, definitions, names.
 SITE = re.compile(
     "|".join([
@@ -26,9 +27,13 @@ SITE = re.compile(
 ASSIGN = re.compile(rf"{GAP}\]?{GAP}(?::=|=>|=(?![=~>])|:(?![:=/]))(?:[ \t]*&[\w-]+)?")
 TYPED = re.compile(rf"{GAP}:{GAP}[A-Za-z_][\w.]*(?:[ \t]*[\[<][^\n=]*[\]>])?[ \t]*[?!*&]*(?:[ \t]*\|[ \t]*\w+)*{GAP}=(?![=>])")
 JOINED = re.compile(rf"(?:{GAP}|(?:\s*\\\r?\n\s*))(?:\+|\.\.|\.(?=\s*[\"'$])|\|\|)\s*|{GAP}(?=[rRbBuUfF]{{0,2}}[\"'])|\s*\n\s*(?=[\"'](?:[^\"'\n]*)[\"']\s*(?:[\n)]|$))", re.ASCII)
-BARE = re.compile(r"""[A-Za-z0-9_$\{/+%!@~^*-][^\s,;"'`()\[\]<>]*""")
+#: A word without quotes: up to three parts between colons, and padding at its end. No = inside, so chains of = are read once.
+BARE = re.compile(r"""[A-Za-z0-9_$\{/+%!@~^*-][^\s,;"'`()\[\]<>=:]*(?::[^\s,;"'`()\[\]<>=:]+){0,2}(?:={1,2}(?![^\s,;"'`()\[\]<>]))?""")
+#: Calls that are read inside each other, and pieces of which a value is put together; what goes beyond isn't followed further.
+DEPTH, PIECES = 30, 1000
 REFERENCE = re.compile(r"(?:\$\{|#\{|\$\(|%\()?[$]?([A-Za-z_][\w.-]*)[\})]?s?")
 INSIDE = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|#\{([A-Za-z_][\w.]*)\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)")
+SPACE, CALL, OPENED, CLOSED = re.compile(r"\s*"), re.compile(r"[ \t]*\("), re.compile(r"(?:\(\s*)+"), re.compile(r"(?:\s*\))*")
 ARGUMENTS = re.compile(r"\s*,\s*")
 SETTER = re.compile(r"(?i)(?:.*[.>:])?(?:set|with|put|add|define|register)[_A-Z]?\w*$")
 BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*$")
@@ -40,7 +45,7 @@ class Reader:
     """One text. ``pairs`` gives each name with its literals, as the spans of the texts that make them when joined."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.depth = text, 0
         self.constants: dict[str, list[Span]] = {}
 
     def string(self, at: int) -> tuple[list[Span], int, bool] | None:
@@ -54,7 +59,7 @@ class Reader:
             return [(a, b)], m.end(), True
         spans, last = [], a
         for r in INSIDE.finditer(self.text, a, b):
-            if known := self.constants.get(r[r.lastindex]):
+            if len(spans) < PIECES and (known := self.constants.get(r[r.lastindex])):
                 spans += [(last, r.start())] if r.start() > last else []
                 spans += known
                 last = r.end()
@@ -67,16 +72,20 @@ class Reader:
         if s := self.string(at):
             return [s[0]], s[1]
         if t[at : at + 1] == "(":
-            inner = self.value(re.compile(r"\s*").match(t, at + 1).end())
-            return (inner[0], t.find(")", inner[1]) + 1 or inner[1]) if inner else None
+            inner = self.value(OPENED.match(t, at).end())
+            return (inner[0], CLOSED.match(t, inner[1]).end()) if inner else None
         m = BARE.match(t, at)
         if not m:
             return None
-        name = re.compile(NAME, re.ASCII).match(t, at)
-        if name and (call := re.compile(r"[ \t]*\(").match(t, name.end())):
+        name = WORD.match(t, at)
+        if name and (call := CALL.match(t, name.end())):
+            if self.depth >= DEPTH:
+                return None
+            self.depth += 1
             values, end = self.arguments(call.end())
+            self.depth -= 1
             return values, end
-        if (r := REFERENCE.fullmatch(m[0])) and r[1] in self.constants:
+        if m.end() - at < 200 and (r := REFERENCE.fullmatch(m[0])) and r[1] in self.constants:
             return [self.constants[r[1]]], m.end()
         return [[m.span()]], m.end()
 
@@ -84,7 +93,7 @@ class Reader:
         """The string arguments of a call, each a value of its own."""
         values, t = [], self.text
         while True:
-            at = re.compile(r"\s*").match(t, at).end()
+            at = SPACE.match(t, at).end()
             if t[at : at + 1] == ")":
                 return values, at + 1
             got = self.value(at)
@@ -95,8 +104,8 @@ class Reader:
             at = got[1]
             step = ARGUMENTS.match(t, at)
             if not step:
-                close = re.compile(r"\s*\)").match(t, at)
-                return values, close.end() if close else at
+                close = SPACE.match(t, at).end()
+                return values, close + 1 if t[close : close + 1] == ")" else at
             at = step.end()
 
     def value(self, at: int) -> tuple[list[list[Span]], int] | None:
@@ -105,7 +114,7 @@ class Reader:
         if got is None:
             return None
         values, end = got
-        while len(values) == 1 and (j := JOINED.match(self.text, end)):
+        while len(values) == 1 and len(values[0]) < PIECES and (j := JOINED.match(self.text, end)):
             more = self.term(j.end()) if j.end() > end or STRING.match(self.text, j.end()) else None
             if more is None or len(more[0]) != 1:
                 break
@@ -116,7 +125,8 @@ class Reader:
         """The value of a mapping's key that stands on the next lines, deeper than the key; not a mapping or a list."""
         t = self.text
         left = start - (t.rfind("\n", 0, start) + 1)
-        line = t[at : t.find("\n", at) if "\n" in t[at:] else len(t)]
+        stop = t.find("\n", at)
+        line = t[at : stop if stop >= 0 else len(t)]
         many = bool(BLOCK.fullmatch(line))
         if line.strip() and not many:
             return None
@@ -164,7 +174,7 @@ class Reader:
                     name = t[a:b] if len(s[0]) == 1 and b - a <= 80 and "\n" not in t[a:b] else None
                     if name is None:
                         continue
-                elif SETTER.match(name) and (call := re.compile(r"[ \t]*\(").match(t, at)):
+                elif SETTER.match(name) and (call := CALL.match(t, at)):
                     values, _ = self.arguments(call.end())
                     own = re.sub(r"(?i)^(?:.*[.>:])?(?:set|with|put|add|define|register)_?", "", name)
                     if len(values) >= 2 and len(values[0]) == 1:
@@ -175,7 +185,7 @@ class Reader:
                 sign = (TYPED.match(t, at) if m["name"] else None) or ASSIGN.match(t, at)
                 if not sign:
                     continue
-                begin = re.compile(GAP).match(t, sign.end()).end()
+                begin = SKIP.match(t, sign.end()).end()
                 got = self.value(begin)
                 if got is None and begin < len(t) and (t[begin] in "\n|>"):
                     got = self.below(begin, start)
@@ -189,7 +199,7 @@ class Reader:
 
     def give(self, name: str, values: list[list[Span]], quoted: bool, aside: bool) -> Iterator[tuple[str, list[Span], bool]]:
         """Pairs of ``name``; outside of comments and calls it is a constant from here on."""
-        if not aside and len(values) == 1:
+        if not aside and len(values) == 1 and len(values[0]) <= PIECES:
             self.constants[name] = values[0]
             self.constants[name.rpartition(".")[2]] = values[0]
         for v in values:
