@@ -141,3 +141,11 @@ def test_whole_tables_against_another_search(spark):
             found += 1
         assert r.text[new:] == texts[r.doc_id][at:]
     assert found > 50 and len({(k, v) for (k, _), v in of.items()}) == len(of)
+
+
+def test_very_long_mentions_and_texts(spark):
+    rows = [(1, "a@b" + ".c" * 20_000), (2, "Dr. " + "Ab " * 9_000), (3, "1" * 300_000), (4, "x" * 500_000 + " 10.2.3.4"), (5, "a:" * 100_000), (6, "+1" + " 1" * 12_000)]
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1].n_email == 1 and got[1].text != rows[0][1] and got[3].text == rows[2][1]
+    assert got[2].n_person == 3000 and "Ab" not in got[2].text and got[6].n_person == 0 and got[6].n_phone > 0
+    assert got[4].n_ip == 1 and got[4].text.startswith("x" * 500_000) and got[5].text == rows[4][1]

@@ -26,7 +26,8 @@ ENDINGS = {
     "greek": {"m": ["νος", "ρης"], "f": ["ρια", "να"], "n": ["ρι", "λι"], "surname": ["δης", "κος"]},
 }
 
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Within the lengths that addresses can have.
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,200}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,10}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
@@ -34,7 +35,7 @@ CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
 IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
 #: North American numbers; any with a country code; French and German ones with their leading 0.
 PHONE = (
-    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}|\+\d{1,3}(?=(?:[ ./-]?\(?\d\)?){7,12}(?!\d))(?:[ ./-]?\(?\d{1,8}\)?){1,6}"
+    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}|\+\d{1,3}(?:[ ./-]?\(?\d\)?){7,12}"
     r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?!\d)"
 )
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
