@@ -17,6 +17,8 @@ from tidemark.llm.fragments import ByteEncoder, loaded
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence numbers of one task or merging group; ids of merged sequences begin at MERGED.
 PER_TASK, MERGED = 1 << 32, 1 << 62
+#: Rows of a batch whose texts are held apart from it at a time.
+ROWS = 500
 
 
 class OpenWindows:
@@ -111,7 +113,8 @@ def pack(
         encoder = loaded(ByteEncoder, vocabulary, ranks, pattern)
         windows, end = OpenWindows(size, space, slack), end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() * PER_TASK
-        for b in batches:
+        # A batch is taken apart in slices, so that few of its texts stand beside it.
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             keys, out = b.column(0), []
             at = 0
             for part in by_bytes((t or "" for t in b.column(1).to_pylist()), len, batch_bytes):
