@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.additive_model import fit, score_quality
+from tidemark.llm.centroids import cluster
 from tidemark.llm.chat import format_paths, read_loss, read_turns
 from tidemark.llm.decontamination import find_items
+from tidemark.llm.hard_negatives import mine_negatives
 from tidemark.llm.jaccard_join import link_similar
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.lm_scoring import score_difference
@@ -179,3 +182,56 @@ def op8_pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
     good = table(spark, root, "labels").where("quality = 1").select("doc_id")
     return score_difference(table(spark, root, "documents"), good)
+
+
+@query("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3
+    labels = table(spark, root, "labels").where(remainder("doc_id") != 1).select("doc_id", "quality")
+    scored = score_quality(docs, fit(docs, labels))
+    held_out = F.coalesce(remainder("doc_id") == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+         s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+         p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def _round(r: int) -> str:
+    """SQL of a round: vectors go to the nearest of the centroids c{r}, which then move to c{r + 1}; sums are divided towards minus infinity."""
+    return f"""
+         a{r} AS (SELECT vec_id, k, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM v JOIN c{r} AS c USING (i) GROUP BY ALL),
+         d{r} AS MATERIALIZED (SELECT * FROM a{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1),
+         m{r} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM d{r} JOIN v USING (vec_id) GROUP BY ALL),
+         c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} AS c LEFT JOIN m{r} USING (k, i)),"""
+
+
+@query(
+    "op13_centroid_clustering",
+    f"""
+    WITH v AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+                            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+         s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM v) QUALIFY k < 16),
+         c0 AS MATERIALIZED (SELECT k, i, x FROM s JOIN v USING (vec_id)),{"".join(map(_round, range(4)))}
+         h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY k)
+    SELECT vec_id, CAST(k AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM d3 JOIN h USING (k)
+    """,
+)
+def op13_centroid_clustering(spark: SparkSession, root: str) -> DataFrame:
+    return cluster(table(spark, root, "embeddings"))
