@@ -21,7 +21,7 @@ def _plain(rows: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_numeric_dtype(rows[c]) and not pd.api.types.is_bool_dtype(rows[c]):
             rows[c] = rows[c].astype("float64").round(4)
         else:
-            rows[c] = rows[c].astype(str)
+            rows[c] = rows[c].astype(object).where(rows[c].notna(), None).map(str)  # a null is None here and <NA> there
     return rows.sort_values(list(rows.columns)).reset_index(drop=True)
 
 

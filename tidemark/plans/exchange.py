@@ -9,6 +9,7 @@ from tidemark.plans.registry import query
 from tidemark.sources import diagnostics, xml
 from tidemark.sources.shared import fresh_folder
 from tidemark.sources.tables import table
+from tidemark.streaming import silences
 from tidemark.streaming.density import density
 
 
@@ -43,3 +44,41 @@ def density_stream(spark: SparkSession, root: str) -> DataFrame:
     run.awaitTermination()
     found = spark.read.schema("t0 timestamp, t1 timestamp, event_type string, n_events long").parquet(f"{path}/rows")
     return found.select(F.to_timestamp_ntz(F.date_format("t0", "yyyy-MM-dd HH:mm:ss")).alias("t0"), "event_type", "n_events")
+
+
+#: Seconds that part two islands of events, and how far the watermark of the stream is behind.
+APART, LATE = 21600, "1 hour"
+
+
+@query(
+    "silence_stream",
+    """
+    WITH e AS (SELECT user_id, date_trunc('second', ts) AS t FROM events), w AS (SELECT max(t) - INTERVAL 1 HOUR AS w FROM e),
+         f AS (SELECT user_id, t, lag(t) OVER o AS before, CASE WHEN t - lag(t) OVER o > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+         i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM f),
+         k AS (SELECT user_id, 'island' AS kind, CAST(island AS BIGINT) AS island, min(t) AS t0, max(t) AS t1, count(*) AS n_events FROM i GROUP BY user_id, island)
+    SELECT user_id, kind, island, t0, t1, n_events FROM k, w WHERE t1 + INTERVAL 6 HOUR < w
+    UNION ALL SELECT user_id, 'silence', CAST(island AS BIGINT), before, t, NULL FROM i, w WHERE fresh = 1 AND t < w
+    """,
+)
+def silence_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Islands and silences of events that come by fortnights: each is a run of the stream that goes on from the last one's checkpoint."""
+    events = table(spark, root, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"))
+    path = fresh_folder(spark, "silences")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    found = None
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, silences.PROVIDER)
+    try:
+        for part in range((last - first).days // 14 + 1 if first else 0):
+            begin = F.lit(first) + F.make_dt_interval(F.lit(14 * part))
+            events.where((F.col("ts") >= begin) & (F.col("ts") < begin + F.make_dt_interval(F.lit(14)))).write.mode("append").parquet(f"{path}/events")
+            stream = silences.silence_stream(spark.readStream.schema(events.schema).parquet(f"{path}/events"), ["user_id"], "ts", APART, LATE)
+            stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+            found = spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    finally:
+        spark.conf.set(store, before)
+    plain = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss")).alias(c)
+    none = spark.createDataFrame([], "user_id long, kind string, island long, t0 timestamp, t1 timestamp, n_events long")
+    return (none if found is None else found).select("user_id", "kind", "island", plain("t0"), plain("t1"), "n_events")

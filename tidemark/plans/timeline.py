@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import intervals, selection, vectors
+from tidemark.operators import changes, intervals, selection, vectors
 from tidemark.plans.registry import query
+from tidemark.sources.shared import fresh_folder
 from tidemark.sources.tables import table
 from tidemark.streaming.density import density
 
@@ -145,6 +146,29 @@ def synced(spark: SparkSession, root: str) -> DataFrame:
     return intervals.offsets(_seconds(spark, root, "view"), _seconds(spark, root, "click"), ["user_id"], "t", VIEW)
 
 
+#: Seconds of a bin, and bins that a shift may have, in either direction.
+BIN, SHIFT = 1800, 48
+
+
+@query(
+    "synced_by_signal",
+    f"""
+    WITH {E_SQL}, n AS (SELECT event_type, user_id, t // 1800 AS bin, count(*) AS n FROM e WHERE event_type IN ('view', 'click') GROUP BY ALL),
+         s AS (SELECT event_type, user_id, bin + d.d AS bin, CAST(sum(n * (2 - abs(d.d))) AS BIGINT) AS n FROM n, (VALUES (-1), (0), (1)) AS d(d) GROUP BY ALL),
+         x AS (SELECT * FROM s WHERE event_type = 'view'), y AS (SELECT * FROM s WHERE event_type = 'click'),
+         c AS (SELECT x.user_id, y.bin - x.bin AS lag, CAST(sum(x.n * y.n) AS BIGINT) AS c FROM x JOIN y ON x.user_id = y.user_id AND abs(y.bin - x.bin) <= 48 GROUP BY ALL),
+         b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, abs(lag), lag) = 1),
+         o AS (SELECT user_id, max(c.c) AS c FROM c JOIN b USING (user_id) WHERE abs(c.lag - b.lag) > 2 GROUP BY user_id),
+         l AS (SELECT user_id, sqrt(sum(CASE WHEN event_type = 'view' THEN n * n END)) * sqrt(sum(CASE WHEN event_type = 'click' THEN n * n END)) AS l FROM s GROUP BY user_id)
+    SELECT b.user_id, b.lag * 1800 AS "offset", round(b.c / l.l, 6) AS likeness, round(1 - coalesce(o.c, 0) / b.c, 6) AS margin FROM b JOIN l USING (user_id) LEFT JOIN o USING (user_id)
+    """,
+)
+def synced_by_signal(spark: SparkSession, root: str) -> DataFrame:
+    """Views and clicks of a user as two recordings of one scene, matched by how dense they are."""
+    found = intervals.correlated(_seconds(spark, root, "view"), _seconds(spark, root, "click"), ["user_id"], "t", BIN, SHIFT)
+    return found.select("user_id", "offset", F.round("likeness", 6).alias("likeness"), F.round("margin", 6).alias("margin"))
+
+
 @query(
     "ducked",
     f"""
@@ -288,6 +312,15 @@ def still_match(spark: SparkSession, root: str) -> DataFrame:
     return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("still_index")
+def still_index(spark: SparkSession, root: str) -> DataFrame:
+    """``still_match`` by an index of lists: most of its rows, from few of the vectors."""
+    rows = table(spark, root, "embeddings")
+    index = vectors.build_index(rows, "vec_id", "embedding", fresh_folder(spark, "index"))
+    found = vectors.nearest_by_index(rows.where("vec_id % 100 = 0"), index, "vec_id", "embedding", 3)
+    return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("event_density", "SELECT date_trunc('day', ts) AS t0, event_type, count(*) AS n_events FROM events GROUP BY ALL")
 def event_density(spark: SparkSession, root: str) -> DataFrame:
     found = density(table(spark, root, "events"), "ts", "1 day", keys=["event_type"])
@@ -333,17 +366,52 @@ def spans_alone(spark: SparkSession, root: str) -> DataFrame:
     return selection.checked_alone(rows, checks).select("event_id", F.array_join("failed", ",").alias("failed"))
 
 
+DAY_SQL = "d AS (SELECT user_id, t // 86400 AS day, round(avg(value), 3) AS x FROM e WHERE event_type = 'view' GROUP BY ALL)"
+
+
+def _days(spark: SparkSession, root: str) -> DataFrame:
+    """The mean value of a user's views for each day: how loud a bed is."""
+    days = _seconds(spark, root, "view").groupBy("user_id", F.floor(F.col("t") / 86400).alias("day"))
+    return days.agg(F.round(F.avg("value"), 3).alias("x"))
+
+
 @query(
     "bed_turn",
     f"""
-    WITH {E_SQL}, b AS (SELECT user_id, min(t) AS t0, first(t ORDER BY value DESC, event_id) AS turn FROM e WHERE event_type = 'view' GROUP BY user_id),
+    WITH {E_SQL}, {DAY_SQL},
+         c AS (SELECT user_id, day, count(*) OVER w AS n, sum(x) OVER w AS s, count(*) OVER (PARTITION BY user_id) AS m, sum(x) OVER (PARTITION BY user_id) AS t FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+         g AS (SELECT user_id, day * 86400 AS turn, s * s / n + (t - s) * (t - s) / (m - n) - t * t / m AS gain FROM c WHERE n > 0),
+         b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY gain DESC, turn) = 1),
          l AS (SELECT user_id, t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM e WHERE event_type = 'purchase') WHERE k = 1)
-    SELECT b.user_id, b.t0, b.turn, l.t - b.turn AS "offset" FROM b LEFT JOIN l USING (user_id)
+    SELECT b.user_id, b.turn, round(b.gain, 4) AS gain, l.t - b.turn AS "offset" FROM b LEFT JOIN l USING (user_id)
     """,
 )
 def bed_turn(spark: SparkSession, root: str) -> DataFrame:
-    """A user's views as a bed that turns at the strongest one, moved so that the turn falls on the strongest purchase."""
-    views, buys = _seconds(spark, root, "view"), _seconds(spark, root, "purchase")
-    turn = selection.best_per(views, ["user_id"], "value", "event_id").select("user_id", F.col("t").alias("turn"))
-    beds = views.groupBy("user_id").agg(F.min("t").alias("t0")).join(turn, "user_id")
-    return intervals.turned(beds, selection.best_per(buys, ["user_id"], "value", "event_id"), ["user_id"], "turn", "t")
+    """A user's views as a bed that turns where its daily level changes most, moved so that the turn falls on the strongest purchase."""
+    beds = changes.turn(_days(spark, root).select("user_id", (F.col("day") * 86400).alias("t"), "x"), ["user_id"], "t", "x").withColumn("gain", F.round("gain", 4))
+    lines = selection.best_per(_seconds(spark, root, "purchase"), ["user_id"], "value", "event_id")
+    return intervals.turned(beds, lines, ["user_id"], "turn", "t")
+
+
+#: What a change of a bed's level costs, in squares of values.
+PENALTY = 800.0
+
+
+@query(
+    "bed_changes",
+    f"""
+    WITH RECURSIVE {E_SQL}, {DAY_SQL},
+         l AS (SELECT user_id, list(day ORDER BY day) AS days, list(x ORDER BY day) AS xs, count(*) AS n FROM d GROUP BY user_id),
+         p AS (SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(xs[1:i]), 0)) AS s, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(xs[1:i], lambda x: x * x)), 0)) AS q FROM l),
+         f AS (SELECT user_id, CAST(0 AS BIGINT) AS t, [CAST(-{PENALTY} AS DOUBLE)] AS cost, [CAST(0 AS BIGINT)] AS back FROM p
+               UNION ALL SELECT user_id, t, list_append(cost, list_min(w) + {PENALTY}), list_append(back, list_position(w, list_min(w)) - 1)
+               FROM (SELECT f.user_id, f.t + 1 AS t, f.cost, f.back, list_transform(range(0, f.t + 1), lambda i: f.cost[i + 1] + p.q[f.t + 2] - p.q[i + 1] - (p.s[f.t + 2] - p.s[i + 1]) ** 2 / (f.t + 1 - i)) AS w FROM f JOIN p USING (user_id) WHERE f.t < p.n)),
+         b AS (SELECT f.user_id, f.back, CAST(p.n AS BIGINT) AS z, f.back[p.n + 1] AS a FROM f JOIN p ON f.user_id = p.user_id AND f.t = p.n
+               UNION ALL SELECT user_id, back, a, back[a + 1] FROM b WHERE a > 0)
+    SELECT b.user_id, row_number() OVER (PARTITION BY b.user_id ORDER BY a) - 1 AS segment, p.days[a + 1] AS t0, p.days[z] AS t1, z - a AS n, round(p.s[z + 1] - p.s[a + 1], 3) AS total FROM b JOIN p USING (user_id)
+    """,
+)
+def bed_changes(spark: SparkSession, root: str) -> DataFrame:
+    """Where the daily level of each user's bed changes, however often."""
+    found = changes.change_points(_days(spark, root), ["user_id"], "day", "x", PENALTY)
+    return found.select("user_id", "segment", "t0", "t1", "n", F.round(F.col("mean") * F.col("n"), 3).alias("total"))
