@@ -22,6 +22,10 @@ PROBE_QUERIES = 200
 TILE = 4096
 
 
+#: More than a product of vectors of length 1 may be off in double precision.
+SLACK = 1e-9
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -78,15 +82,17 @@ def _meet(rows: DataFrame, asked: DataFrame, k: int, parts: int, most: int) -> D
                     continue
                 for p in range(a, z, most):
                     q = b.slice(p, min(most, z - p))
-                    score = _matrix(q.column("unit")) @ x.T
+                    asking = _matrix(q.column("unit"))
+                    score = asking @ x.T
                     few = min(k + 1, score.shape[1])  # one more, as the query itself may be among them
                     least = -np.partition(-score, few - 1, axis=1)[:, few - 1 : few]
-                    i, j = np.nonzero(score >= least)
-                    order = np.lexsort((j, -score[i, j], i))
-                    i, j = i[order], j[order]
+                    i, j = np.nonzero(score >= least - SLACK)
+                    exact = np.einsum("ij,ij->i", asking[i], x[j])  # summed alike whatever else is in the block
+                    order = np.lexsort((j, -exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
                     own = np.arange(len(i)) - np.searchsorted(i, i) < few
-                    i, j = i[own], j[own]
-                    found = pa.RecordBatch.from_arrays([q.column("key").take(pa.array(i)), keys.take(pa.array(j)), pa.array(score[i, j])], ["query", "key", "score"])
+                    i, j, exact = i[own], j[own], exact[own]
+                    found = pa.RecordBatch.from_arrays([q.column("key").take(pa.array(i)), keys.take(pa.array(j)), pa.array(exact)], ["query", "key", "score"])
                     yield found.filter(pc.not_equal(found.column(0), found.column(1)))
 
     dealt = both.repartitionByRange(parts, "list", "segment").sortWithinPartitions("list", "segment", "asks")
