@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,20 @@ def anti_listed(rows: DataFrame, h: Column, listed: DataFrame, c: str, same: Cal
     return may.join(listed, same(may, listed), "left_anti").unionByName(rest)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs that are started meanwhile hand rows to Arrow functions in batches of about ``size`` bytes, however long the texts are.
+
+    Both the engine's side and the worker's hold a batch whole, so batches by rows alone grow with the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for Arrow batches; at a task's end the worker, which stays for the next one, gives unused memory back."""
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: Fragments remembered by a worker, and the longest (characters) that is remembered.
 REMEMBERED, LONGEST = 400_000, 48
 #: Texts on which each worker compares both encoders of ByteEncoder before it uses the faster one.
-PROBES = ["Hello, world! It's 2024-01-02.", "  two  spaces \n\n\ttab ", "naïve Straße Ñandú éà 中文 テスト 🙂 a\u0301", "x" * 300, "don't DON'T we'll 12345678 3.14", "a\u200bb \u00a0 c\r\nd", "#$%&***<|>|"]
+PROBES = ["Hello, world! It's 2024-01-02.", "  two  spaces \n\n\ttab ", "naïve Straße Ñandú éà 中文 テスト 🙂 a\u0301", "x" * 300, "don't DON'T we'll 12345678 3.14", "a\u200bb \u00a0 c\r\nd", "#$%&***<|>|", "a\n b \n  c\t d", "runs of spaces at the end   ", " \n ", "next\u0085line \u2028 and\u2028 so", "x\u3000 y \u3000z", "\t \t"]
 
 
 class Memo:
@@ -83,6 +83,7 @@ class ByteEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.path = path
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as f:
@@ -94,6 +95,7 @@ class ByteEncoder:
         for text in PROBES:
             if self.encode([text]) != [pack(f"<{len(ids)}I", *ids) for ids in [self.whole.encode(text, add_special_tokens=False).ids]]:
                 raise ValueError(f"{ranks_path} doesn't give the ids of {path}, for example for {text!r}")
+        self.whole = None  # few texts need it again
 
     def split(self, text: str) -> list[str]:
         if self._doubt.search(text):
@@ -111,6 +113,10 @@ class ByteEncoder:
             if ok:
                 out.append(b"".join(map(look, p)))
             else:
+                if self.whole is None:
+                    from tokenizers import Tokenizer
+
+                    self.whole = Tokenizer.from_file(self.path)
                 ids = self.whole.encode(t, add_special_tokens=False).ids
                 out.append(self.pack(f"<{len(ids)}I", *ids))
         return out

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, by_bytes, frugal
+from tidemark.llm.common import Scratch, by_bytes, frugal, small_batches
 from tidemark.llm.fragments import ByteEncoder, loaded
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,10 +104,11 @@ def pack(
     need them a second time: a lost executor costs the tasks it ran, and numbers depend only on a task's place.
 
     Null text is empty (its only id is ``end_id``). Null or repeated keys are packed as rows of their own. An empty table
-    gives an empty result. Only ``key`` and ``text`` are read.
+    gives an empty result. Only ``key`` and ``text`` are read. A very long text is encoded and cut into windows as a whole, in
+    the worker that has it; texts reach workers in batches of about ``batch_bytes``.
     """
     kind = docs.schema[key].dataType.simpleString()
-    keyed = docs.select(key).limit(0).toArrow().schema.field(0).type
+    keyed = docs.select(F.col(f"`{key}`")).limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(ByteEncoder, vocabulary, ranks, pattern)
@@ -145,6 +146,7 @@ def pack(
         out = [r for i, w in enumerate(windows.merge()) for r in _rows(w, MERGED + int(group[0]) * PER_TASK + i)]
         return pd.DataFrame(out, columns=names[:-1])
 
-    pieces = Scratch(docs.sparkSession, "packing").keep("pieces", docs.select(key, text).mapInArrow(frugal(run), f"{key} {kind}, {PIECE}, ids binary"))
+    with small_batches(docs.sparkSession, batch_bytes):
+        pieces = Scratch(docs.sparkSession, "packing").keep("pieces", docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(frugal(run), f"`{key}` {kind}, {PIECE}, ids binary"))
     left = pieces.where("ids IS NOT NULL").withColumn("__group", F.floor(F.col("sequence_id") / (PER_TASK * merged)).cast("long"))
-    return pieces.where("ids IS NULL").drop("ids").unionByName(left.groupBy("__group").applyInPandas(join, f"{key} {kind}, {PIECE}"))
+    return pieces.where("ids IS NULL").drop("ids").unionByName(left.groupBy("__group").applyInPandas(join, f"`{key}` {kind}, {PIECE}"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, frugal
 from tidemark.llm.fragments import PieceCounter, loaded
@@ -23,7 +24,7 @@ def count_tokens(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
     Null text counts as empty: 0 bytes, 0 tokens. Null or repeated keys each give a row of their own. An empty table gives
     an empty result. Only ``key`` and ``text`` are read, so other columns can have any name.
     """
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(PieceCounter, model)
@@ -35,4 +36,4 @@ def count_tokens(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, n, pc.greater(n, limit)], [key, "n_bytes", "n_tokens", "over_limit"])
         counter.memo.known.clear()
 
-    return docs.select(key, text).mapInArrow(frugal(run), schema)
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(frugal(run), schema)
