@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 import re
@@ -160,3 +161,26 @@ def test_hostile_texts_end_soon():
         began = time.process_time()
         literal_spans(text, 0.6)
         assert time.process_time() - began < 5, text[:20]
+
+
+A, B = "kX9!mQ2#vL7pAbCdEf12", "zT4@nW8$yU1qEfGhIj34"
+
+
+@pytest.mark.parametrize("text,found", [
+    (f'encryption_master = "{A}"', [A]), (f'ssh_license = "{A}"', [A]), (f'{{"pwd": ["{A}", "{B}"]}}', [A, B]), (f'a = "{A}"; a = foo(); pwd = a', []), (f'a = "{A}"; pwd = a', [A]),
+    (f'log: "{{\\"pwd\\": \\"{A}\\"}}"', [A]), (f'{{\\"pwd\\": \\"{A}\\", \\"name\\": \\"{B}\\"}}', [A]), (f"pwd: Dict[str, int] = '{A}'", [A]), (f"x: List[\npwd = '{A}'", [A]),
+    (f"s = 'it\\'s'; pwd = '{A}'", [A]), (f"pwd: |\n  {A}\n", [A]), (f"it's so, pwd = '{A}'", [A]),
+])
+def test_forms_of_giving_a_secret(text, found):
+    assert [text[a:b] for a, _, b in literal_spans(text, 0.6)] == found
+
+
+@pytest.mark.parametrize("text", ['{\\"pwd\\": \\"kX9!mQ2#vL7pAbCd\\"}', 'x = "abc\\" pwd ', "pwd: a[", "pwd: | ", "pwd: a[ x", "pwd: 'a\\\\' ", "pwd = '\\'' `", "token: <a "])
+def test_time_is_in_proportion_to_a_long_line(text):
+    def took(n):
+        began = time.process_time()
+        literal_spans(text * (n // len(text)) + " = 5", 0.6)
+        return time.process_time() - began
+
+    took(20_000)
+    assert took(1_000_000) < 25 * max(took(100_000), 0.2)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,9 @@ SENSITIVE = {
     "key": 0.5, "salt": 0.4, "api": 0.3, "client": 0.1, "master": 0.2, "encryption": 0.4, "ssh": 0.4, "license": 0.3,
 }
 #: A text without one of these holds no name of SENSITIVE.
-NEEDED = re.compile("pass|pwd|secret|token|apikey|credential|auth|bearer|private|signing|access|key|salt")
+NEEDED = re.compile("|".join(sorted(SENSITIVE)))
+#: Quotes, and which are escaped.
+QUOTES = re.compile(r"\\([\"'])|[\"'`]")
 #: Parts that name something else than the secret itself.
 HARMLESS = {"length", "len", "count", "limit", "min", "max", "name", "id", "type", "url", "uri", "path", "file", "field", "hint", "policy", "public", "expiry", "ttl", "label", "header"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|your.*|change.?me.*|example.*|placeholder.*|none|null|true|false|todo|test|dummy|<.*>|\$\{.*\})$")
@@ -81,7 +85,10 @@ def literal_spans(text: str, threshold: float) -> list[tuple[int, int, int]]:
     if not NEEDED.search(text.lower()) or not any(c in text for c in "=:(") and "</" not in text and "#define" not in text:
         return []
     found = set()
-    for name, spans, quoted in Reader(text).pairs():
+    # strings inside of strings are read as well, one level down: there only escaped quotes open and close
+    inner = [QUOTES.sub(lambda m: f" {m[1]}" if m[1] else " ", text)] if '\\"' in text or "\\'" in text else []
+    for name, spans, quoted in chain.from_iterable(Reader(t).pairs() for t in (text, *inner)):
+        spans = [(a, b - 1) if text.startswith(("\\\"", "\\'"), b - 1) else (a, b) for a, b in spans]  # without the backslash of the quote that closes it
         if (sure := name_score(name)) > 0:
             whole = "".join(text[a:b] for a, b in spans)
             if sure * value_score(whole, quoted, sure >= 1.0) >= threshold:
@@ -104,7 +111,9 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", th
 
     def spans(t: str) -> list[dict]:
         base = base_spans(t)
-        more = [x for x in literal_spans(t, threshold) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+        reach = list(accumulate((b[2] for b in base), max))  # the furthest end of those that begin so early
+        begins = [b[0] for b in base]
+        more = [x for x in literal_spans(t, threshold) if not (k := bisect_right(begins, x[0])) or reach[k - 1] < x[2]]
         return [{"kind": KINDS[k], "start": a, "end": b, "base": k < 3} for a, k, b in sorted(base + more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
