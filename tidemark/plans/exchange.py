@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.sources import diagnostics, xml
+from tidemark.sources import diagnostics, timelines, xml
 from tidemark.sources.shared import fresh_folder
 from tidemark.sources.tables import table
 from tidemark.streaming import silences
@@ -82,3 +82,29 @@ def silence_stream(spark: SparkSession, root: str) -> DataFrame:
     plain = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss")).alias(c)
     none = spark.createDataFrame([], "user_id long, kind string, island long, t0 timestamp, t1 timestamp, n_events long")
     return (none if found is None else found).select("user_id", "kind", "island", plain("t0"), plain("t1"), "n_events")
+
+
+@query(
+    "timeline_documents",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS sequence_id, CAST(dense_rank() OVER (ORDER BY event_type) AS INT) AS track, event_type AS kind, CAST(event_id AS VARCHAR) AS clip_id, ' <' || props || '> & ' AS name,
+           date_diff('second', TIMESTAMP '2024-01-01', ts) AS t0, date_diff('second', TIMESTAMP '2024-01-01', ts) + 60 AS t1, 'take ' || event_type AS path FROM events
+    """,
+)
+def timeline_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Users as sequences, kinds of events as tracks, events as clips: each user's document is written, read and taken apart."""
+    events = table(spark, root, "events")
+    kinds = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")).cast("int")
+    t0 = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
+    own = events.select(F.col("user_id").cast("string").alias("sequence_id"), number.alias("track"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("clip_id"), F.concat(F.lit(" <"), "props", F.lit("> & ")).alias("name"), t0.alias("t0"))
+    per_kind = own.select("sequence_id", "track", "kind").distinct()
+    built = timelines.documents(timelines.Timelines(
+        own.select("sequence_id").distinct().select("sequence_id", F.concat(F.lit("user "), "sequence_id").alias("name"), F.lit(25).alias("timebase"), F.lit(False).alias("ntsc")),
+        per_kind, own.select("sequence_id", "track", "clip_id", F.col("kind").alias("file_id"), "name", "t0", (F.col("t0") + 60).alias("t1"), F.lit(0).cast("long").alias("t_in")),
+        per_kind.select("sequence_id", F.col("kind").alias("file_id"), F.concat(F.lit("take "), "kind").alias("path"), F.lit(None).cast("long").alias("duration")),
+    ))
+    path = fresh_folder(spark, "timelines")
+    built.write.parquet(path)
+    read = timelines.tables(spark.read.schema(built.schema).parquet(path))
+    return read.clips.join(read.tracks, ["sequence_id", "track"]).join(read.files, ["sequence_id", "file_id"]).select("sequence_id", "track", "kind", "clip_id", "name", "t0", "t1", "path")
