@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidemark.plans import editing, exchange, relational, timeline  # noqa: E402, F401  they register their queries
+from tidemark.plans import editing, exchange, relational, timeline, wording  # noqa: E402, F401  they register their queries
