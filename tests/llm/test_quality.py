@@ -65,7 +65,7 @@ def numpy_fit(x, floors):
     for scale in (np.maximum(1.4826 * mad / quality.FINE, floors), floors):
         d = (((x - (med + 0.5) / quality.FINE) / scale) ** 2).sum(axis=1)
         det, held = np.inf, None
-        for _ in range(quality.STEPS):
+        while True:
             ranks = np.minimum(np.floor(np.log1p(d) * 200), 8191)
             inside = x[ranks <= np.sort(ranks)[int(np.ceil(quality.SUPPORT * len(x))) - 1]]
             mean = inside.mean(axis=0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ CUTOFF = 42.0
 PRIOR_WORDS = 25
 #: Documents that what a group leans on counts as: five for each of the five statistics.
 LEAN = 25
-#: Medians are read from bins of 1 / FINE; steps are taken until no determinant's logarithm falls by STILL, or STEPS times.
-FINE, STILL, STEPS = 512.0, 1e-6, 25
+#: Medians are read from bins of 1 / FINE; steps are taken until no determinant's logarithm falls by STILL.
+FINE, STILL = 512.0, 1e-6
 #: Group tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -129,9 +130,10 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
 
     Two deterministic starts, distances from the coordinatewise medians by the median absolute deviations and by the floors.
     Each step takes the ``support`` share with the least distances, gets its mean and covariance, and measures the distances
-    anew. A group goes on as long as its determinant falls; the start that ends with the smaller one stays. Medians and the share's limit
-    come from histograms of a fixed number of bins for each group, and all else is sums: map-side aggregation leaves a row
-    for each group (and bin) and task, so a hot group is no burden. Floors are added to the covariance's diagonal, so no
+    anew. A group goes on as long as its determinant falls, and the floors bound that from below; the start that ends with
+    the smaller one stays. Medians come from a fixed number of bins for each group. A step reads the rows once: each bin of
+    distances gets its count, sums and products, which give both the limit and the estimates. Map-side aggregation leaves
+    a row for each group, bin and task, so a hot group is no burden. Floors are added to the covariance's diagonal, so no
     group is singular.
     """
     p = len(names)
@@ -147,20 +149,17 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
     model = start.select("__tm_g", "__tm_start", F.lit(float("inf")).alias("__tm_det"), F.lit(0).cast("long").alias("__tm_n"), *[x.alias(c) for c, x in first.items()])
     model, own, done = scratch.keep("model0", model), ["__tm_g", "__tm_start"], []
     small = _few(model)
-    for step in range(STEPS):
+    dev = [F.col(names[j]) - F.col(f"__tm_m{j}") for j in range(p)]
+    parts = {f"__tm_d{j}": dev[j] for j in range(p)} | {f"__tm_q{i}_{j}": dev[i] * dev[j] for i in range(p) for j in range(i + 1)}
+    pair = Window.partitionBy(*own)
+    for step in count():
         bin_ = F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(8191)).alias("__tm_bin")
-        near = join_groups(rows, model, ["__tm_g"], small).select(*own, bin_)
-        counts = near.groupBy(*own, "__tm_bin").agg(F.count(F.lit(1)).alias("__tm_k"))
-        pair = Window.partitionBy(*own)
-        counts = counts.withColumn("__tm_upto", F.sum("__tm_k").over(pair.orderBy("__tm_bin"))).withColumn("__tm_all", F.sum("__tm_k").over(pair))
-        limit = counts.groupBy(*own).agg(F.min(F.when(F.col("__tm_upto") >= F.col("__tm_all") * support, F.col("__tm_bin"))).alias("__tm_limit"), F.max("__tm_all").alias("__tm_all"))
-        inside = join_groups(rows, model.join(limit, own), ["__tm_g"], small)
-        inside = inside.withColumn("__tm_bin", bin_).where("__tm_bin <= __tm_limit")
-        dev = [F.col(names[j]) - F.col(f"__tm_m{j}") for j in range(p)]
-        sums = inside.groupBy(*own, "__tm_all").agg(F.count(F.lit(1)).alias("__tm_k"), *[F.sum(dev[j]).alias(f"__tm_d{j}") for j in range(p)], *[F.sum(dev[i] * dev[j]).alias(f"__tm_q{i}_{j}") for i in range(p) for j in range(i + 1)])
+        bins = join_groups(rows, model, ["__tm_g"], small).groupBy(*own, bin_).agg(F.count(F.lit(1)).alias("__tm_k"), *[F.sum(x).alias(c) for c, x in parts.items()])
+        before = F.coalesce(F.sum("__tm_k").over(pair.orderBy("__tm_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bins = bins.withColumn("__tm_before", before).withColumn("__tm_all", F.sum("__tm_k").over(pair)).where(F.col("__tm_before") < F.col("__tm_all") * support)
+        sums = bins.groupBy(*own, "__tm_all").agg(*[F.sum(c).alias(c) for c in ("__tm_k", *parts)])
         mean = [F.col(f"__tm_d{j}") / F.col("__tm_k") for j in range(p)]
         cov = [[(F.col(f"__tm_q{i}_{j}") / F.col("__tm_k") - mean[i] * mean[j]) * CONSISTENCY + F.lit(floors[i] ** 2 if i == j else 0.0) for j in range(i + 1)] for i in range(p)]
-        sums = scratch.keep(f"sums{step}", sums)
         new = sums.select(*own, F.col("__tm_all").alias("__tm_n"), *[mean[j].alias(f"__tm_m{j}") for j in range(p)], *[cov[i][j].alias(f"__tm_c{i}_{j}") for i in range(p) for j in range(i + 1)])
         new = _with_factor(new, p)
         old = model.select(*own, *[F.col(c).alias(f"__tm_old{c}") for c in model.columns if c not in own])
@@ -176,7 +175,7 @@ def fit_mcd(scratch: Scratch, rows: DataFrame, names: list[str], floors: list[fl
     best = Window.partitionBy("__tm_g").orderBy("__tm_det", "__tm_start")
     best = reduce(DataFrame.unionByName, done).withColumn("__tm_r", F.row_number().over(best)).where("__tm_r = 1")
     fitted = scratch.keep("fitted", best.select("__tm_g", "__tm_n", *means, *covs))
-    for name in ("bins", "model0", *(f"{x}{i}" for i in range(step + 1) for x in ("sums", "step"))):
+    for name in ("bins", "model0", *(f"step{i}" for i in range(step + 1))):
         scratch.drop(name)
     return fitted
 
