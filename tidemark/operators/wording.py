@@ -16,17 +16,33 @@ def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "a", F.get("__t", F.col("__i") + 1).alias("b"))
 
 
+def _all_terms(text: Column) -> Column:
+    """The words of a text, and its pairs of neighbouring words of a line."""
+    pairs = lambda t: F.filter(F.transform(t, lambda a, i: F.concat(a, F.lit(" "), F.get(t, i + 1))), lambda x: x.isNotNull())
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), tx.tokens)
+    return F.flatten(F.transform(lines, lambda t: F.concat(t, pairs(t))))
+
+
 def term_statistics(docs: DataFrame, key: str, text: str, *, least: int = 2, lift: float = 10.0) -> DataFrame:
     """(``term``, ``n``, ``n_docs``, ``lift``): how often each word and each phrase occurs, and in how many documents.
 
     A phrase is a pair of neighbouring words of a line that occurs ``least`` times, and at least ``lift`` times as often as its
-    words would meet by chance; ``lift`` is null for single words. Counts are taken for each document first, so what a hot
-    word costs after the first aggregate is a row for each document, summed on the map side. Counts are a table in the shared
+    words would meet by chance; ``lift`` is null for single words. A row tells its distinct
+    terms by itself and tasks merge counts, so a hot word is a row for each task; only rows that share their key with others are
+    counted for each key first. Counts are a table in the shared
     folder, and only the number of all words reaches the driver. Null texts have no words; equal keys count as one document.
     """
-    each = _terms(docs, key, text)
-    own = each.select(key, F.explode(F.array(F.col("a"), F.when(F.col("b").isNotNull(), F.concat_ws(" ", "a", "b")))).alias("term")).where("term IS NOT NULL")
-    counted = own.groupBy("term", key).agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    shared = not again.isEmpty()
+    once = docs.join(again, docs[key].eqNullSafe(again["__again"]), "left_anti") if shared else docs
+    # A row that is a whole document tells its distinct terms by itself; counts of a task are merged before the shuffle.
+    marked = F.concat(F.transform("__t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct("__t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
+    rows = once.select(_all_terms(F.col(text)).alias("__t")).select(F.inline(marked))
+    if shared:
+        several = docs.join(again, docs[key].eqNullSafe(again["__again"]), "left_semi")
+        more = several.select(key, F.explode(_all_terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(more.select("term", "n", F.lit(1).alias("d")))
+    counted = rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("n_docs"))
     path = fresh_folder(docs.sparkSession, "terms")
     counted.write.parquet(path)
     counted = docs.sparkSession.read.schema("term string, n long, n_docs long").parquet(path)
