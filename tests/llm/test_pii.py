@@ -149,3 +149,42 @@ def test_very_long_mentions_and_texts(spark):
     assert got[1].n_email == 1 and got[1].text != rows[0][1] and got[3].text == rows[2][1]
     assert got[2].n_person == 3000 and "Ab" not in got[2].text and got[6].n_person == 0 and got[6].n_phone > 0
     assert got[4].n_ip == 1 and got[4].text.startswith("x" * 500_000) and got[5].text == rows[4][1]
+
+def test_particles_initials_line_ends_and_cues(spark):
+    rows = {
+        1: "Herr von Braun und Sr. de la Cruz; Braun kam.", 2: "Mr. J. Smith, Mr. K. Smith, Mr. J.Smith and Ms. Ann B. Stone", 3: "Dr.\nHolm, Prof. J.\nLarsen, Frau van\nDyk",
+        4: "My name is John Vale. Call me. Regards, John Vale", 5: "Ich heiße Anna Öhler\nMit Gruß\nA. Öhler", 6: "Dr. Ada\nThe next line", 7: "Sra. De La Cruz said: La Paz", 8: "Mr.  ", 9: "Dr. " + "J. " * 50_000 + "von " * 50_000,
+    }
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame([*rows.items()], "doc_id long, text string"), "k").collect()}
+    braun, cruz, again = re.fullmatch(r"Herr von (\w+) und Sr\. de la (\w+); (\w+) kam\.", got[1].text).groups()
+    assert braun == again and not {braun, cruz} & {"Braun", "Cruz"} and braun != cruz
+    j, smith, k, smith2, j2, smith3, ann, b, stone = re.fullmatch(r"Mr\. (\w)\. (\w+), Mr\. (\w)\. (\w+), Mr\. (\w)\.(\w+) and Ms\. (\w+) (\w)\. (\w+)", got[2].text).groups()
+    assert j == j2 != "J" and len({j, k, b}) == 3 and "K" != k and b != "B" and smith == smith2 == smith3 != "Smith" and not {ann, stone} & {"Ann", "Stone"}
+    holm, i, larsen, dyk = re.fullmatch(r"Dr\.\n(\w+), Prof\. (\w)\.\n(\w+), Frau van\n(\w+)", got[3].text).groups()
+    assert i == j and not {holm, larsen, dyk} & {"Holm", "Larsen", "Dyk"} and got[3].n_person == 3
+    john, vale, john2, vale2 = re.fullmatch(r"My name is (\w+) (\w+)\. Call me\. Regards, (\w+) (\w+)", got[4].text).groups()
+    assert (john, vale) == (john2, vale2) and not {john, vale} & {"John", "Vale"} and got[4].n_person == 2
+    assert re.fullmatch(r"Ich heiße (\w+) (\w+)\nMit Gruß\nA\. \2", got[5].text) and "Öhler" not in got[5].text
+    assert got[6].text.endswith("\nThe next line") and "Ada" not in got[6].text
+    assert re.fullmatch(r"Sra\. De La (?!Cruz)\w+ said: La Paz", got[7].text)
+    assert got[8].text == rows[8] and got[9].text == rows[9]
+
+
+def test_names_that_are_common_words(spark):
+    rows = {
+        1: "Mr. May met Mr. Will Power. In May the Will was read. Will he? Power is off. Then Will Power and Will, then Power, left in May.",
+        2: "Dr. Quill's pen: the quill. Quill is old, but Quill writes. WILL", 3: "Dr. Orla Quill, mail orla.quill@x.org or /home/quill, Quill. Orla",
+    }
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame([*rows.items()], "doc_id long, text string"), "k").collect()}
+    may, will, power, w2, p2, w3, p3 = re.fullmatch(r"Mr\. (\w+) met Mr\. (\w+) (\w+)\. In May the Will was read\. Will he\? Power is off\. Then (\w+) (\w+) and (\w+), then (\w+), left in May\.", got[1].text).groups()
+    assert will == w2 == w3 and power == p2 == p3 and not {may, will, power} & {"May", "Will", "Power"} and got[1].n_person == 5
+    quill, q2 = re.fullmatch(r"Dr\. (\w+)'s pen: the quill\. Quill is old, but (\w+) writes\. WILL", got[2].text).groups()
+    assert quill == q2 != "Quill"
+    assert not re.search("Quill|Orla", got[3].text) and got[3].n_person == 3 and got[3].n_email == 1
+
+
+def test_initials_are_turned_letters(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for secret in ("k", "x" * 40, ""):
+        new = spark.range(1).select(pii._initial(F.lit(letters + "."), secret).alias("x")).first().x
+        assert sorted(new[:-1]) == list(letters) and new[-1] == "." and not any(a == b for a, b in zip(new, letters))

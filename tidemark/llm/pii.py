@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,18 @@ TITLES = {
     "f": "Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Srta|Señora|Madame|Госпожа",
     "n": "Dr|Prof|Mx|Доктор",
 }
+#: How people name themselves, words that stand before a surname, and words that tell a thing rather than a person behind them.
+CUES = "[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут"
+PARTICLES = "von|van|der|den|de|del|della|di|da|dos|das|do|du|la|los|las|ter|ten|zu|af|av|bin|ibn|y"
+ARTICLES = "the|The|a|A|an|An|this|This|that|That|his|her|its|their|our|my|your|no|any|each|every"
+#: Names that are also words of a calendar, and names that are also common words.
+CALENDAR = "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split()
+COMMON = (
+    "art baker banks bell best bill bishop black bond brook brown bush carter chance chase church clay cliff cook cooper cross dale dawn day dean drew earl english faith field fisher ford forest fox frank "
+    "french gene grace grant gray green grey hall hill hope hunter iris ivy jack jean jewel joy king lake lane law lee lily little long love major mark marks mason miles mill moon north olive park parks "
+    "pat penny pierce poole pope power powers price prince ray reed rich rob rock rose ruby sage sky small smith star stone street strong sue summer taylor violet wade walker ward waters west white will "
+    "wise wolf wood woods young"
+).split()
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mi na ne ni ra re ri sa se ta te ti va ve".split(),
     "cyrillic": "ба бе бо да де до ва ве га го ка ке ла ле ло ма ме ми на не ни ра ре ри са се та те ти".split(),
@@ -39,7 +52,11 @@ PHONE = (
     r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?!\d)"
 )
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(TITLES.values())})\.?[ \t]+\p{{Lu}}[\p{{L}}'’-]+(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
+NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Initials and particles before a name; behind them, and behind a title's full stop, a line may end.
+LEAD = rf"(?:(?:\p{{Lu}}\.[ \t]*+|(?:{PARTICLES})(?:[ \t]++|(?=\n)))(?:\n[ \t]*+)?+){{0,4}}"
+OPENING = rf"(?:{'|'.join(TITLES.values())})(?:\.?[ \t]+|\.[ \t]*+\n[ \t]*+)|(?:{CUES})(?:[ \t]++(?:\n[ \t]*+)?+|\n[ \t]*+)"
+PERSON = rf"(?<![\p{{L}}])(?:{OPENING}){LEAD}{NAME}(?:[ \t]+{LEAD}{NAME}){{0,2}}"
 #: In the order in which they are tried at a place.
 KINDS = {"email": EMAIL, "ip": IP, "ip6": IP6, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -64,7 +81,7 @@ def _parts(mention: Column, kind: Column, surnames: Column | None = None, given:
     """(type, canon, raw, gender) for each part of a mention; parts of type "" stay. Equal (type, canon) are one entity.
 
     Numbers are known by their digits, e-mail addresses in lower case, persons by each name: what comes last is the
-    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it. Names without a title, and one name behind a title, are what the
+    surname, so "Mr. Ada Holm" and "Mrs. Holm" share it; particles stay, an initial is an entity of its own. Names without a title, and one name behind a title, are what the
     document's titled persons make them: ``surnames`` or ``given`` names, or either by their place if they are both.
     """
 
@@ -74,11 +91,11 @@ def _parts(mention: Column, kind: Column, surnames: Column | None = None, given:
     number = _digits(mention)
     phone = F.when((F.length(number) == 11) & number.startswith("1"), number.substr(2, 10)).when(mention.startswith("+"), F.concat(F.lit("+"), number)).otherwise(number)
     canon = F.when(kind.isin("email", "ip6"), F.lower(mention)).when(kind.isin("card", "ssn"), number).when(kind == "phone", phone).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
-    tokens = F.regexp_extract_all(mention, F.lit(r"[ \t]+|['’]s(?![^ \t])|(?:(?!['’]s(?![^ \t]))[^ \t])+"), F.lit(0))
+    tokens = F.regexp_extract_all(mention, F.lit(rf"^(?:{CUES})(?=\s)|[ \t\n]+|\p{{Lu}}\.|['’]s(?!\S)|(?:(?!['’]s(?!\S))[^ \t\n])+"), F.lit(0))
     gender = F.when(mention.rlike(rf"^(?:{TITLES['m']})\b"), "m").when(mention.rlike(rf"^(?:{TITLES['f']})\b"), "f").otherwise("n")
 
-    titled = mention.rlike(rf"^(?:{'|'.join(TITLES.values())})\.?[ \t]")
-    several = F.size(F.filter(tokens, lambda t: ~t.rlike(r"^[ \t]|^['’]s$"))) > 2
+    titled = mention.rlike(rf"^(?:{OPENING})")
+    several = F.size(F.filter(tokens, lambda t: ~t.rlike(r"^\s|^['’]s$"))) > 2
 
     def name(t: Column, i: Column) -> Column:
         end = F.size(tokens) - F.when(F.element_at(tokens, -1).rlike("^['’]s$"), 2).otherwise(1)
@@ -86,7 +103,8 @@ def _parts(mention: Column, kind: Column, surnames: Column | None = None, given:
         if surnames is not None:
             known = F.when(is_surname, F.array_contains(surnames, F.lower(t))).otherwise(~F.array_contains(given, F.lower(t)))
             is_surname = F.when(titled & several, is_surname).otherwise(known)
-        role = F.when((titled & (i == 0)) | t.rlike(r"^[ \t]|^['’]s$"), "").otherwise(F.concat(F.when(is_surname, "surname:").otherwise("given:"), _script(t)))
+        stays = (titled & (i == 0)) | t.rlike(r"^\s|^['’]s$") | ((i < end) & F.lower(t).rlike(f"^(?:{PARTICLES})$"))
+        role = F.when(stays, "").when(t.rlike(r"^\p{Lu}\.$"), "initial").otherwise(F.concat(F.when(is_surname, "surname:").otherwise("given:"), _script(t)))
         return part(role, F.lower(t), t, F.when(role.startswith("given"), gender).otherwise("n"))
 
     return F.when(kind == "person", F.transform(tokens, name)).otherwise(F.array(part(kind, canon, mention)))
@@ -96,12 +114,13 @@ def _mentions(text: Column) -> Column:
     """(list, bare, surnames, given) of a text: its mentions, and the pattern of the names of titled persons, null without any.
 
     With titled persons the list also has their names where they stand without a title, as they were written, in capitals
-    or with capitals at the start only.
+    or with capitals at the start only. A name that is also a common word (one of COMMON or CALENDAR, or in lower case
+    elsewhere in the text) is one beside another name, or, but for those of CALENDAR, inside of a sentence without an article before it.
     """
 
     def of(found: Column) -> Column:
         persons = F.filter(found, lambda m: m.rlike(rf"^(?:{PERSON})$"))
-        each = F.transform(persons, lambda m: F.filter(_parts(m, F.lit("person")), lambda p: p["type"] != ""))
+        each = F.transform(persons, lambda m: F.filter(_parts(m, F.lit("person")), lambda p: ~p["type"].isin("", "initial")))
         return let(each, lambda each: let(F.flatten(each), lambda names: let(bare(names), lambda b: let(whole(each, "given"), lambda given: F.struct(
             F.when(b.isNull(), found).otherwise(F.regexp_extract_all(text, F.concat(F.lit(f"{ANY}|"), b), F.lit(0))).alias("list"), b.alias("bare"),
             F.array_union(whole(each, "surname"), F.array_except(canon(F.flatten(F.filter(each, lambda p: F.size(p) == 1))), given)).alias("surnames"), given.alias("given"),
@@ -114,12 +133,30 @@ def _mentions(text: Column) -> Column:
         """Names of that role of the persons that are named by two names or more."""
         return canon(F.filter(F.flatten(F.filter(each, lambda p: F.size(p) > 1)), lambda p: p["type"].startswith(role)))
 
-    def bare(names: Column) -> Column:
+    def one(names: Column) -> Column:
+        """A pattern of one of the names as a whole word; of none of them without any."""
         written = F.flatten(F.transform(names, lambda p: F.array(p["raw"], F.upper(p["raw"]), F.initcap(p["raw"]))))
         # Longer names first, so that none is cut at a shorter one.
         longest = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(written), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), lambda x: x["x"])
-        one = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-        return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), one, F.lit(r"(?:[ \t]+"), one, F.lit("){0,2}")))
+        return F.when(F.size(names) > 0, F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])"))).otherwise("(?!)")
+
+    def bare(names: Column) -> Column:
+        # Parts of addresses in lower case make no word common.
+        low = F.concat(F.lit(r"(?<![\p{L}\p{N}_.@/-])(?:"), F.array_join(canon(names), "|"), F.lit(r")(?![\p{L}\p{N}_@/-]|\.\p{L})"))
+        words = F.array_union(F.regexp_extract_all(text, low, F.lit(0)), F.array(*[F.lit(w) for w in COMMON]))
+        is_date = lambda p: p["canon"].isin(*CALENDAR)
+
+        def pattern(words: Column) -> Column:
+            is_word = lambda p: F.array_contains(words, p["canon"])
+            any_, sure = one(names), one(F.filter(names, lambda p: ~is_word(p) & ~is_date(p)))
+            inside = one(F.filter(names, lambda p: is_word(p) & ~is_date(p)))
+            more = F.concat(F.lit(r"(?:[ \t]+"), any_, F.lit(")"))
+            return F.concat(
+                F.lit(r"(?<![\p{L}\p{N}_])(?:"), sure, more, F.lit("{0,2}|"), any_, more, F.lit("{1,2}|"),
+                F.lit(rf"(?<=[\p{{Ll}}\p{{N}},;][ \t])(?<!(?<![\p{{L}}])(?:{ARTICLES})[ \t])"), inside, F.lit(")"),
+            )
+
+        return F.when(F.size(names) > 0, let(words, pattern))
 
     return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), of)
 
@@ -214,7 +251,15 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Col
     return out
 
 
-def _render(kind: Column, raw: Column, surrogate: Column) -> Column:
+def _initial(raw: Column, secret: str) -> Column:
+    """Another letter of the same alphabet: alphabets are turned by a keyed number of places, so no two initials become one."""
+    turn = int.from_bytes(hmac.digest(secret.encode(), b"initial", "sha512")[:8], "big")
+    alphabets = [[chr(c) for c in range(a, b + 1) if chr(c).isalpha()] for a, b in ((0x41, 0x5A), (0xC0, 0xDE), (0x391, 0x3A9), (0x410, 0x42F))]
+    turned = ["".join(a[n:] + a[:n]) for a in alphabets for n in [turn % (len(a) - 1) + 1]]
+    return F.translate(raw, "".join("".join(a) for a in alphabets), "".join(turned))
+
+
+def _render(kind: Column, raw: Column, surrogate: Column, secret: str) -> Column:
     """The surrogate written as the mention was: its separators, extra leading digits and capitals."""
     digits, own = _digits(raw), _digits(surrogate)
     filled = F.concat(digits.substr(F.lit(1), F.length(digits) - F.length(own)), own)
@@ -233,7 +278,7 @@ def _render(kind: Column, raw: Column, surrogate: Column) -> Column:
     cased = F.array_join(F.transform(_chars(surrogate), large), "")
     capital = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (
-        F.when(kind == "", raw).when(kind.isin("card", "phone", "ssn"), number).when(kind == "iban", F.array_join(F.transform(_chars(raw), spaced), ""))
+        F.when(kind == "", raw).when(kind == "initial", _initial(raw, secret)).when(kind.isin("card", "phone", "ssn"), number).when(kind == "iban", F.array_join(F.transform(_chars(raw), spaced), ""))
         .when(kind.isin("email", "ip6"), cased).when(kind == "ip", surrogate).otherwise(capital)
     )
 
@@ -274,8 +319,9 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     same documents; it keeps kind, length and layout, capitals, an IBAN's country, a card's brand, whether their check digits
     are right, top-level domain, script, and the gender that the titles before a given name tell, if they tell one. Seeds are
     HMACs under ``secret``. ``assign_surrogates`` keeps distinct
-    entities distinct. Persons are known by a title (TITLES); their names are also replaced elsewhere in the same document.
-    Persons that have no title anywhere in a document stay.
+    entities distinct. Persons are known by a title (TITLES) or where they name themselves (CUES), with initials and particles; their names are
+    also replaced elsewhere in the same document, those that are common words only where ``_mentions`` takes them for names. Persons that
+    have neither anywhere in a document stay. A line may end behind a title's full stop, a cue, an initial or a particle, not between two names.
 
     One pass over all texts finds mentions and writes them; entities are distinct by map-side aggregation; mentions meet their surrogates
     by a join that the engine can split at a hot entity. Only documents with mentions are shuffled, to meet their list of
@@ -290,13 +336,13 @@ def replace_entities(docs: DataFrame, secret: str, *, key: str = "doc_id", text:
     found = found.select("__tm_key", "__tm_row", "m.bare", "m.surnames", "m.given", F.posexplode("m.list").alias("pos", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("parts", _parts(F.col("mention"), F.col("kind"), F.col("surnames"), F.col("given")))
     found = scratch.keep("mentions", found.select("__tm_key", "__tm_row", "bare", "pos", "kind", F.posexplode("parts").alias("no", "part")).select("__tm_key", "__tm_row", "bare", "pos", "kind", "no", "part.*"))
-    told = found.where("type <> ''").groupBy("type", "canon").agg(F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
+    told = found.where("type NOT IN ('', 'initial')").groupBy("type", "canon").agg(F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
     gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
     settled = F.when(F.col("type").startswith("given:"), F.concat(F.lit("given-"), gender, F.substring("type", 6, 100))).otherwise(F.col("type"))
     entities = assign_surrogates(scratch, told.select(settled.alias("type"), "canon"), secret)
     entities = entities.withColumn("type", F.regexp_replace("type", "^given-.", "given"))
 
-    met = found.join(entities, ["type", "canon"], "left").withColumn("new", _render(F.col("type"), F.col("raw"), F.col("surrogate")))
+    met = found.join(entities, ["type", "canon"], "left").withColumn("new", _render(F.col("type"), F.col("raw"), F.col("surrogate"), secret))
     each = met.groupBy("__tm_key", "__tm_row").agg(F.array_sort(F.collect_set(F.struct("pos", "no", "kind", "new"))).alias("__tm_new"), F.first("bare").alias("__tm_bare"))
     each = each.select(F.col("__tm_key").alias("__tm_k"), F.col("__tm_row").alias("__tm_r"), "__tm_new", "__tm_bare")
 
