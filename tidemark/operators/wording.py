@@ -9,50 +9,61 @@ from tidemark.functions import text as tx
 from tidemark.sources.shared import fresh_folder
 
 
-def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``a`` (a token) and ``b`` (the token behind it in the same line, null at its end), a row for each token."""
-    lines = docs.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__line"))
-    each = lines.select(key, tx.tokens(F.col("__line")).alias("__t")).select(key, "__t", F.posexplode("__t").alias("__i", "a"))
-    return each.select(key, "a", F.get("__t", F.col("__i") + 1).alias("b"))
-
-
-def _all_terms(text: Column) -> Column:
-    """The words of a text, and its pairs of neighbouring words of a line."""
-    pairs = lambda t: F.filter(F.transform(t, lambda a, i: F.concat(a, F.lit(" "), F.get(t, i + 1))), lambda x: x.isNotNull())
+def _all_terms(text: Column, phrases: bool = True) -> Column:
+    """The words of a text, and with ``phrases`` its pairs of neighbouring words of a line."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), tx.tokens)
+    if not phrases:
+        return F.flatten(lines)
+    pairs = lambda t: F.filter(F.transform(t, lambda a, i: F.concat(a, F.lit(" "), F.get(t, i + 1))), lambda x: x.isNotNull())
     return F.flatten(F.transform(lines, lambda t: F.concat(t, pairs(t))))
 
 
-def term_statistics(docs: DataFrame, key: str, text: str, *, least: int = 2, lift: float = 10.0) -> DataFrame:
-    """(``term``, ``n``, ``n_docs``, ``lift``): how often each word and each phrase occurs, and in how many documents.
+def _counts(terms: Column) -> Column:
+    """(``term``, ``n``) for each distinct element of an array, by the runs of equal ones when sorted."""
+    given = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return given(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n"))))
+
+    return given(F.sort_array(terms), runs)
+
+
+def _terms_of(docs: DataFrame, key: str, text: str, phrases: bool = True) -> DataFrame:
+    """(``key``, ``term``, ``n``) for each distinct term of each document. A row whose key is its own is counted where it is read; only rows that share theirs are shuffled."""
+    again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    each = lambda rows: rows.select(key, F.inline(_counts(_all_terms(F.col(text), phrases))))
+    if again.isEmpty():
+        return each(docs)
+    same = docs[key].eqNullSafe(again["__again"])
+    several = each(docs.join(again, same, "left_semi")).groupBy(key, "term").agg(F.sum("n").alias("n"))
+    return each(docs.join(again, same, "left_anti")).unionByName(several)
+
+
+def term_statistics(docs: DataFrame, key: str, text: str, *, phrases: bool = True, least: int = 2, lift: float = 10.0) -> DataFrame:
+    """(``term``, ``n``, ``n_docs``, ``lift``): how often each word and, with ``phrases``, each phrase occurs, and in how many documents.
 
     A phrase is a pair of neighbouring words of a line that occurs ``least`` times, and at least ``lift`` times as often as its
-    words would meet by chance; ``lift`` is null for single words. A row tells its distinct
-    terms by itself and tasks merge counts, so a hot word is a row for each task; only rows that share their key with others are
-    counted for each key first. Counts are a table in the shared
-    folder, and only the number of all words reaches the driver. Null texts have no words; equal keys count as one document.
+    words would meet by chance; ``lift`` is null for single words. A row tells the counts of its distinct terms by itself and
+    tasks merge counts, so a hot word is a row for each task and one shuffle of merged counts is all; pairs that are too seldom
+    end there. Counts are a table in the shared folder, and only the number of all words reaches the driver. Null texts have no words;
+    equal keys count as one document.
     """
-    again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
-    shared = not again.isEmpty()
-    once = docs.join(again, docs[key].eqNullSafe(again["__again"]), "left_anti") if shared else docs
-    # A row that is a whole document tells its distinct terms by itself; counts of a task are merged before the shuffle.
-    marked = F.concat(F.transform("__t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct("__t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    rows = once.select(_all_terms(F.col(text)).alias("__t")).select(F.inline(marked))
-    if shared:
-        several = docs.join(again, docs[key].eqNullSafe(again["__again"]), "left_semi")
-        more = several.select(key, F.explode(_all_terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.unionByName(more.select("term", "n", F.lit(1).alias("d")))
-    counted = rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("n_docs"))
-    path = fresh_folder(docs.sparkSession, "terms")
-    counted.write.parquet(path)
-    counted = docs.sparkSession.read.schema("term string, n long, n_docs long").parquet(path)
-    single = counted.where("NOT contains(term, ' ')")
-    pairs = counted.where(F.contains("term", F.lit(" ")) & (F.col("n") >= least)).withColumns({"__a": F.substring_index("term", " ", 1), "__b": F.substring_index("term", " ", -1)})
+    spark = docs.sparkSession
+    counted = _terms_of(docs, key, text, phrases).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    is_pair = F.contains("term", F.lit(" "))
+    path = fresh_folder(spark, "terms")
+    counted.where(~is_pair | (F.col("n") >= least)).write.parquet(path)
+    counted = spark.read.schema("term string, n long, n_docs long").parquet(path)
+    single = counted.where(~is_pair).withColumn("lift", F.lit(None).cast("double"))
+    if not phrases:
+        return single
+    pairs = counted.where(is_pair).withColumns({"__a": F.substring_index("term", " ", 1), "__b": F.substring_index("term", " ", -1)})
     total = float(single.agg(F.sum("n")).first()[0] or 0)
     for side in ("__a", "__b"):
         pairs = pairs.join(single.select(F.col("term").alias(side), F.col("n").cast("double").alias(f"{side}_n")), side)
     pairs = pairs.withColumn("lift", F.col("n") * F.lit(total) / (F.col("__a_n") * F.col("__b_n"))).where(F.col("lift") >= lift)
-    return single.withColumn("lift", F.lit(None).cast("double")).unionByName(pairs.select("term", "n", "n_docs", "lift"))
+    return single.unionByName(pairs.select("term", "n", "n_docs", "lift"))
 
 
 def punch_words(docs: DataFrame, statistics: DataFrame, key: str, text: str, n_docs: int, *, k: int = 3, common: float = 0.2) -> DataFrame:
@@ -63,9 +74,7 @@ def punch_words(docs: DataFrame, statistics: DataFrame, key: str, text: str, n_d
     is a single letter marks none; leaving that out first also takes the hot terms out of the join. Documents without such
     terms, with null or empty texts have no row. Equal keys count as one document.
     """
-    each = _terms(docs, key, text)
-    own = each.select(key, F.explode(F.array(F.col("a"), F.when(F.col("b").isNotNull(), F.concat_ws(" ", "a", "b")))).alias("term")).where("term IS NOT NULL AND length(term) > 1")
-    own = own.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    own = _terms_of(docs, key, text).where(F.length("term") > 1)
     rare = statistics.where(F.col("n_docs") <= common * n_docs).select("term", F.col("n_docs").alias("__df"))
     scored = own.join(rare, "term").withColumn("score", F.round(1000 * F.col("n") * F.log(F.lit(float(n_docs)) / F.col("__df"))).cast("long"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc(F.length("term")), "term")

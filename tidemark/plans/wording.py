@@ -73,7 +73,7 @@ def punch_words(spark: SparkSession, root: str) -> DataFrame:
 )
 def definition_cards(spark: SparkSession, root: str) -> DataFrame:
     docs = _documents(spark, root)
-    return wording.definition_cards(docs, wording.term_statistics(docs, "doc_id", "text"), "doc_id", "text", _n_docs(docs), DEFINES, common=COMMON)
+    return wording.definition_cards(docs, wording.term_statistics(docs, "doc_id", "text", phrases=False), "doc_id", "text", _n_docs(docs), DEFINES, common=COMMON)
 
 
 @query(
