@@ -108,3 +108,15 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], DOC)
     stats = wording.term_statistics(df, "id", "said")
     assert stats.isEmpty() and wording.punch_words(df, stats, "id", "said", 0).isEmpty() and wording.definition_cards(df, stats, "id", "said", 0, DEFINES).isEmpty()
+
+def test_runs_of_sorted_terms(spark):
+    rows = [(1, ["b", "a", "b", "", "a b"]), (2, []), (3, ["z"] * 1000), (4, None)]
+    got = {r.id: r.c for r in spark.createDataFrame(rows, "id long, t array<string>").select("id", wording._counts(F.col("t")).alias("c")).collect()}
+    assert [tuple(x) for x in got[1]] == [("", 1), ("a", 1), ("a b", 1), ("b", 2)] and got[2] == [] and [tuple(x) for x in got[3]] == [("z", 1000)] and got[4] is None
+
+
+def test_words_alone_are_the_words_of_all_terms(spark, corpus):
+    df = spark.createDataFrame(corpus, DOC)
+    all_ = {tuple(r) for r in wording.term_statistics(df, "id", "said").where("lift IS NULL").collect()}
+    assert {tuple(r) for r in wording.term_statistics(df, "id", "said", phrases=False).collect()} == all_
+    assert wording.term_statistics(df.limit(0), "id", "said", phrases=False).collect() == []
