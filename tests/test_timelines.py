@@ -44,3 +44,24 @@ def test_missing_references_are_refused(spark, changed, said):
 def test_a_broken_document_is_refused(spark):
     with pytest.raises(Exception, match="MALFORMED"):
         rows(timelines.tables(spark.createDataFrame([("<sequence _id='a'><name>x</sequence>",)], "document string")).clips)
+
+
+@pytest.mark.parametrize("inner,said", [
+    ("<media><track index='1'><clip id='c' file='lost'/></track></media>", "of no file"), ("<media><track index='1'/><track index='1'/></media>", "track that comes twice"),
+    ("<media><track index='1'><clip id='c'/></track><track index='2'><clip id='c'/></track></media>", "clip that comes twice"), ("<files><file id='f'/><file/></files>", "file without an id"),
+])
+def test_documents_with_lost_references_are_refused(spark, inner, said):
+    with pytest.raises(ValueError, match=said):
+        timelines.tables(spark.createDataFrame([(f"<sequence id='a'>{inner}</sequence>",)], "document string"))
+
+
+def test_each_document_is_read_once(spark):
+    """What was read is a table: no plan of the four parses XML again, and few jobs check them."""
+    docs = timelines.documents(build(spark))
+    tracker, group = spark.sparkContext.statusTracker(), "read-once"
+    spark.sparkContext.setJobGroup(group, group)
+    back = timelines.tables(docs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 6
+    for name in ("sequences", "tracks", "clips", "files"):
+        assert "from_xml" not in getattr(back, name)._jdf.queryExecution().optimizedPlan().toString(), name
