@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,21 @@ def test_words_alone_are_the_words_of_all_terms(spark, corpus):
     all_ = {tuple(r) for r in wording.term_statistics(df, "id", "said").where("lift IS NULL").collect()}
     assert {tuple(r) for r in wording.term_statistics(df, "id", "said", phrases=False).collect()} == all_
     assert wording.term_statistics(df.limit(0), "id", "said", phrases=False).collect() == []
+
+
+def test_terms_are_counted_in_parts_of_any_size(spark, monkeypatch):
+    """Rows are counted where they are read, by parts of a task: parts don't matter, nor do lines, accents, empty and null texts or equal keys."""
+    texts = ["One two one\ntwo ÉTÉ 12", "", None, "...", "one two, one two\r\nthree", "x" * 300 + " y", "one\n\ntwo", "y one two"]
+    rows = [(i if i < 6 else 6, t) for i, t in enumerate(texts)]
+    wanted = Counter()
+    for i, t in rows:
+        for line in (t or "").lower().split("\n"):
+            w = [x for x in re.split(r"[^\w]+", line) if x]
+            wanted.update((i, x) for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+    df = spark.createDataFrame(rows, "id long, said string")
+    assert {(r.id, r.term): r.n for r in wording._terms_of(df, "id", "said").collect()} == wanted
+    got = {r.term: (r.n, r.n_docs) for r in wording._term_counts(df, "id", "said", True).collect()}
+    assert got == {t: (sum(n for (_, u), n in wanted.items() if u == t), sum(u == t for _, u in wanted)) for _, t in wanted}
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "x" * 50, "", "c"])], ["__text"])
+    monkeypatch.setattr(wording, "PART_BYTES", 3)
+    assert [p.column(0).to_pylist() for p in wording._parts([batch])] == [["ab", None], ["x" * 50], ["", "c"]]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +14,62 @@ from tidemark.functions import text as tx
 from tidemark.sources.shared import fresh_folder
 
 
-def _all_terms(text: Column, phrases: bool = True) -> Column:
-    """The words of a text, and with ``phrases`` its pairs of neighbouring words of a line."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), tx.tokens)
-    if not phrases:
-        return F.flatten(lines)
-    pairs = lambda t: F.filter(F.transform(t, lambda a, i: F.concat(a, F.lit(" "), F.get(t, i + 1))), lambda x: x.isNotNull())
-    return F.flatten(F.transform(lines, lambda t: F.concat(t, pairs(t))))
+#: Words are runs of letters and digits, as in ``functions.text.tokens``; what parts them.
+PARTS = r"[^\p{L}\p{N}]+"
+#: Bytes of text and rows that are counted at once inside a task; so numbers of a row and two words fit one of 63 bits.
+PART_BYTES, PART_ROWS = 1 << 24, 1 << 13
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut into parts of at most PART_BYTES of text, one row at least, and PART_ROWS rows."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            z = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PART_BYTES, side="right"))
+            z = min(max(z, a + 1), a + PART_ROWS)
+            yield batch.slice(a, z - a)
+            a = z
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of lower-case ``texts``, and for each place of a word its number, its text and its line."""
+    lines = pc.split_pattern(texts, "\n")
+    words = pc.split_pattern_regex(lines.flatten(), PARTS)
+    found, line = words.flatten(), pc.list_parent_indices(words)
+    is_word = pc.not_equal(found, "")
+    found, line = found.filter(is_word).dictionary_encode(), line.filter(is_word).to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), row[line], line
+
+
+def _counted(docs: DataFrame, key: str, text: str, phrases: bool, merged: bool) -> DataFrame:
+    """(``key``, ``term``, ``n``) for each distinct term of each row, or ``merged`` (``term``, ``n``, ``n_docs``) for each of some rows of a task: words, and with ``phrases`` pairs of neighbouring words of a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            names, word, row, line = _words(part.column("__text"))
+            size, rows = len(names), part.num_rows
+            if not len(word):
+                continue
+            if phrases:
+                beside = line[1:] == line[:-1]
+                word, row = np.concatenate([word, size + word[:-1][beside] * size + word[1:][beside]]), np.concatenate([row, row[:-1][beside]])
+            each, n = np.unique(word * rows + row, return_counts=True)
+            term, row = np.divmod(each, rows)
+            if merged:
+                at = np.flatnonzero(np.diff(term, prepend=-1))
+                n, n_docs, term = np.add.reduceat(n, at), np.diff(at, append=len(term)), term[at]
+            singles = int(np.searchsorted(term, size))
+            pair = term[singles:] - size
+            terms = pa.concat_arrays([names.take(pa.array(term[:singles])), pc.binary_join_element_wise(names.take(pa.array(pair // size)), names.take(pa.array(pair % size)), " ")])
+            if merged:
+                yield pa.RecordBatch.from_arrays([terms, pa.array(n), pa.array(n_docs)], ["term", "n", "n_docs"])
+            else:
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), terms, pa.array(n)], [key, "term", "n"])
+
+    kind = "" if merged else f"`{key}` {docs.schema[key].dataType.simpleString()}, "
+    return docs.select(key, F.lower(text).alias("__text")).mapInArrow(run, f"{kind}term string, n long" + (", n_docs long" if merged else ""))
 
 
 def _counts(terms: Column) -> Column:
@@ -29,15 +83,30 @@ def _counts(terms: Column) -> Column:
     return given(F.sort_array(terms), runs)
 
 
-def _terms_of(docs: DataFrame, key: str, text: str, phrases: bool = True) -> DataFrame:
-    """(``key``, ``term``, ``n``) for each distinct term of each document. A row whose key is its own is counted where it is read; only rows that share theirs are shuffled."""
+def _by_key(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key is their own, and those that share theirs, if there are any."""
     again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
-    each = lambda rows: rows.select(key, F.inline(_counts(_all_terms(F.col(text), phrases))))
     if again.isEmpty():
-        return each(docs)
+        return docs, None
     same = docs[key].eqNullSafe(again["__again"])
-    several = each(docs.join(again, same, "left_semi")).groupBy(key, "term").agg(F.sum("n").alias("n"))
-    return each(docs.join(again, same, "left_anti")).unionByName(several)
+    return docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+
+
+def _terms_of(docs: DataFrame, key: str, text: str, phrases: bool = True) -> DataFrame:
+    """(``key``, ``term``, ``n``) for each distinct term of each document. A row whose key is its own is counted where it is read; only rows that share theirs are shuffled."""
+    alone, several = _by_key(docs, key)
+    own = _counted(alone, key, text, phrases, False)
+    return own if several is None else own.unionByName(_counted(several, key, text, phrases, False).groupBy(key, "term").agg(F.sum("n").alias("n")))
+
+
+def _term_counts(docs: DataFrame, key: str, text: str, phrases: bool) -> DataFrame:
+    """(``term``, ``n``, ``n_docs``) of all documents: rows are merged inside of tasks first."""
+    alone, several = _by_key(docs, key)
+    own = _counted(alone, key, text, phrases, True)
+    if several is not None:
+        shared = _counted(several, key, text, phrases, False).groupBy(key, "term").agg(F.sum("n").alias("n"))
+        own = own.unionByName(shared.select("term", "n", F.lit(1).cast("long").alias("n_docs")))
+    return own.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def term_statistics(docs: DataFrame, key: str, text: str, *, phrases: bool = True, least: int = 2, lift: float = 10.0) -> DataFrame:
@@ -50,7 +119,7 @@ def term_statistics(docs: DataFrame, key: str, text: str, *, phrases: bool = Tru
     equal keys count as one document.
     """
     spark = docs.sparkSession
-    counted = _terms_of(docs, key, text, phrases).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    counted = _term_counts(docs, key, text, phrases)
     is_pair = F.contains("term", F.lit(" "))
     path = fresh_folder(spark, "terms")
     counted.where(~is_pair | (F.col("n") >= least)).write.parquet(path)
