@@ -1,5 +1,7 @@
 """The index of stills: recall against the exact search, structure, copies, and the exact search itself."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,18 @@ def test_an_empty_table_has_an_empty_index(spark, tmp_path):
     index = vectors.build_index(df, "id", "v", f"file://{tmp_path}/index")
     assert vectors.nearest_by_index(spark.createDataFrame([(1, [1.0], "x")], SCHEMA), index, "id", "v", 3).count() == 0
     assert df.select(F.col("id")).count() == 0
+
+
+def test_scores_are_held_in_blocks(monkeypatch):
+    """A task holds one segment's scores of a block of queries, three times over, and a tile of rows against all centroids: bounded well below a worker's share."""
+    assert 3 * 8 * vectors.SEGMENT * vectors.QUERIES <= 1 << 27
+    assert 3 * 8 * vectors.TILE * vectors.MOST_LISTS <= 1 << 26
+    sample = np.random.default_rng(3).normal(size=(2000, 8))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    whole = vectors._fitted(sample, 20)
+    monkeypatch.setattr(vectors, "TILE", 7)
+    assert np.allclose(vectors._fitted(sample, 20), whole)
+    tracemalloc.start()
+    vectors._fitted(np.tile(sample, (10, 1)), 500)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000  # 80 MB of scores if all at once
+    tracemalloc.stop()

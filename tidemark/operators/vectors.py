@@ -11,15 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a task holds while queries pass by, at most, and queries that meet them at once.
-SEGMENT, QUERIES = 1 << 16, 512
+#: Rows that a task holds while queries pass by, at most, and queries that meet them at once: their scores, held three times over, take 100 MB.
+SEGMENT, QUERIES = 1 << 16, 64
 #: Lists of an index at most, rows for each that its centroids are fitted on, and rounds of fitting: what is collected for
 #: an index, and sent to tasks with it, is bounded by these.
 MOST_LISTS, FIT_ROWS, FIT_ROUNDS = 4096, 32, 8
 #: Queries that choose how many lists are opened.
 PROBE_QUERIES = 200
-#: Rows that meet an index's centroids at once inside a task.
-TILE = 4096
+#: Rows that meet an index's centroids at once inside a task: scores and their order take 50 MB.
+TILE = 512
 
 
 #: More than a product of vectors of length 1 may be off in double precision.
@@ -127,13 +127,15 @@ class Index:
 def _fitted(sample: np.ndarray, lists: int) -> np.ndarray:
     """Centroids of length 1 that each row of ``sample`` is near to one of; a list that runs empty starts anew at a row far from its own."""
     centroids = sample[:: max(1, len(sample) // lists)][:lists].copy()
+    near, most = np.zeros(len(sample), np.int64), np.zeros(len(sample))
     for _ in range(FIT_ROUNDS):
-        score = sample @ centroids.T
-        near = score.argmax(axis=1)
+        for p in range(0, len(sample), TILE):  # never all rows against all centroids
+            score = sample[p : p + TILE] @ centroids.T
+            near[p : p + TILE], most[p : p + TILE] = score.argmax(axis=1), score.max(axis=1)
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
         empty = np.flatnonzero(np.bincount(near, minlength=len(centroids)) == 0)
-        sums[empty] = sample[np.argsort(score.max(axis=1), kind="stable")[: len(empty)]]
+        sums[empty] = sample[np.argsort(most, kind="stable")[: len(empty)]]
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(lengths > 0, sums / np.where(lengths > 0, lengths, 1), centroids)
     return centroids
