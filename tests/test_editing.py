@@ -107,3 +107,12 @@ def test_merged_sketches_stay_within_the_bound(spark):
     out = got.select("estimate", "n", sketches.within_bound(F.col("estimate"), F.col("n")).alias("ok")).collect()
     assert len(out) == 2 and all(r.ok and r.n > 10_000 for r in out)
     assert all(not r.ok for r in got.select(sketches.within_bound(F.col("n") * 2, F.col("n")).alias("ok")).collect())
+
+
+def test_retaken_lines_tells_most_apart_at_once(spark):
+    """Lines whose first tokens have nothing in common aren't aligned; those with a token put in, left out or changed at the front still are."""
+    said = ["one two three", "zero one two three", "two three four five", "xx three four five", "q r", "r q", "alpha beta", "gamma delta"]
+    rows = spark.createDataFrame(list(enumerate(said)), "n long, said string").selectExpr("1 AS k", "n", "said")
+    found = lines.retaken(rows, ["k"], "n", "said", ["um"])
+    assert {(r.n, r.again, r.distance) for r in found.collect()} == {(0, 1, 1), (2, 3, 1), (4, 5, 1)}
+    assert "arrays_overlap" in found._jdf.queryExecution().optimizedPlan().toString()

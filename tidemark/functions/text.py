@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What parts tokens.
+BETWEEN = r"[^\p{L}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda t: t != "")
 
 
 def kind_of_line(text: Column) -> Column:

@@ -37,18 +37,24 @@ def retaken(lines: DataFrame, keys: list[str], order: str, text: str, fillers: l
     most = min(edits, least - 1)
     if not 0 < head <= LONGEST_HEAD - most:
         raise ValueError(f"heads have 1 to {LONGEST_HEAD - most} tokens")
-    drop = F.array(*[F.lit(f) for f in fillers]).cast("array<string>")
-    own = lines.withColumn("__long", F.slice(F.filter(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: ~F.array_contains(drop, t)), 1, head + most)).withColumn("__head", F.slice("__long", 1, head))
+    said = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), tx.BETWEEN)
+    for f in ["", *fillers]:
+        said = F.array_remove(said, f)  # compiled, where a filter isn't
+    own = lines.withColumn("__long", F.slice(said, 1, head + most)).withColumn("__head", F.slice("__long", 1, head))
     window = Window.partitionBy(*keys).orderBy(order)
     for d in range(1, within + 1):
         own = own.withColumn(f"__at{d}", F.lead(order, d).over(window)).withColumn(f"__to{d}", F.lead("__long", d).over(window))
 
+    def may(b: Column) -> Column:
+        """Of the first tokens one more than edits has its equal, shifted by as many places at most; lines without it are told apart at once."""
+        return F.arrays_overlap(F.slice("__head", 1, most + 1), F.slice(b, 1, 2 * most + 1))
+
     def aligned(b: Column) -> Column:
         tries = [token_distance(F.col("__head"), F.slice(b, 1, F.size("__head") + e), most) for e in range(-most, most + 1)]
         return F.array_min(F.array(*tries))
 
     tried = F.array(*[
-        F.when(F.size("__head") >= least, F.struct(F.col(f"__at{d}").alias("again"), shared_prefix(F.col("__head"), F.col(f"__to{d}")).alias("shared"), aligned(F.col(f"__to{d}")).alias("distance")))
+        F.when((F.size("__head") >= least) & may(F.col(f"__to{d}")), F.struct(F.col(f"__at{d}").alias("again"), shared_prefix(F.col("__head"), F.col(f"__to{d}")).alias("shared"), aligned(F.col(f"__to{d}")).alias("distance")))
         for d in range(1, within + 1)
     ])
     found = own.withColumn("__first", F.get(F.filter(tried, lambda s: s["distance"].isNotNull()), 0)).where("__first IS NOT NULL")
