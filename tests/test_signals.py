@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes, intervals
-from tidemark.plans import registry, timeline  # noqa: F401  the registry comes first
+from tidemark.plans import exchange, registry, timeline  # noqa: F401  the registry comes first
 from tidemark.streaming import silences
 
 BEGIN = datetime(2024, 1, 1)
@@ -81,6 +81,41 @@ def test_late_rows_restarts_and_state_that_ends(spark, tmp_path):
     assert (1, "island", 0, 1005, 1005) in told  # a key that comes back begins anew
 
 
+def test_state_is_kept_by_buckets_and_keys_in_one_stay_apart(spark, tmp_path):
+    """310 keys in 8 buckets make 8 states with a timer each, so messages to Python don't grow with keys; keys of any type come back as they were."""
+    rng, gap, late, nan = random.Random(9), 60, 300, float("nan")
+    keys = [(None, None, None, None), ("null", None, None, nan), ("", 2**53, at(0.000001), nan), ("", 2**53 + 1, at(0.000001), nan), ("", 2**53, at(0.000002), nan), ('"\\\n\u00e9', -5, None, 0.1), ("{}", None, at(7), float("-inf"))]
+    keys += [("k", i, None, i / 7) for i in range(303)]
+    points = [(k, rng.randrange(3000)) for k in keys for _ in range(6)]
+    rng.shuffle(points)
+    path, schema = f"file://{tmp_path}", "name string, number long, seen timestamp, x double, ts timestamp"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", silences.PROVIDER)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # a bucket comes in several frames
+    try:
+        for part in ([p for p in points if p[1] < 1500], [p for p in points if p[1] >= 1500], [(keys[0], 10_000)]):
+            spark.createDataFrame([(*k, at(t)) for k, t in part], schema).coalesce(1).write.mode("append").parquet(f"{path}/events")
+            stream = spark.readStream.schema(schema).parquet(f"{path}/events")
+            told = silences.silence_stream(stream, ["name", "number", "seen", "x"], "ts", gap, f"{late} seconds", buckets=8)
+            run = told.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 8
+    found = spark.read.schema(told.schema).parquet(f"{path}/rows").collect()
+    wanted = [(*k, kind, n, at(t0), at(t1)) for k in keys for kind, n, t0, t1 in batch([t for j, t in points if j is k], gap)]
+    assert sorted(map(repr, (tuple(r)[:8] for r in found))) == sorted(map(repr, wanted))
+    assert sum(r.n_events for r in found if r.kind == "island") == len(points)
+
+
+def test_state_tasks_follow_cores_and_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert [exchange._state_tasks(spark, n) for n in (0, 1000, 36_000_001, 10**10)] == [4, 4, 10, 200]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_points_grow_and_join_islands():
     rng = random.Random(2)
     for _ in range(50):

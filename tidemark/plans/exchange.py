@@ -46,8 +46,13 @@ def density_stream(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.to_timestamp_ntz(F.date_format("t0", "yyyy-MM-dd HH:mm:ss")).alias("t0"), "event_type", "n_events")
 
 
-#: Seconds that part two islands of events, and how far the watermark of the stream is behind.
-APART, LATE = 21600, "1 hour"
+#: Seconds that part two islands of events, how far the watermark of the stream is behind, and the rows that one task with state may get.
+APART, LATE, TASK_ROWS = 21600, "1 hour", 4_000_000
+
+
+def _state_tasks(spark: SparkSession, n: int) -> int:
+    """In how many tasks the state of a stream of ``n`` rows is kept: each runs Python and opens a store in every batch, so one for each core if that is enough."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
 
 
 @query(
@@ -65,11 +70,12 @@ def silence_stream(spark: SparkSession, root: str) -> DataFrame:
     """Islands and silences of events that come by fortnights: each is a run of the stream that goes on from the last one's checkpoint."""
     events = table(spark, root, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"))
     path = fresh_folder(spark, "silences")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = events.agg(F.min("ts"), F.max("ts"), F.count("ts")).first()
     found = None
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
+    store, tasks = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c) for c in (store, tasks)}
     spark.conf.set(store, silences.PROVIDER)
+    spark.conf.set(tasks, _state_tasks(spark, n))
     try:
         for part in range((last - first).days // 14 + 1 if first else 0):
             begin = F.lit(first) + F.make_dt_interval(F.lit(14 * part))
@@ -78,7 +84,8 @@ def silence_stream(spark: SparkSession, root: str) -> DataFrame:
             stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
             found = spark.read.schema(stream.schema).parquet(f"{path}/rows")
     finally:
-        spark.conf.set(store, before)
+        for c in before:
+            spark.conf.set(c, before[c])
     plain = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss")).alias(c)
     none = spark.createDataFrame([], "user_id long, kind string, island long, t0 timestamp, t1 timestamp, n_events long")
     return (none if found is None else found).select("user_id", "kind", "island", plain("t0"), plain("t1"), "n_events")
